@@ -11,7 +11,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -38,36 +38,49 @@ def location_means(rows: DataFrame, keys: list[str], value: str, decimals: int |
     )
 
 
-def _fields(df: DataFrame, names: list[str]) -> list[T.StructField]:
-    return [df.schema[n] for n in names]
+def _struct(df: DataFrame, names: list[str], **added: T.DataType) -> T.StructType:
+    """Fields ``names`` of ``df`` followed by new ones."""
+    return T.StructType([df.schema[n] for n in names] + [T.StructField(n, t) for n, t in added.items()])
+
+
+def _tasks(df: DataFrame, *keys: str) -> DataFrame:
+    """Spread rows over all cores by key.
+
+    These stages are heavy for the few bytes they read, and partitions of a
+    stated number are not merged by size.
+    """
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism, *keys)
+
+
+def _keyed(group: pa.Table, keys: list[str], columns: dict[str, np.ndarray]) -> pa.Table:
+    """Columns of equal length under the key values of a group."""
+    rows = np.zeros(len(next(iter(columns.values()))), dtype=np.int64)
+    out = {k: group.column(k).take(pa.array(rows)) for k in keys}
+    return pa.table(out | {n: pa.array(v) for n, v in columns.items()})
+
+
+def _numbers(table: pa.Table, *names: str) -> list[np.ndarray]:
+    return [table.column(n).to_numpy() for n in names]
 
 
 def _block_pairs(places: DataFrame, keys: list[str], block: int) -> DataFrame:
     """Each place once per pair of blocks (``bi <= bj``) its block belongs to."""
-    sizes = places.groupBy(*keys).agg(F.ceil(F.count("*") / block).cast("int").alias("_parts"))
-    return (
-        salted_join(places, sizes, keys, ["lon", "lat"])
-        .withColumn("_own", F.pmod(F.xxhash64("lon", "lat"), "_parts").cast("int"))
-        .withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1)))
-        .select(
-            *keys,
-            F.least("_own", "_other").alias("bi"),
-            F.greatest("_own", "_other").alias("bj"),
-            (F.col("_own") <= F.col("_other")).alias("first"),
-            "lon",
-            "lat",
-            "z",
-        )
+    sizes = places.groupBy(*keys).agg(F.ceil(F.count("*") / block).cast("int").alias("parts"))
+    owned = salted_join(places, sizes, keys, ["lon", "lat"]).selectExpr(
+        *keys, "lon", "lat", "z", "parts", "cast(pmod(xxhash64(lon, lat), parts) as int) as own"
+    )
+    return owned.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).selectExpr(
+        *keys, "least(own, other) as bi", "greatest(own, other) as bj", "own <= other as first", "lon", "lat", "z"
     )
 
 
-def _pairs(pdf: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
+def _pairs(group: pa.Table) -> tuple[np.ndarray, np.ndarray]:
     """Distances and half squared differences of the pairs of one block pair."""
-    first = pdf["first"].to_numpy()
-    x, y, z = (pdf[c].to_numpy() for c in ("lon", "lat", "z"))
-    if pdf["bi"].iat[0] == pdf["bj"].iat[0]:
-        i, j = np.triu_indices(len(pdf), k=1)
+    x, y, z, bi, bj = _numbers(group, "lon", "lat", "z", "bi", "bj")
+    if bi[0] == bj[0]:
+        i, j = np.triu_indices(len(x), k=1)
     else:
+        first = group.column("first").to_numpy()
         i, j = (m.ravel() for m in np.meshgrid(np.flatnonzero(first), np.flatnonzero(~first), indexing="ij"))
     dx, dy, dz = x[i] - x[j], y[i] - y[j], z[i] - z[j]
     return np.sqrt(dx * dx + dy * dy), 0.5 * dz * dz
@@ -81,58 +94,40 @@ def semivariogram(places: DataFrame, keys: list[str], lags: int = LAGS, block: i
     """
     blocks = _block_pairs(places, keys, block)
     group = [*keys, "bi", "bj"]
+    double = T.DoubleType()
 
-    def extent(pdf: pd.DataFrame) -> pd.DataFrame:
-        h, _ = _pairs(pdf)
-        low, high = (h.min(), h.max()) if len(h) else (None, None)
-        return pdf[keys].head(1).assign(h_min=low, h_max=high).astype({"h_min": float, "h_max": float})
+    def extent(table: pa.Table) -> pa.Table:
+        h, _ = _pairs(table)
+        ends = np.array([[h.min()], [h.max()]]) if len(h) else np.empty((2, 0))  # a lone place has no pair
+        return _keyed(table, keys, {"h_min": ends[0], "h_max": ends[1]})
 
     extents = (
-        blocks.groupBy(*group)
-        .applyInPandas(
-            extent,
-            T.StructType([*_fields(places, keys), T.StructField("h_min", T.DoubleType()), T.StructField("h_max", T.DoubleType())]),
-        )
+        _tasks(blocks, *group)
+        .groupBy(*group)
+        .applyInArrow(extent, _struct(places, keys, h_min=double, h_max=double))
         .groupBy(*keys)
         .agg(F.min("h_min").alias("h_min"), F.max("h_max").alias("h_max"))
-        .filter("h_max is not null")  # single places have no pair
     )
 
-    def sums(pdf: pd.DataFrame) -> pd.DataFrame:
-        h, g = _pairs(pdf)
-        low, width = pdf["h_min"].iat[0], (pdf["h_max"].iat[0] - pdf["h_min"].iat[0]) / lags
-        index = np.zeros(len(h), dtype=np.int64)
-        if width > 0:
-            index = np.minimum(np.floor((h - low) / width).astype(np.int64), lags - 1)
-        n = np.bincount(index, minlength=lags)
-        out = pd.DataFrame(
-            {
-                "bin": np.arange(lags, dtype=np.int32),
-                "n": n,
-                "h_sum": np.bincount(index, weights=h, minlength=lags),
-                "g_sum": np.bincount(index, weights=g, minlength=lags),
-            }
-        )[n > 0]
-        for k in keys:
-            out[k] = pdf[k].iat[0]
-        return out
+    def sums(table: pa.Table) -> pa.Table:
+        h, g = _pairs(table)
+        low, high = (v[0] for v in _numbers(table, "h_min", "h_max"))
+        width = (high - low) / lags
+        index = np.minimum(np.floor((h - low) / width), lags - 1).astype(np.int64) if width > 0 else np.zeros(len(h), int)
+        n, h_sum, g_sum = (np.bincount(index, weights=w, minlength=lags) for w in (None, h, g))
+        used = np.flatnonzero(n)
+        return _keyed(
+            table, keys, {"bin": used.astype(np.int32), "n": n[used], "h_sum": h_sum[used], "g_sum": g_sum[used]}
+        )
 
-    summed = T.StructType(
-        [
-            *_fields(places, keys),
-            T.StructField("bin", T.IntegerType()),
-            T.StructField("n", T.LongType()),
-            T.StructField("h_sum", T.DoubleType()),
-            T.StructField("g_sum", T.DoubleType()),
-        ]
-    )
+    summed = _struct(places, keys, bin=T.IntegerType(), n=T.LongType(), h_sum=double, g_sum=double)
     return (
-        salted_join(blocks, extents, keys, ["lon", "lat"])
+        _tasks(salted_join(blocks, extents, keys, ["lon", "lat"]), *group)
         .groupBy(*group)
-        .applyInPandas(sums, summed)
+        .applyInArrow(sums, summed)
         .groupBy(*keys, "bin")
         .agg(F.sum("n").alias("n"), F.sum("h_sum").alias("h_sum"), F.sum("g_sum").alias("g_sum"))
-        .select(*keys, "bin", "n", (F.col("h_sum") / F.col("n")).alias("lag"), (F.col("g_sum") / F.col("n")).alias("gamma"))
+        .selectExpr(*keys, "bin", "n", "h_sum / n as lag", "g_sum / n as gamma")
     )
 
 
@@ -145,48 +140,39 @@ def variogram_fit(bins: DataFrame, keys: list[str], candidates: int = 20) -> Dat
     fits, the partial sill is 0 and the nugget the mean semivariance.
     """
     top = F.max("lag").over(Window.partitionBy(*keys))  # at most `lags` rows
-    tried = bins.withColumn("_top", top).withColumn("_j", F.explode(F.sequence(F.lit(1), F.lit(candidates))))
-    reach = F.col("_top") * F.col("_j") / F.lit(candidates)
-    x = 1 - F.exp(-F.pow(F.col("lag") / F.nullif(reach * 4 / 7, F.lit(0.0)), 2))
-    g = F.col("gamma")
     moments = (
-        tried.select(*keys, reach.alias("range"), x.alias("x"), g)
+        bins.withColumn("top", top)
+        .selectExpr(*keys, "lag", "gamma", "top", f"explode(sequence(1, {candidates})) as j")
+        .selectExpr(*keys, "lag", "gamma", f"top * j / {candidates} as range")
+        .selectExpr(*keys, "range", "gamma", "1 - exp(-power(lag / nullif(range * 4 / 7, 0), 2)) as x")
         .groupBy(*keys, "range")
         .agg(
-            F.count("*").alias("m"),
-            F.sum("x").alias("sx"),
-            F.sum("gamma").alias("sg"),
-            F.sum(F.col("x") * F.col("x")).alias("sxx"),
-            F.sum(F.col("x") * g).alias("sxg"),
-            F.sum(g * g).alias("sgg"),
+            *[
+                F.expr(e)
+                for e in (
+                    "count(*) as m", "sum(x) as sx", "sum(gamma) as sg", "sum(x * x) as sxx",
+                    "sum(x * gamma) as sxg", "sum(gamma * gamma) as sgg",
+                )
+            ]
         )
     )
-    spread = F.col("m") * F.col("sxx") - F.col("sx") * F.col("sx")
-    slope = F.when(spread > 1e-12, (F.col("m") * F.col("sxg") - F.col("sx") * F.col("sg")) / spread)
-    free = moments.withColumn("c1", slope).withColumn("c0", (F.col("sg") - F.col("c1") * F.col("sx")) / F.col("m"))
-    through_zero = F.coalesce(F.col("c0") < 0, F.lit(True))
-    fitted = free.select(
+    free = moments.selectExpr(
+        "*", "case when m * sxx - sx * sx > 1e-12 then (m * sxg - sx * sg) / (m * sxx - sx * sx) end as slope"
+    ).selectExpr("*", "coalesce((sg - slope * sx) / m >= 0, false) as with_nugget")
+    fitted = free.selectExpr(
         "*",
-        F.when(through_zero, 0.0).otherwise(F.col("c0")).alias("nugget"),
-        F.when(through_zero, F.col("sxg") / F.nullif("sxx", F.lit(0.0))).otherwise(F.col("c1")).alias("psill"),
-    )
-    rising = F.coalesce(F.col("psill") > 0, F.lit(False))
-    flat = F.col("sg") / F.col("m")
-    fitted = fitted.select(
-        *keys,
-        "range", "m", "sx", "sg", "sxx", "sxg", "sgg",
-        (~rising).alias("flat"),
-        F.when(rising, F.col("nugget")).otherwise(flat).alias("nugget"),
-        F.when(rising, F.col("psill")).otherwise(0.0).alias("psill"),
+        "case when with_nugget then (sg - slope * sx) / m else 0d end as c0",
+        "case when with_nugget then slope else sxg / nullif(sxx, 0) end as c1",
+    ).selectExpr("*", "coalesce(c1 <= 0, true) as flat")
+    models = fitted.selectExpr(
+        "*", "case when flat then sg / m else c0 end as nugget", "case when flat then 0d else c1 end as psill"
     )
-    c0, c1 = F.col("nugget"), F.col("psill")
-    sse = (
-        F.col("sgg") - 2 * c0 * F.col("sg") - 2 * c1 * F.col("sxg")
-        + F.col("m") * c0 * c0 + 2 * c0 * c1 * F.coalesce("sx", F.lit(0.0)) + c1 * c1 * F.coalesce("sxx", F.lit(0.0))
+    error = (
+        "greatest(0d, sgg - 2 * nugget * sg + m * nugget * nugget + case when flat then 0d "
+        "else psill * (psill * sxx + 2 * nugget * sx - 2 * sxg) end) as sse"
     )
-    sse = F.when(F.col("flat"), F.col("sgg") - 2 * c0 * F.col("sg") + F.col("m") * c0 * c0).otherwise(sse)
     return (
-        fitted.withColumn("sse", F.greatest(sse, F.lit(0.0)))
+        models.selectExpr(*keys, "flat", error, "range", "nugget", "psill")
         .groupBy(*keys)
         .agg(F.min(F.struct("flat", "sse", "range", "nugget", "psill")).alias("best"))
         .select(*keys, "best.nugget", "best.psill", "best.range", "best.sse")
@@ -222,8 +208,7 @@ def _no_variation(model: tuple[float, float, float], n: int) -> bool:
     return n < 2 or not model[0] + model[1] > 0
 
 
-def _array(name: str) -> T.StructField:
-    return T.StructField(name, T.ArrayType(T.DoubleType()))
+MODEL = ("nugget", "psill", "range")
 
 
 def krige_weights(places: DataFrame, model: DataFrame, keys: list[str], max_stations: int = MAX_STATIONS) -> DataFrame:
@@ -233,34 +218,31 @@ def krige_weights(places: DataFrame, model: DataFrame, keys: list[str], max_stat
     place, or without variation, is a constant surface. A snapshot larger than a
     worker can solve is refused with an error, never thinned out.
     """
-    sizes = places.groupBy(*keys).agg(F.count("*").alias("_n"))
-    allowed = F.when(
-        F.col("_n") > max_stations,
-        F.raise_error(F.format_string("snapshot of %d stations exceeds max_stations", F.col("_n"))).cast("double"),
-    )
-    params = (
-        sizes.join(model.select(*keys, "nugget", "psill", "range"), keys, "left")
-        .withColumns({c: F.coalesce(allowed, c, F.lit(0.0)) for c in ("nugget", "psill", "range")})
-        .drop("_n")
+    sizes = places.groupBy(*keys).agg(F.count("*").alias("size"))
+    too_large = f"raise_error(format_string('%d stations in a snapshot, at most {max_stations} can be solved', size))"
+    params = sizes.join(model.select(*keys, *MODEL), keys, "left").selectExpr(
+        *keys, *[f"case when size > {max_stations} then {too_large} else coalesce({c}, 0d) end as {c}" for c in MODEL]
     )
 
-    def solve(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["lon", "lat"])
-        x, y, z = (pdf[c].to_numpy() for c in ("lon", "lat", "z"))
-        params = tuple(float(pdf[c].iat[0]) for c in ("nugget", "psill", "range"))
-        if _no_variation(params, len(pdf)):
-            w = np.append(np.zeros(len(pdf)), z.mean())
+    def solve(table: pa.Table) -> pa.Table:
+        table = table.sort_by([("lon", "ascending"), ("lat", "ascending")])
+        x, y, z = _numbers(table, "lon", "lat", "z")
+        fitted = tuple(float(v[0]) for v in _numbers(table, *MODEL))
+        if _no_variation(fitted, len(x)):
+            w = np.append(np.zeros(len(x)), z.mean())
         else:
-            w = _solve(_system(x, y, params), np.append(z, 0.0))
-        out = pdf[keys].head(1).copy()
-        out["lons"], out["lats"], out["weights"] = [x.tolist()], [y.tolist()], [w[:-1].tolist()]
-        out["constant"] = w[-1]
-        out["nugget"], out["psill"], out["range"] = params
+            w = _solve(_system(x, y, fitted), np.append(z, 0.0))
+        out = _keyed(table, keys, {"constant": w[-1:], **{n: np.array([v]) for n, v in zip(MODEL, fitted)}})
+        for name, values in (("lons", x), ("lats", y), ("weights", w[:-1])):
+            out = out.append_column(name, pa.array([values], pa.list_(pa.float64())))
         return out
 
-    numbers = [T.StructField(n, T.DoubleType()) for n in ("constant", "nugget", "psill", "range")]
-    schema = T.StructType([*_fields(places, keys), _array("lons"), _array("lats"), _array("weights"), *numbers])
-    return salted_join(places, params, keys, ["lon", "lat"]).groupBy(*keys).applyInPandas(solve, schema)
+    double, array = T.DoubleType(), T.ArrayType(T.DoubleType())
+    schema = _struct(
+        places, keys, constant=double, nugget=double, psill=double, range=double, lons=array, lats=array, weights=array
+    )
+    solvable = salted_join(places, params, keys, ["lon", "lat"])
+    return _tasks(solvable, *keys).groupBy(*keys).applyInArrow(solve, schema)
 
 
 def krige_surface(
@@ -270,37 +252,43 @@ def krige_surface(
 
     Work is shared out as (snapshot, band of grid rows) tiles.
     """
-    tiles = -(-grid.ny // tile_rows)
-    work = weights.withColumn("tile", F.explode(F.sequence(F.lit(0), F.lit(tiles - 1)))).repartition(*keys, "tile")
-    gx = grid.lon_min + np.arange(grid.nx) * grid.step
-    gy = grid.lat_min + np.arange(grid.ny) * grid.step
-
-    def evaluate(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    nx, ny = grid.nx, grid.ny
+    tiles = -(-ny // tile_rows)
+    work = weights.withColumn("tile", F.explode(F.sequence(F.lit(0), F.lit(tiles - 1))))
+    gx = grid.lon_min + np.arange(nx) * grid.step
+    gy = grid.lat_min + np.arange(ny) * grid.step
+
+    def line(x, y, w, constant, model, system, lat):
+        """Values and variances along one grid row."""
+        if _no_variation(model, len(x)):
+            return np.full(nx, constant), np.zeros(nx)
+        g = gamma(np.hypot(gx[:, None] - x, lat - y), *model)
+        z = constant - g @ w
+        if system is None:
+            return z, None
+        b = np.vstack([-g.T, np.ones(nx)])
+        return z, -(_solve(system, b) * b).sum(axis=0)
+
+    def evaluate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row in batch.to_dict("records"):
-                x, y, w = (np.asarray(row[c], dtype=float) for c in ("lons", "lats", "weights"))
-                model = (row["nugget"], row["psill"], row["range"])
-                still = _no_variation(model, len(x))
-                system = _system(x, y, model) if variance and not still else None
-                for iy in range(row["tile"] * tile_rows, min((row["tile"] + 1) * tile_rows, grid.ny)):
-                    out = {k: row[k] for k in keys}
-                    out |= {"ix": np.arange(grid.nx, dtype=np.int32), "iy": np.int32(iy), "lon": gx, "lat": gy[iy]}
-                    if still:
-                        out["z"] = np.full(grid.nx, row["constant"])
-                        spread = np.zeros(grid.nx)
-                    else:
-                        g = gamma(np.hypot(gx[:, None] - x, gy[iy] - y), *model)
-                        out["z"] = row["constant"] - g @ w
-                        if variance:
-                            b = np.vstack([-g.T, np.ones(grid.nx)])
-                            spread = -(_solve(system, b) * b).sum(axis=0)
-                    if variance:
-                        out["variance"] = spread
-                    yield pd.DataFrame(out)
-
-    cells = [
-        T.StructField("ix", T.IntegerType()),
-        T.StructField("iy", T.IntegerType()),
-        *[T.StructField(n, T.DoubleType()) for n in ("lon", "lat", "z", *(["variance"] if variance else []))],
-    ]
-    return work.mapInPandas(evaluate, T.StructType([*_fields(weights, keys), *cells]))
+            for at in range(batch.num_rows):
+                row = pa.Table.from_batches([batch.slice(at, 1)])
+                x, y, w = (row.column(c)[0].values.to_numpy() for c in ("lons", "lats", "weights"))
+                constant, tile, *model = (v[0] for v in _numbers(row, "constant", "tile", *MODEL))
+                system = _system(x, y, model) if variance and not _no_variation(model, len(x)) else None
+                lines = np.arange(tile * tile_rows, min((tile + 1) * tile_rows, ny))
+                values = [line(x, y, w, constant, model, system, gy[iy]) for iy in lines]
+                cells = {
+                    "ix": np.tile(np.arange(nx, dtype=np.int32), len(lines)),
+                    "iy": np.repeat(lines.astype(np.int32), nx),
+                    "lon": np.tile(gx, len(lines)),
+                    "lat": np.repeat(gy[lines], nx),
+                    "z": np.concatenate([z for z, _ in values]),
+                }
+                if variance:
+                    cells["variance"] = np.concatenate([v for _, v in values])
+                yield from _keyed(row, keys, cells).to_batches()
+
+    cells = {"ix": T.IntegerType(), "iy": T.IntegerType()}
+    cells |= dict.fromkeys(("lon", "lat", "z", "variance") if variance else ("lon", "lat", "z"), T.DoubleType())
+    return _tasks(work, *keys, "tile").mapInArrow(evaluate, _struct(weights, keys, **cells))

@@ -70,8 +70,9 @@ def quantile_aggs(probabilities: dict[str, float]):
             return F.max(F.when(inside, F.col("value")))
 
         below, above = value_at(low), value_at(high)
-        part = F.max(position - low)
-        aggs.append((below + (above - below) * part).alias(name))
+        part, step = F.max(position - low), above - below
+        # interpolated from the nearer end, which keeps rounding errors smallest
+        aggs.append(F.when(part < 0.5, below + step * part).otherwise(above - step * (1 - part)).alias(name))
     return aggs
 
 

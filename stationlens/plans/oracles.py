@@ -124,14 +124,24 @@ nearest AS (
   WHERE rn = 1)"""
 
 
+def _quantile(p: float) -> str:
+    h = f"((total - 1) * CAST({p} AS DOUBLE))"
+    at = [f"max(value) FILTER (WHERE rank = {f}({h}))" for f in ("floor", "ceil")]
+    t, step = f"max({h} - floor({h}))", f"({at[1]} - {at[0]})"
+    return f"CASE WHEN {t} < 0.5 THEN {at[0]} + {step} * {t} ELSE {at[1]} - {step} * (1 - {t}) END"
+
+
 def _box(source: str) -> str:
     return f"""
 known AS (
   SELECT station, CAST(ceil(month / 3.0) AS INTEGER) AS quarter, value FROM ({source}) WHERE value IS NOT NULL),
+ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY station, quarter ORDER BY value) - 1 AS rank,
+         count(*) OVER (PARTITION BY station, quarter) AS total FROM known),
 box AS (
-  SELECT station, quarter, count(*) AS n, quantile_cont(value, 0.25) AS q1, quantile_cont(value, 0.5) AS median,
-         quantile_cont(value, 0.75) AS q3, {_mean("value")} AS mean
-  FROM known GROUP BY station, quarter)"""
+  SELECT station, quarter, count(*) AS n, {_quantile(0.25)} AS q1, {_quantile(0.5)} AS median, {_quantile(0.75)} AS q3,
+         {_mean("value")} AS mean
+  FROM ranked GROUP BY station, quarter)"""
 
 
 def _features(period: tuple[str, str]) -> str:
@@ -323,7 +333,8 @@ FROM (SELECT *, row_number() OVER (PARTITION BY station, ts ORDER BY _seq DESC)
 WHERE rn = 1""",
         "layout_by_station": f"WITH {e1} SELECT {stored} FROM obs",
         "layout_by_hour": f"WITH {e1} SELECT {stored} FROM obs",
-        "layout_by_day": f"WITH {LINEITEM} SELECT * FROM obs WHERE day BETWEEN DATE '{lo}' AND DATE '{hi}'",
+        "layout_by_day": f"""WITH {e1} SELECT {stored} FROM obs
+WHERE day BETWEEN DATE '{r.MONTH[0]}' AND DATE '{r.MONTH[1]}'""",
         "day_coverage": f"""WITH {ORDERS},
 days AS (SELECT CAST(unnest(generate_series(min(day), max(day), INTERVAL 1 DAY)) AS DATE) AS day FROM obs),
 counts AS (SELECT day, count(*) AS n FROM obs GROUP BY day)

@@ -30,6 +30,7 @@ INSTANT = (2024, 1, 15, 12)
 STATION = "7"
 FULL_PERIOD = ("1995-01-01", "2001-12-31")
 PERIOD = ("1997-03-01", "1998-02-28")
+MONTH = ("2024-01-01", "2024-01-31")
 CENTRES = 5
 MAP_CENTRES = 10
 ROUNDS = 5
@@ -192,10 +193,9 @@ def layout_by_hour(spark, sf):
 @query("layout_by_day")
 def layout_by_day(spark, sf):
     path = new_path(spark, "obs_by_instant")
-    obs = st.obs_lineitem(spark, sf).withColumns({"hour": F.lit(0), "minute": F.lit(0)})
+    obs = st.obs_events(spark, sf).select(*STORED)
     layouts.write_by_instant(obs, path)
-    stored = spark.read.schema(obs.schema).parquet(path)
-    return layouts.period_rows(stored, *PERIOD).drop("hour", "minute")
+    return layouts.period_rows(spark.read.schema(obs.schema).parquet(path), *MONTH)
 
 
 @query("day_coverage")
