@@ -6,25 +6,24 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
-def scaled(value, decimals: int) -> Column:
-    """Value of a reading with ``decimals`` places as a whole number of units."""
-    return F.rint(value * F.lit(float(10**decimals))).cast("bigint")
+def units(value, decimals: int | None) -> Column:
+    """A reading in whole units of its last place, or as it is without ``decimals``.
 
+    Whole numbers add up to the same sum in any order, doubles only nearly.
+    """
+    value = value.cast("double")
+    return value if decimals is None else F.rint(value * F.lit(float(10**decimals))).cast("bigint")
 
-def unscaled(total, decimals: int) -> Column:
-    return total.cast("double") / F.lit(float(10**decimals))
 
+def from_units(total, decimals: int | None) -> Column:
+    return total if decimals is None else total.cast("double") / F.lit(float(10**decimals))
 
-def mean(value, decimals: int | None = None) -> Column:
-    """Arithmetic mean.
 
-    With ``decimals`` the sum is taken over whole units, which no order of
-    addition can change; without it, over doubles.
-    """
+def mean(value, decimals: int | None = None) -> Column:
+    """Arithmetic mean; with ``decimals``, over whole units (see :func:`units`)."""
     if decimals is None:
         return F.avg(value.cast("double"))
-    value = value.cast("double")
-    return unscaled(F.sum(scaled(value, decimals)), decimals) / F.count(value)
+    return from_units(F.sum(units(value, decimals)), decimals) / F.count(value)
 
 
 def minmax(value, low, high) -> Column:

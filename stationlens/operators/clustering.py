@@ -44,9 +44,12 @@ def collect_centres(start: DataFrame, features: list[str], k: int) -> list[list[
 
 def centre_distances(features: list[str], centres: list[list[float]]) -> Column:
     """Array of the distances to all centres, as plain arithmetic on columns."""
-    return F.array(
-        *[F.sqrt(sum((F.col(f) - v) * (F.col(f) - v) for f, v in zip(features, centre))) for centre in centres]
-    )
+
+    def distance(centre):
+        gaps = (f"(`{f}` - ({float(v)!r}D))" for f, v in zip(features, centre))
+        return "sqrt(" + " + ".join(f"{gap} * {gap}" for gap in gaps) + ")"
+
+    return F.expr(f"array({', '.join(map(distance, centres))})")
 
 
 def assign(points: DataFrame, features: list[str], centres: list[list[float]]) -> DataFrame:

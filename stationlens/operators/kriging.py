@@ -43,13 +43,14 @@ def _struct(df: DataFrame, names: list[str], **added: T.DataType) -> T.StructTyp
     return T.StructType([df.schema[n] for n in names] + [T.StructField(n, t) for n, t in added.items()])
 
 
-def _tasks(df: DataFrame, *keys: str) -> DataFrame:
-    """Spread rows over all cores by key.
+def _heavy_groups(df: DataFrame, keys: list[str]):
+    """Group by ``keys`` with the groups spread over all cores.
 
-    These stages are heavy for the few bytes they read, and partitions of a
-    stated number are not merged by size.
+    The groups are heavy for the few bytes they hold, so they must not be merged
+    by size: a partitioning of stated number on a hash of the keys stays as is.
     """
-    return df.repartition(df.sparkSession.sparkContext.defaultParallelism, *keys)
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.withColumn("task", F.xxhash64(*keys)).repartition(cores, "task").groupBy("task", *keys)
 
 
 def _keyed(group: pa.Table, keys: list[str], columns: dict[str, np.ndarray]) -> pa.Table:
@@ -102,8 +103,7 @@ def semivariogram(places: DataFrame, keys: list[str], lags: int = LAGS, block: i
         return _keyed(table, keys, {"h_min": ends[0], "h_max": ends[1]})
 
     extents = (
-        _tasks(blocks, *group)
-        .groupBy(*group)
+        _heavy_groups(blocks, group)
         .applyInArrow(extent, _struct(places, keys, h_min=double, h_max=double))
         .groupBy(*keys)
         .agg(F.min("h_min").alias("h_min"), F.max("h_max").alias("h_max"))
@@ -122,8 +122,7 @@ def semivariogram(places: DataFrame, keys: list[str], lags: int = LAGS, block: i
 
     summed = _struct(places, keys, bin=T.IntegerType(), n=T.LongType(), h_sum=double, g_sum=double)
     return (
-        _tasks(salted_join(blocks, extents, keys, ["lon", "lat"]), *group)
-        .groupBy(*group)
+        _heavy_groups(salted_join(blocks, extents, keys, ["lon", "lat"]), group)
         .applyInArrow(sums, summed)
         .groupBy(*keys, "bin")
         .agg(F.sum("n").alias("n"), F.sum("h_sum").alias("h_sum"), F.sum("g_sum").alias("g_sum"))
@@ -242,7 +241,7 @@ def krige_weights(places: DataFrame, model: DataFrame, keys: list[str], max_stat
         places, keys, constant=double, nugget=double, psill=double, range=double, lons=array, lats=array, weights=array
     )
     solvable = salted_join(places, params, keys, ["lon", "lat"])
-    return _tasks(solvable, *keys).groupBy(*keys).applyInArrow(solve, schema)
+    return _heavy_groups(solvable, keys).applyInArrow(solve, schema)
 
 
 def krige_surface(
@@ -291,4 +290,5 @@ def krige_surface(
 
     cells = {"ix": T.IntegerType(), "iy": T.IntegerType()}
     cells |= dict.fromkeys(("lon", "lat", "z", "variance") if variance else ("lon", "lat", "z"), T.DoubleType())
-    return _tasks(work, *keys, "tile").mapInArrow(evaluate, _struct(weights, keys, **cells))
+    cores = weights.sparkSession.sparkContext.defaultParallelism
+    return work.repartition(cores, *keys, "tile").mapInArrow(evaluate, _struct(weights, keys, **cells))

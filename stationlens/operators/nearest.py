@@ -22,15 +22,11 @@ _CELL_STATIONS = 64  # stop refining once no cell holds more locations
 _SLACK = 1e-7  # rounding margin on unit-sphere distances
 
 
-def _cell(level: int):
-    """Cell number of the columns x, y, z at a level."""
+def _cell(level: int) -> str:
+    """Cell number of the columns x, y, z at a level, as SQL."""
     side = 1 << level
-
-    def index(c):
-        scaled = F.floor((F.col(c) + 1) / 2 * side)
-        return F.least(scaled, F.lit(side - 1)).cast("bigint")
-
-    return F.shiftleft(index("x"), 40) + F.shiftleft(index("y"), 20) + index("z")
+    x, y, z = (f"cast(least(floor(({c} + 1) / 2 * {side}), {side - 1}) as bigint)" for c in "xyz")
+    return f"shiftleft({x}, 40) + shiftleft({y}, 20) + {z}"
 
 
 def _places(stations: DataFrame) -> DataFrame:
@@ -45,9 +41,9 @@ def _places(stations: DataFrame) -> DataFrame:
 
 
 def _levels_needed(places: DataFrame) -> list[int]:
-    levels = F.explode(F.array(*[F.struct(F.lit(n).alias("level"), _cell(n).alias("cell")) for n in _LEVELS]))
+    at = ", ".join(f"struct({n} as level, {_cell(n)} as cell)" for n in _LEVELS)
     fullest = (
-        places.select(levels.alias("at"))
+        places.selectExpr(f"explode(array({at})) as at")
         .groupBy("at.level", "at.cell")
         .count()
         .groupBy("level")
@@ -59,24 +55,19 @@ def _levels_needed(places: DataFrame) -> list[int]:
 
 def _pyramid(places: DataFrame, levels: list[int]) -> DataFrame:
     """(level, parent, cell, x, y, z): each occupied cell with one of its stations."""
-    at = [
-        F.struct(
-            F.lit(n).alias("level"),
-            (_cell(up) if up else F.lit(0).cast("bigint")).alias("parent"),
-            _cell(n).alias("cell"),
-        )
+    at = ", ".join(
+        f"struct({n} as level, {_cell(up) if up else '0L'} as parent, {_cell(n)} as cell)"
         for up, n in zip([0, *levels], levels)
-    ]
+    )
     return (
-        places.select("x", "y", "z", "station_seq", F.explode(F.array(*at)).alias("at"))
+        places.selectExpr("x", "y", "z", "station_seq", f"explode(array({at})) as at")
         .groupBy("at.level", "at.parent", "at.cell")
         .agg(F.min_by(F.struct("x", "y", "z"), "station_seq").alias("rep"))
         .select("level", "parent", "cell", "rep.x", "rep.y", "rep.z")
     )
 
 
-def _chord():
-    return F.sqrt(sum((F.col(f"p{c}") - F.col(c)) * (F.col(f"p{c}") - F.col(c)) for c in "xyz"))
+_CHORD = "sqrt((px - x) * (px - x) + (py - y) * (py - y) + (pz - z) * (pz - z))"
 
 
 def nearest_station(points: DataFrame, stations: DataFrame) -> DataFrame:
@@ -86,6 +77,7 @@ def nearest_station(points: DataFrame, stations: DataFrame) -> DataFrame:
     with the lowest ``station_seq`` wins, and an empty dimension gives ``''``.
     ``point_id`` must be unique.
     """
+    spark = points.sparkSession
     points = points.filter("lon is not null and lat is not null").select(
         "point_id", F.col("lon").cast("double").alias("plon"), F.col("lat").cast("double").alias("plat")
     )
@@ -97,9 +89,11 @@ def nearest_station(points: DataFrame, stations: DataFrame) -> DataFrame:
     levels = _levels_needed(places)
     pyramid = written(_pyramid(places, levels), "pyramid")
     px, py, pz = unit_vector(F.col("plon"), F.col("plat"))
+    # Few bytes per point, much work: partitions of a stated number are not merged by size.
+    tasks = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
     frontier = points.select(
         "*", px.alias("px"), py.alias("py"), pz.alias("pz"), F.lit(0).cast("bigint").alias("cell")
-    )
+    ).repartition(tasks, "point_id")
     per_point = Window.partitionBy("point_id")
     for level in levels:
         children = pyramid.filter(F.col("level") == level).select(
@@ -108,12 +102,12 @@ def nearest_station(points: DataFrame, stations: DataFrame) -> DataFrame:
         reach = math.sqrt(3) * 2 / (1 << level) + _SLACK
         frontier = (
             lookup_join(frontier, children, count, ["cell"], ["point_id"])
-            .withColumn("_d", _chord())
+            .withColumn("_d", F.expr(_CHORD))
             .withColumn("_best", F.min("_d").over(per_point))
             .filter(F.col("_d") - reach <= F.col("_best"))
             .select("point_id", "plon", "plat", "px", "py", "pz", F.col("child").alias("cell"))
         )
-    leaves = places.select(_cell(levels[-1]).alias("cell"), "lon", "lat", "station", "station_seq")
+    leaves = places.selectExpr(f"{_cell(levels[-1])} as cell", "lon", "lat", "station", "station_seq")
     found = lookup_join(frontier, leaves, count, ["cell"], ["point_id"]).withColumn(
         "_d", haversine_m(F.col("lon"), F.col("lat"), F.col("plon"), F.col("plat"))
     )

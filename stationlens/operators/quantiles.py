@@ -9,9 +9,11 @@ values per bin and 36 000 bins per group, whatever the number of rows.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from stationlens.session import written
+
 _BINS_PER_OCTAVE = 64
 _OFFSET = 1100 * _BINS_PER_OCTAVE  # doubles have exponents above -1100
 
@@ -23,18 +25,21 @@ def _bin(value):
 
 
 def value_counts(df: DataFrame, keys: list[str], value: str) -> DataFrame:
-    """(keys, _bin, value, n): one row per distinct non-null value of a group."""
+    """(keys, _bin, value, n): one row per distinct value of a group, NULL included."""
     v = F.col(value).cast("double")
     return (
-        df.filter(v.isNotNull())
-        .select(*keys, _bin(v).alias("_bin"), v.alias("value"))
+        df.select(*keys, F.when(v.isNotNull(), _bin(v)).alias("_bin"), v.alias("value"))
         .groupBy(*keys, "_bin", "value")
         .agg(F.count("*").alias("n"))
     )
 
 
 def rank_ranges(counts: DataFrame, keys: list[str]) -> DataFrame:
-    """Add to value counts the 0-based rank of the first copy and the group size."""
+    """Add to value counts the 0-based rank of the first copy and the group size.
+
+    The counts are read several times: pass a written table.
+    """
+    counts = counts.filter("value is not null")
     in_bin = Window.partitionBy(*keys, "_bin").orderBy("value")
     running = counts.withColumn(
         "_in_bin", F.sum("n").over(in_bin.rowsBetween(Window.unboundedPreceding, 0))
@@ -58,25 +63,26 @@ def rank_ranges(counts: DataFrame, keys: list[str]) -> DataFrame:
     )
 
 
-def quantile_aggs(probabilities: dict[str, float]):
-    """Linear-interpolation quantiles as aggregates over :func:`rank_ranges`."""
+def quantile_aggs(probabilities: dict[str, float]) -> list[Column]:
+    """Linear-interpolation quantiles as aggregates over :func:`rank_ranges`.
+
+    Interpolated from the nearer end, which keeps rounding errors smallest.
+    """
     aggs = []
     for name, p in probabilities.items():
-        position = (F.col("_total") - 1) * F.lit(p)
-        low, high = F.floor(position), F.ceil(position)
-
-        def value_at(rank):
-            inside = (F.col("_start") <= rank) & (rank < F.col("_start") + F.col("n"))
-            return F.max(F.when(inside, F.col("value")))
-
-        below, above = value_at(low), value_at(high)
-        part, step = F.max(position - low), above - below
-        # interpolated from the nearer end, which keeps rounding errors smallest
-        aggs.append(F.when(part < 0.5, below + step * part).otherwise(above - step * (1 - part)).alias(name))
+        position = f"((_total - 1) * {float(p)!r}D)"
+        low, high = (
+            f"max(case when _start <= {end}({position}) and {end}({position}) < _start + n then value end)"
+            for end in ("floor", "ceil")
+        )
+        part, step = f"max({position} - floor({position}))", f"({high} - {low})"
+        aggs.append(
+            F.expr(f"case when {part} < 0.5D then {low} + {step} * {part} else {high} - {step} * (1 - {part}) end").alias(name)
+        )
     return aggs
 
 
 def exact_quantiles(df: DataFrame, keys: list[str], value: str, probabilities: dict[str, float]) -> DataFrame:
     """One row per group with one column per named probability."""
-    ranked = rank_ranges(value_counts(df, keys, value), keys)
+    ranked = rank_ranges(written(value_counts(df, keys, value), "value-counts"), keys)
     return ranked.groupBy(*keys).agg(*quantile_aggs(probabilities))

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from stationlens.functions.stats import mean, quarter_of, scaled, unscaled
+from stationlens.functions.stats import from_units, mean, quarter_of, units
 from stationlens.operators.nearest import resolve_points
 from stationlens.operators.quantiles import quantile_aggs, rank_ranges, value_counts
 from stationlens.operators.skew import lookup_join, salted_join
@@ -87,81 +87,89 @@ def year_month_matrix(hist: DataFrame, decimals: int | None = None) -> DataFrame
     return means.groupBy("station", "year").agg(*slots).orderBy("station", "year")
 
 
-def seasonal_anomaly(hist: DataFrame, decimals: int = 2) -> DataFrame:
+def seasonal_anomaly(hist: DataFrame, decimals: int | None = None) -> DataFrame:
     """Mean of each year-month, the climatology of its month, and the deviation.
 
-    Sums are taken once per year-month in whole units of ``decimals`` places;
-    the climatology only adds up those few partial sums.
+    Readings are summed once per year-month; the climatology only adds up those
+    few partial sums.
     """
     sums = (
         _known(hist)
         .groupBy("station", "year", "month")
-        .agg(F.sum(scaled(F.col("value").cast("double"), decimals)).alias("units"), F.count("*").alias("n"))
+        .agg(F.sum(units(F.col("value"), decimals)).alias("total"), F.count("*").alias("n"))
     )
     all_years = Window.partitionBy("station", "month")  # one row per year
-    normal = unscaled(F.sum("units").over(all_years), decimals) / F.sum("n").over(all_years)
+    normal = from_units(F.sum("total").over(all_years), decimals) / F.sum("n").over(all_years)
     return sums.select(
         "station",
         "year",
         "month",
         "n",
-        (unscaled(F.col("units"), decimals) / F.col("n")).alias("mean"),
+        (from_units(F.col("total"), decimals) / F.col("n")).alias("mean"),
         normal.alias("climatology"),
     ).withColumn("anomaly", F.col("mean") - F.col("climatology"))
 
 
-def _box(counts: DataFrame, keys: list[str], decimals: int) -> DataFrame:
-    units = F.sum(scaled(F.col("value"), decimals) * F.col("n"))
-    return (
-        rank_ranges(counts, keys)
-        .groupBy(*keys)
-        .agg(F.sum("n").alias("n"), *quantile_aggs(QUARTILES), (unscaled(units, decimals) / F.sum("n")).alias("mean"))
-    )
+QUARTER = ["station", "quarter"]
+
 
+def _quarter_counts(hist: DataFrame) -> DataFrame:
+    """How often each value occurs per quarter: the only pass over the readings."""
+    by_quarter = hist.select("station", quarter_of(F.col("month")).alias("quarter"), "value")
+    return written(value_counts(by_quarter, QUARTER, "value"), "value-counts")
 
-def _fences():
-    reach = F.lit(WHISKER) * (F.col("q3") - F.col("q1"))
-    return F.col("q1") - reach, F.col("q3") + reach
+
+def _with_fences(counts: DataFrame, box: DataFrame) -> DataFrame:
+    """Value counts with the box of their quarter and the fences around it."""
+    edges = box.select(
+        *QUARTER,
+        "q1",
+        "q3",
+        F.expr(f"q1 - {WHISKER}D * (q3 - q1)").alias("low"),
+        F.expr(f"q3 + {WHISKER}D * (q3 - q1)").alias("high"),
+    )
+    known = counts.filter("value is not null").select(*QUARTER, "value", "n")
+    return salted_join(known, edges, QUARTER, ["value"])
 
 
-def quarter_box_stats(hist: DataFrame, decimals: int = 2) -> DataFrame:
+def quarter_box_stats(hist: DataFrame, decimals: int | None = None) -> DataFrame:
     """What a box plot per calendar quarter shows, with all four quarters present.
 
     Whiskers end at the last values within the fences, or at the box when no
     value lies between.
     """
-    keys = ["station", "quarter"]
-    counts = value_counts(hist.withColumn("quarter", quarter_of(F.col("month"))), keys, "value")
-    box = _box(counts, keys, decimals)
-    low, high = _fences()
-    v = F.col("value")
+    counts = _quarter_counts(hist)
+    total = F.sum(units(F.col("value"), decimals) * F.col("n"))
+    box = written(
+        rank_ranges(counts, QUARTER)
+        .groupBy(*QUARTER)
+        .agg(
+            F.sum("n").alias("n"),
+            *quantile_aggs(QUARTILES),
+            (from_units(total, decimals) / F.sum("n")).alias("mean"),
+        ),
+        "boxes",
+    )
     ends = (
-        salted_join(counts.select(*keys, "value", "n"), box.select(*keys, "q1", "q3"), keys, ["value"])
-        .groupBy(*keys)
+        _with_fences(counts, box)
+        .groupBy(*QUARTER)
         .agg(
-            F.least(F.min(F.when(v >= low, v)), F.min("q1")).alias("whisker_low"),
-            F.greatest(F.max(F.when(v <= high, v)), F.max("q3")).alias("whisker_high"),
-            F.sum(F.when((v < low) | (v > high), F.col("n")).otherwise(0)).alias("n_outliers"),
+            F.expr("least(min(case when value >= low then value end), min(q1)) as whisker_low"),
+            F.expr("greatest(max(case when value <= high then value end), max(q3)) as whisker_high"),
+            F.expr("sum(case when value < low or value > high then n else 0 end) as n_outliers"),
         )
     )
-    zero = F.lit(0).cast("bigint")
-    every = hist.select("station").distinct().withColumn("quarter", F.explode(F.sequence(F.lit(1), F.lit(4))))
+    every = counts.select("station").distinct().withColumn("quarter", F.expr("explode(sequence(1, 4))"))
     return (
-        every.join(box, keys, "left")
-        .join(ends, keys, "left")
-        .withColumns({"n": F.coalesce("n", zero), "n_outliers": F.coalesce("n_outliers", zero)})
-        .orderBy(*keys)
+        every.join(box, QUARTER, "left")
+        .join(ends, QUARTER, "left")
+        .withColumns({c: F.coalesce(c, F.lit(0).cast("bigint")) for c in ("n", "n_outliers")})
+        .orderBy(*QUARTER)
     )
 
 
-def quarter_outliers(hist: DataFrame, decimals: int = 2) -> DataFrame:
+def quarter_outliers(hist: DataFrame) -> DataFrame:
     """(station, quarter, value, n): the values beyond the fences and how often they occur."""
-    keys = ["station", "quarter"]
-    counts = value_counts(hist.withColumn("quarter", quarter_of(F.col("month"))), keys, "value")
-    box = _box(counts, keys, decimals).select(*keys, "q1", "q3")
-    low, high = _fences()
-    return (
-        salted_join(counts.select(*keys, "value", "n"), box, keys, ["value"])
-        .filter((F.col("value") < low) | (F.col("value") > high))
-        .select(*keys, "value", "n")
-    )
+    counts = _quarter_counts(hist)
+    box = rank_ranges(counts, QUARTER).groupBy(*QUARTER).agg(*quantile_aggs(QUARTILES))
+    return _with_fences(counts, box).filter("value < low or value > high").select(*QUARTER, "value", "n")

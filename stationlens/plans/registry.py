@@ -84,7 +84,7 @@ def quarter_box_stats(spark, sf):
 @query("quarter_outliers")
 def quarter_outliers(spark, sf):
     events = st.obs_events(spark, sf).withColumn("station", F.col("hour").cast("string"))
-    return ph.quarter_outliers(ph.history(events, "tmpf"), decimals=2)
+    return ph.quarter_outliers(ph.history(events, "tmpf"))
 
 
 @query("year_month_mean")
