@@ -24,7 +24,7 @@ BLOCK = 512
 # Fixed value: number of lags of the experimental semivariogram.
 LAGS = 6
 #: A dense system of this many stations still fits a Python worker.
-MAX_STATIONS = 8000
+MAX_STATIONS = 5000
 _SAME_PLACE = 1e-10
 
 
@@ -192,15 +192,29 @@ def _system(x: np.ndarray, y: np.ndarray, model: tuple[float, float, float]) ->
     return a
 
 
-def _solve(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Direct solution, or the least-squares one when the system is near singular."""
-    try:
-        w = np.linalg.solve(a, b)
-        if np.isfinite(w).all() and np.abs(a @ w - b).max() <= 1e-6 * max(1.0, np.abs(b).max()):
-            return w
-    except np.linalg.LinAlgError:
-        pass
-    return np.linalg.lstsq(a, b, rcond=None)[0]
+# Shares of the partial sill tried as additional nugget, in turn.
+_EXTRA_NUGGETS = (0.0, 1e-10, 1e-8, 1e-6, 1e-4, 1e-2)
+
+
+def _dual_weights(
+    x: np.ndarray, y: np.ndarray, z: np.ndarray, model: tuple[float, float, float]
+) -> tuple[np.ndarray, tuple[float, float, float]]:
+    """Dual weights with the constant last, and the model they belong to.
+
+    Without a nugget the Gaussian system of many stations is singular in double
+    precision; the smallest extra nugget that reproduces the stations is added.
+    """
+    b = np.append(z, 0.0)
+    for extra in _EXTRA_NUGGETS:
+        used = (model[0] + extra * model[1], model[1], model[2])
+        a = _system(x, y, used)
+        try:
+            w = np.linalg.solve(a, b)
+        except np.linalg.LinAlgError:
+            continue
+        if np.isfinite(w).all() and np.abs(a @ w - b).max() <= 1e-8 * max(1.0, np.abs(b).max()):
+            return w, used
+    return np.linalg.lstsq(a, b, rcond=None)[0], used
 
 
 def _no_variation(model: tuple[float, float, float], n: int) -> bool:
@@ -230,7 +244,7 @@ def krige_weights(places: DataFrame, model: DataFrame, keys: list[str], max_stat
         if _no_variation(fitted, len(x)):
             w = np.append(np.zeros(len(x)), z.mean())
         else:
-            w = _solve(_system(x, y, fitted), np.append(z, 0.0))
+            w, fitted = _dual_weights(x, y, z, fitted)
         out = _keyed(table, keys, {"constant": w[-1:], **{n: np.array([v]) for n, v in zip(MODEL, fitted)}})
         for name, values in (("lons", x), ("lats", y), ("weights", w[:-1])):
             out = out.append_column(name, pa.array([values], pa.list_(pa.float64())))
@@ -266,7 +280,7 @@ def krige_surface(
         if system is None:
             return z, None
         b = np.vstack([-g.T, np.ones(nx)])
-        return z, -(_solve(system, b) * b).sum(axis=0)
+        return z, -(np.linalg.solve(system, b) * b).sum(axis=0)
 
     def evaluate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -36,7 +36,7 @@ def snapshot_bounds(rows: DataFrame, indicator: str) -> DataFrame:
 
 def contour_bands(surface: DataFrame, bounds: DataFrame, levels: int = LEVELS) -> DataFrame:
     """Add ``band``, the contour interval of ``z`` between the snapshot's bounds."""
-    joined = salted_join(surface, bounds.select(*SNAPSHOT, "low", "high"), SNAPSHOT, ["lon", "lat"])
+    joined = salted_join(surface, bounds.select(*SNAPSHOT, "low", "high"), SNAPSHOT, ["lon", "lat", "z"])
     return joined.select(*surface.columns, band(F.col("z"), F.col("low"), F.col("high"), levels).alias("band"))
 
 

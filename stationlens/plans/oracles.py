@@ -384,6 +384,7 @@ SELECT day, hour, bin, n, round(lag, 6) AS lag, round(gamma, 6) AS gamma FROM bi
         "variogram_fit": f"""WITH {e12}, {PLACES}, {VARIOGRAM}, {FIT}
 SELECT day, hour, round(nugget, 6) AS nugget, round(psill, 6) AS psill, round(range, 6) AS range,
        round(sse, 6) AS sse FROM ranked WHERE rn = 1""",
+        "krige_weights": f"WITH {e12}, {PLACES} SELECT day, hour, lon, lat, round(z, 2) AS z FROM places",
         "contour_bands": f"""WITH {e12},
 means AS (SELECT day, hour, lon, lat, {_mean("tmpf")} AS z FROM obs WHERE tmpf IS NOT NULL GROUP BY day, hour, lon, lat),
 bounds AS (SELECT day, hour, min(z) AS low, max(z) AS high FROM means GROUP BY day, hour)

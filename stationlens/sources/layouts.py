@@ -29,38 +29,45 @@ def _write(df: DataFrame, path: str, mode: str, partition_by: tuple[str, ...] =
     return seen.get["rows"]
 
 
-def write_by_station(obs: DataFrame, path: str, mode: str = "overwrite") -> int:
-    ordered = obs.repartitionByRange(*STATION_ORDER).sortWithinPartitions(*STATION_ORDER)
-    return _write(ordered, path, mode)
+def _ordered(obs: DataFrame, order: tuple[str, ...], files: int | None) -> DataFrame:
+    ranges = obs.repartitionByRange(files, *order) if files else obs.repartitionByRange(*order)
+    return ranges.sortWithinPartitions(*order)
 
 
-def write_by_instant(obs: DataFrame, path: str, mode: str = "overwrite") -> int:
-    ordered = obs.repartitionByRange(*INSTANT_ORDER).sortWithinPartitions(*INSTANT_ORDER)
-    return _write(ordered, path, mode, ("day",))
+def write_by_station(obs: DataFrame, path: str, mode: str = "overwrite", files: int | None = None) -> int:
+    """``files`` sets how many ranges are cut; else the shuffle partitions of the session."""
+    return _write(_ordered(obs, STATION_ORDER, files), path, mode)
+
+
+def write_by_instant(obs: DataFrame, path: str, mode: str = "overwrite", files: int | None = None) -> int:
+    return _write(_ordered(obs, INSTANT_ORDER, files), path, mode, ("day",))
 
 
 def station_dimension(obs: DataFrame) -> DataFrame:
-    """(station, lon, lat, station_seq): last coordinates, place of first appearance."""
+    """(station, lon, lat, station_seq): last coordinates, place of first appearance.
+
+    Rows are first reduced to one per coordinates a station ever had.
+    """
+    places = obs.groupBy(
+        "station", F.col("lon").cast("double").alias("lon"), F.col("lat").cast("double").alias("lat")
+    ).agg(F.max("_seq").alias("last"), F.min("_seq").alias("first"))
     return (
-        obs.groupBy("station")
-        .agg(F.max_by(F.struct("lon", "lat"), "_seq").alias("at"), F.min("_seq").alias("station_seq"))
-        .select(
-            "station", F.col("at.lon").cast("double").alias("lon"), F.col("at.lat").cast("double").alias("lat"),
-            "station_seq",
-        )
+        places.groupBy("station")
+        .agg(F.max_by(F.struct("lon", "lat"), "last").alias("at"), F.min("first").alias("station_seq"))
+        .select("station", "at.lon", "at.lat", "station_seq")
     )
 
 
-def build_layouts(obs: DataFrame, root: str, mode: str = "overwrite") -> dict[str, int]:
+def build_layouts(obs: DataFrame, root: str, mode: str = "overwrite", files: int | None = None) -> dict[str, int]:
     """Write all tables below ``root`` and return their row counts.
 
     The input is parsed and deduplicated once; the other tables are made from
     the first one.
     """
     spark = obs.sparkSession
-    counts = {"obs_by_station": write_by_station(obs, f"{root}/obs_by_station", mode)}
+    counts = {"obs_by_station": write_by_station(obs, f"{root}/obs_by_station", mode, files)}
     stored = spark.read.schema(obs.schema).parquet(f"{root}/obs_by_station")
-    counts["obs_by_instant"] = write_by_instant(stored, f"{root}/obs_by_instant", mode)
+    counts["obs_by_instant"] = write_by_instant(stored, f"{root}/obs_by_instant", mode, files)
     counts["stations"] = _write(station_dimension(stored), f"{root}/stations", mode)
     return counts
 
