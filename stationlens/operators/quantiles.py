@@ -1,20 +1,21 @@
 """Exact quantiles of groups that need not fit in one task.
 
 ``percentile`` holds every distinct value of a group in one aggregation buffer.
-Here values are first counted, then ranked inside narrow value bins: a window
-only ever sees the bins of a group or the distinct values of one bin. A bin
-spans 1/64 of an octave, so 32-bit readings have at most 131 072 distinct
-values per bin and 36 000 bins per group, whatever the number of rows.
+Here values are first counted, then the narrow value bin of each wanted rank is
+looked up and only its values are sorted: a window sees the bins of a group or
+the distinct values of one bin. A bin spans 1/16 of an octave, so 32-bit
+readings have at most 524 288 distinct values per bin and 9 000 bins per group,
+whatever the number of rows.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from stationlens.session import written
 
-_BINS_PER_OCTAVE = 64
+_BINS_PER_OCTAVE = 16
 _OFFSET = 1100 * _BINS_PER_OCTAVE  # doubles have exponents above -1100
 
 
@@ -34,55 +35,52 @@ def value_counts(df: DataFrame, keys: list[str], value: str) -> DataFrame:
     )
 
 
-def rank_ranges(counts: DataFrame, keys: list[str]) -> DataFrame:
-    """Add to value counts the 0-based rank of the first copy and the group size.
+def _ranks(probabilities: dict[str, float]) -> dict[str, tuple[str, str, str]]:
+    """Fractional position, and the ranks below and above it, of each quantile as SQL."""
+    at = {name: f"((_total - 1) * {float(p)!r}D)" for name, p in probabilities.items()}
+    return {name: (h, f"floor({h})", f"ceil({h})") for name, h in at.items()}
 
-    The counts are read several times: pass a written table.
-    """
-    counts = counts.filter("value is not null")
-    in_bin = Window.partitionBy(*keys, "_bin").orderBy("value")
-    running = counts.withColumn(
-        "_in_bin", F.sum("n").over(in_bin.rowsBetween(Window.unboundedPreceding, 0))
-    )
-    bins = counts.groupBy(*keys, "_bin").agg(F.sum("n").alias("_bin_n"))
+
+def _wanted_bins(counts: DataFrame, keys: list[str], probabilities: dict[str, float]) -> DataFrame:
+    """The bins holding a wanted rank: at most two per group and probability."""
     by_bin = Window.partitionBy(*keys).orderBy("_bin")
-    offsets = bins.select(
-        *keys,
-        "_bin",
-        (F.sum("_bin_n").over(by_bin.rowsBetween(Window.unboundedPreceding, 0)) - F.col("_bin_n")).alias(
-            "_before"
-        ),
-        F.sum("_bin_n").over(Window.partitionBy(*keys)).alias("_total"),
-    )
-    return running.join(offsets, [*keys, "_bin"]).select(
-        *keys,
-        "value",
-        "n",
-        (F.col("_before") + F.col("_in_bin") - F.col("n")).alias("_start"),
-        "_total",
+    ends = [rank for _, low, high in _ranks(probabilities).values() for rank in (low, high)]
+    holds = " or ".join(f"(_before <= {rank} and {rank} < _before + _bin_n)" for rank in dict.fromkeys(ends))
+    return (
+        counts.groupBy(*keys, "_bin")
+        .agg(F.sum("n").alias("_bin_n"))
+        .select(
+            "*",
+            (F.sum("_bin_n").over(by_bin.rowsBetween(Window.unboundedPreceding, 0)) - F.col("_bin_n")).alias("_before"),
+            F.sum("_bin_n").over(Window.partitionBy(*keys)).alias("_total"),
+        )
+        .filter(holds)
+        .drop("_bin_n")
     )
 
 
-def quantile_aggs(probabilities: dict[str, float]) -> list[Column]:
-    """Linear-interpolation quantiles as aggregates over :func:`rank_ranges`.
+def quantiles_of_counts(counts: DataFrame, keys: list[str], probabilities: dict[str, float]) -> DataFrame:
+    """Linear-interpolation quantiles of each group of :func:`value_counts`.
 
-    Interpolated from the nearer end, which keeps rounding errors smallest.
+    The counts are read twice: pass a written table. Only values in the bins
+    that hold a wanted rank are sorted.
     """
+    counts = counts.filter("value is not null")
+    in_bin = Window.partitionBy(*keys, "_bin").orderBy("value").rowsBetween(Window.unboundedPreceding, 0)
+    ranked = (
+        counts.join(_wanted_bins(counts, keys, probabilities), [*keys, "_bin"])
+        .withColumn("_end", F.col("_before") + F.sum("n").over(in_bin))
+        .withColumn("_start", F.col("_end") - F.col("n"))
+    )
     aggs = []
-    for name, p in probabilities.items():
-        position = f"((_total - 1) * {float(p)!r}D)"
-        low, high = (
-            f"max(case when _start <= {end}({position}) and {end}({position}) < _start + n then value end)"
-            for end in ("floor", "ceil")
-        )
-        part, step = f"max({position} - floor({position}))", f"({high} - {low})"
-        aggs.append(
-            F.expr(f"case when {part} < 0.5D then {low} + {step} * {part} else {high} - {step} * (1 - {part}) end").alias(name)
-        )
-    return aggs
+    for name, (position, *ranks) in _ranks(probabilities).items():
+        low, high = (f"max(case when _start <= {r} and {r} < _end then value end)" for r in ranks)
+        part, step = f"max({position} - {ranks[0]})", f"({high} - {low})"
+        # interpolated from the nearer end, which keeps rounding errors smallest
+        aggs.append(f"case when {part} < 0.5D then {low} + {step} * {part} else {high} - {step} * (1 - {part}) end as {name}")
+    return ranked.groupBy(*keys).agg(*map(F.expr, aggs))
 
 
 def exact_quantiles(df: DataFrame, keys: list[str], value: str, probabilities: dict[str, float]) -> DataFrame:
     """One row per group with one column per named probability."""
-    ranked = rank_ranges(written(value_counts(df, keys, value), "value-counts"), keys)
-    return ranked.groupBy(*keys).agg(*quantile_aggs(probabilities))
+    return quantiles_of_counts(written(value_counts(df, keys, value), "value-counts"), keys, probabilities)

@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 
 from stationlens.functions.stats import from_units, mean, quarter_of, units
 from stationlens.operators.nearest import resolve_points
-from stationlens.operators.quantiles import quantile_aggs, rank_ranges, value_counts
-from stationlens.operators.skew import lookup_join, salted_join
+from stationlens.operators.quantiles import quantiles_of_counts, value_counts
+from stationlens.operators.skew import lookup_join
 from stationlens.schema import check_indicator
 from stationlens.session import written
 
@@ -119,17 +119,17 @@ def _quarter_counts(hist: DataFrame) -> DataFrame:
     return written(value_counts(by_quarter, QUARTER, "value"), "value-counts")
 
 
-def _with_fences(counts: DataFrame, box: DataFrame) -> DataFrame:
+def _boxes(counts: DataFrame) -> DataFrame:
+    return written(quantiles_of_counts(counts, QUARTER, QUARTILES), "boxes")
+
+
+def _with_fences(counts: DataFrame, boxes: DataFrame) -> DataFrame:
     """Value counts with the box of their quarter and the fences around it."""
-    edges = box.select(
-        *QUARTER,
-        "q1",
-        "q3",
-        F.expr(f"q1 - {WHISKER}D * (q3 - q1)").alias("low"),
-        F.expr(f"q3 + {WHISKER}D * (q3 - q1)").alias("high"),
+    edges = boxes.selectExpr(
+        *QUARTER, "q1", "q3", f"q1 - {WHISKER}D * (q3 - q1) as low", f"q3 + {WHISKER}D * (q3 - q1) as high"
     )
     known = counts.filter("value is not null").select(*QUARTER, "value", "n")
-    return salted_join(known, edges, QUARTER, ["value"])
+    return lookup_join(known, edges, boxes.count(), QUARTER, ["value"])
 
 
 def quarter_box_stats(hist: DataFrame, decimals: int | None = None) -> DataFrame:
@@ -139,21 +139,14 @@ def quarter_box_stats(hist: DataFrame, decimals: int | None = None) -> DataFrame
     value lies between.
     """
     counts = _quarter_counts(hist)
+    boxes = _boxes(counts)
     total = F.sum(units(F.col("value"), decimals) * F.col("n"))
-    box = written(
-        rank_ranges(counts, QUARTER)
+    rest = (
+        _with_fences(counts, boxes)
         .groupBy(*QUARTER)
         .agg(
             F.sum("n").alias("n"),
-            *quantile_aggs(QUARTILES),
             (from_units(total, decimals) / F.sum("n")).alias("mean"),
-        ),
-        "boxes",
-    )
-    ends = (
-        _with_fences(counts, box)
-        .groupBy(*QUARTER)
-        .agg(
             F.expr("least(min(case when value >= low then value end), min(q1)) as whisker_low"),
             F.expr("greatest(max(case when value <= high then value end), max(q3)) as whisker_high"),
             F.expr("sum(case when value < low or value > high then n else 0 end) as n_outliers"),
@@ -161,8 +154,8 @@ def quarter_box_stats(hist: DataFrame, decimals: int | None = None) -> DataFrame
     )
     every = counts.select("station").distinct().withColumn("quarter", F.expr("explode(sequence(1, 4))"))
     return (
-        every.join(box, QUARTER, "left")
-        .join(ends, QUARTER, "left")
+        every.join(boxes, QUARTER, "left")
+        .join(rest, QUARTER, "left")
         .withColumns({c: F.coalesce(c, F.lit(0).cast("bigint")) for c in ("n", "n_outliers")})
         .orderBy(*QUARTER)
     )
@@ -171,5 +164,4 @@ def quarter_box_stats(hist: DataFrame, decimals: int | None = None) -> DataFrame
 def quarter_outliers(hist: DataFrame) -> DataFrame:
     """(station, quarter, value, n): the values beyond the fences and how often they occur."""
     counts = _quarter_counts(hist)
-    box = rank_ranges(counts, QUARTER).groupBy(*QUARTER).agg(*quantile_aggs(QUARTILES))
-    return _with_fences(counts, box).filter("value < low or value > high").select(*QUARTER, "value", "n")
+    return _with_fences(counts, _boxes(counts)).filter("value < low or value > high").select(*QUARTER, "value", "n")

@@ -35,7 +35,7 @@ def test_quantile_windows_stay_small(spark):
     df = spark.range(300_000).selectExpr("'hot' as g", "cast(id as float) + 0.5f as v")
     counts = value_counts(df, ["g"], "v")
     per_bin = counts.groupBy("_bin").count().agg({"count": "max", "_bin": "count"}).first()
-    assert per_bin["max(count)"] < 10_000 and per_bin["count(_bin)"] < 36_000
+    assert per_bin["max(count)"] < 40_000 and per_bin["count(_bin)"] < 9_000
 
 
 def hist(spark, rows):
