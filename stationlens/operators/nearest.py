@@ -1,9 +1,11 @@
 """Nearest-station join without comparing every point with every station.
 
 Stations are put into cells of a cube grid around the unit sphere, at several
-levels of detail. Each point walks down the levels; a cell is followed only
-while it can still hold a station nearer than the best representative seen, so
-the answer is exact and the work per point grows with the number of levels.
+levels of detail; each occupied cell keeps one of its stations. The stations
+kept for the cells a point lies in bound its distance to the nearest one, so
+only the few cells within that bound are looked at, and crowded cells among them
+are narrowed down level by level. The answer is exact, and the work per point
+does not grow with the number of stations.
 """
 
 from __future__ import annotations
@@ -17,16 +19,32 @@ from stationlens.functions.geo import haversine_m, unit_vector
 from stationlens.operators.skew import lookup_join
 from stationlens.session import written
 
-_LEVELS = tuple(range(2, 21, 2))  # cell edge 2 / 2**level, down to some 12 m
-_CELL_STATIONS = 64  # stop refining once no cell holds more locations
+_DEEPEST = 18  # cell edge 2 / 2**level, down to some 50 m
+_LEVELS = range(0, _DEEPEST + 1, 2)
+_CROWDED = 16  # cells with more locations are narrowed down
 _SLACK = 1e-7  # rounding margin on unit-sphere distances
 
+_SIDE = "shiftleft(1L, level)"
+_DIAMETER = f"({2 * math.sqrt(3)!r}D / {_SIDE} + {_SLACK!r}D)"
+_CHORD = "sqrt((px - x) * (px - x) + (py - y) * (py - y) + (pz - z) * (pz - z))"
+_POINT = ("point_id", "plon", "plat", "px", "py", "pz")
+
+
+def _index(value: str) -> str:
+    """Cell index of a coordinate along one axis at the column ``level``."""
+    return f"cast(least(greatest(floor(({value} + 1) / 2 * {_SIDE}), 0), {_SIDE} - 1) as bigint)"
 
-def _cell(level: int) -> str:
-    """Cell number of the columns x, y, z at a level, as SQL."""
-    side = 1 << level
-    x, y, z = (f"cast(least(floor(({c} + 1) / 2 * {side}), {side - 1}) as bigint)" for c in "xyz")
-    return f"shiftleft({x}, 40) + shiftleft({y}, 20) + {z}"
+
+def _node(ix: str, iy: str, iz: str) -> str:
+    return f"shiftleft(cast(level as bigint), 54) + shiftleft({ix}, 36) + shiftleft({iy}, 18) + {iz}"
+
+
+def _nodes_of(df: DataFrame, *xyz: str) -> DataFrame:
+    """One row per level with the cell ``node`` the position lies in."""
+    levels = ", ".join(map(str, _LEVELS))
+    return df.selectExpr("*", f"explode(array({levels})) as level").selectExpr(
+        "*", f"{_node(*map(_index, xyz))} as node"
+    )
 
 
 def _places(stations: DataFrame) -> DataFrame:
@@ -40,36 +58,24 @@ def _places(stations: DataFrame) -> DataFrame:
     )
 
 
-def _levels_needed(places: DataFrame) -> list[int]:
-    at = ", ".join(f"struct({n} as level, {_cell(n)} as cell)" for n in _LEVELS)
-    fullest = (
-        places.selectExpr(f"explode(array({at})) as at")
-        .groupBy("at.level", "at.cell")
-        .count()
-        .groupBy("level")
-        .agg(F.max("count").alias("n"))
-    )
-    fine = [r["level"] for r in fullest.collect() if r["n"] <= _CELL_STATIONS]  # at most ten rows
-    return [n for n in _LEVELS if n <= (min(fine) if fine else _LEVELS[-1])]
-
-
-def _pyramid(places: DataFrame, levels: list[int]) -> DataFrame:
-    """(level, parent, cell, x, y, z): each occupied cell with one of its stations."""
-    at = ", ".join(
-        f"struct({n} as level, {_cell(up) if up else '0L'} as parent, {_cell(n)} as cell)"
-        for up, n in zip([0, *levels], levels)
+def _pyramid(homes: DataFrame) -> DataFrame:
+    """(level, node, n, x, y, z, parent, parent_n): occupied cells, each with one of its stations."""
+    cells = (
+        homes.groupBy("level", "node")
+        .agg(F.count("*").alias("n"), F.min_by(F.struct("x", "y", "z"), "station_seq").alias("rep"))
+        .select("level", "node", "n", "rep.x", "rep.y", "rep.z")
     )
+    siblings = Window.partitionBy("parent")  # at most 64 cells
     return (
-        places.selectExpr("x", "y", "z", "station_seq", f"explode(array({at})) as at")
-        .groupBy("at.level", "at.parent", "at.cell")
-        .agg(F.min_by(F.struct("x", "y", "z"), "station_seq").alias("rep"))
-        .select("level", "parent", "cell", "rep.x", "rep.y", "rep.z")
+        cells.filter("level > 0")
+        .withColumns({"own_level": F.col("level"), "level": F.greatest(F.col("level") - 2, F.lit(0))})
+        .withColumn("parent", F.expr(_node(*map(_index, "xyz"))))
+        .withColumns({"level": F.col("own_level"), "parent_n": F.sum("n").over(siblings)})
+        .drop("own_level")
+        .unionByName(cells.filter("level = 0").selectExpr("*", "cast(null as bigint) as parent", "0L as parent_n"))
     )
 
 
-_CHORD = "sqrt((px - x) * (px - x) + (py - y) * (py - y) + (pz - z) * (pz - z))"
-
-
 def nearest_station(points: DataFrame, stations: DataFrame) -> DataFrame:
     """(point_id, lon, lat) x (station, lon, lat, station_seq) -> the nearest one.
 
@@ -78,37 +84,61 @@ def nearest_station(points: DataFrame, stations: DataFrame) -> DataFrame:
     ``point_id`` must be unique.
     """
     spark = points.sparkSession
+    lon, lat = F.col("lon").cast("double"), F.col("lat").cast("double")
+    x, y, z = unit_vector(lon, lat)
     points = points.filter("lon is not null and lat is not null").select(
-        "point_id", F.col("lon").cast("double").alias("plon"), F.col("lat").cast("double").alias("plat")
+        "point_id", lon.alias("plon"), lat.alias("plat"), x.alias("px"), y.alias("py"), z.alias("pz")
     )
     places = written(_places(stations), "places")
-    count = places.count()
-    if count == 0:
+    rows = places.count() * len(_LEVELS)  # no table below is longer
+    if rows == 0:
         return points.select("point_id", F.lit("").alias("station"), F.lit(None).cast("double").alias("distance_m"))
+    homes = _nodes_of(places, "x", "y", "z")
+    pyramid = written(_pyramid(homes), "pyramid")
 
-    levels = _levels_needed(places)
-    pyramid = written(_pyramid(places, levels), "pyramid")
-    px, py, pz = unit_vector(F.col("plon"), F.col("plat"))
     # Few bytes per point, much work: partitions of a stated number are not merged by size.
     tasks = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    frontier = points.select(
-        "*", px.alias("px"), py.alias("py"), pz.alias("pz"), F.lit(0).cast("bigint").alias("cell")
-    ).repartition(tasks, "point_id")
+    own = _nodes_of(points.repartition(tasks, "point_id"), "px", "py", "pz")
+    kept = pyramid.select("node", "x", "y", "z")
+    bounded = (
+        lookup_join(own, kept, rows, ["node"], ["point_id"])
+        .groupBy(*_POINT)
+        .agg(F.min(F.expr(_CHORD)).alias("reach"))
+    )
+
+    # Cells within reach, at the finest level whose cells are no smaller than the reach.
+    level = f"greatest(0, least({_DEEPEST}, 2 * cast(floor(log2(2 / (reach + {_SLACK!r}D)) / 2) as int)))"
+    around = bounded.selectExpr("*", f"{level} as level")
+    for c in "xyz":
+        low, high = _index(f"p{c} - reach - {_SLACK!r}D"), _index(f"p{c} + reach + {_SLACK!r}D")
+        around = around.selectExpr("*", f"explode(sequence({low}, {high})) as i{c}")
+    around = around.selectExpr(*_POINT, "reach", "level", f"{_node('ix', 'iy', 'iz')} as node")
+    frontier = (
+        lookup_join(around, kept, rows, ["node"], ["point_id"])
+        .selectExpr(*_POINT, "reach", "level", "node", f"{_CHORD} as d")
+        .filter(f"d - {_DIAMETER} <= reach")
+        .sortWithinPartitions("point_id")  # kept by the joins below, so their windows need no sort
+    )
+
+    crowded = pyramid.filter(f"n > {_CROWDED} and level < {_DEEPEST}").select("level").distinct().collect()
     per_point = Window.partitionBy("point_id")
-    for level in levels:
-        children = pyramid.filter(F.col("level") == level).select(
-            F.col("parent").alias("cell"), F.col("cell").alias("child"), "x", "y", "z"
+    for at in sorted(r["level"] for r in crowded):  # at most nine
+        inner = pyramid.filter(f"level = {at + 2} and parent_n > {_CROWDED}").selectExpr(
+            "parent as node", "node as inner", "x", "y", "z"
         )
-        reach = math.sqrt(3) * 2 / (1 << level) + _SLACK
         frontier = (
-            lookup_join(frontier, children, count, ["cell"], ["point_id"])
-            .withColumn("_d", F.expr(_CHORD))
-            .withColumn("_best", F.min("_d").over(per_point))
-            .filter(F.col("_d") - reach <= F.col("_best"))
-            .select("point_id", "plon", "plat", "px", "py", "pz", F.col("child").alias("cell"))
+            lookup_join(frontier, inner, rows, ["node"], ["point_id"], how="left")
+            .selectExpr(
+                *_POINT, "reach", f"if(inner is null, level, {at + 2}) as level",
+                "coalesce(inner, node) as node", f"coalesce({_CHORD}, d) as d",
+            )
+            .withColumn("reach", F.least("reach", F.min("d").over(per_point)))
+            .filter(f"d - {_DIAMETER} <= reach")
         )
-    leaves = places.selectExpr(f"{_cell(levels[-1])} as cell", "lon", "lat", "station", "station_seq")
-    found = lookup_join(frontier, leaves, count, ["cell"], ["point_id"]).withColumn(
+
+    small = pyramid.filter(f"n <= {_CROWDED} or level = {_DEEPEST}").select("node")
+    leaves = homes.join(small, "node").select("node", "lon", "lat", "station", "station_seq")
+    found = lookup_join(frontier, leaves, rows, ["node"], ["point_id"]).withColumn(
         "_d", haversine_m(F.col("lon"), F.col("lat"), F.col("plon"), F.col("plat"))
     )
     return (

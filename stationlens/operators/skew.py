@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 DEFAULT_SALTS = 32
 #: A side may be broadcast when it has been counted and is no longer than this.
-BROADCAST_ROWS = 200_000
+BROADCAST_ROWS = 500_000
 
 
 def salted_join(
@@ -38,7 +38,7 @@ def lookup_join(
     spread: list[str],
     how: str = "inner",
 ) -> DataFrame:
-    """Join ``big`` to a ``table`` already counted to have ``rows`` rows.
+    """Join ``big`` to a ``table`` counted to have at most ``rows`` (narrow) rows.
 
     Short tables are broadcast, longer ones joined with salted keys.
     """
