@@ -14,9 +14,23 @@ ROWS_ONLY = {"kmeans_ml", "krige_surface", "indicator_map", "krige_variance"}
 
 @pytest.mark.parametrize("name", sorted(ORACLES))
 def test_matches_sql(spark, duck, sf_dir, name):
-    rows, problems = compare.differences(QUERIES[name](spark, sf_dir), duck, ORACLES[name])
+    df = QUERIES[name](spark, sf_dir)
+    rows, problems = compare.differences(df, duck, ORACLES[name])
     assert not problems
     assert rows > 0
+    assert_no_all_pairs(df)
+
+
+def assert_no_all_pairs(df):
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" not in plan and "NestedLoopJoin" not in plan
+
+
+@pytest.mark.parametrize("name", sorted(ROWS_ONLY))
+def test_runs_over_all_snapshots(spark, sf_dir, name):
+    df = QUERIES[name](spark, sf_dir)
+    assert df.count() > 0
+    assert_no_all_pairs(df)
 
 
 def test_only_unsolvable_ones_lack_sql():
