@@ -19,7 +19,10 @@ def minmax_bounds(df: DataFrame, features: list[str]) -> DataFrame:
 
 
 def minmax_scale(df: DataFrame, features: list[str]) -> DataFrame:
-    """Scale every feature to [0, 1]; the one-row bounds come in as a scalar subquery."""
+    """Scale every feature to [0, 1]; the one-row bounds come in as a scalar subquery.
+
+    ``df`` is read twice: pass a written table.
+    """
     bounds = minmax_bounds(df, features)
     row = bounds.select(F.struct(*bounds.columns).alias("b")).scalar()
     scaled = {c: minmax(F.col(c), row[f"{c}_min"], row[f"{c}_max"]) for c in features}

@@ -137,7 +137,9 @@ def nearest_station(points: DataFrame, stations: DataFrame) -> DataFrame:
         )
 
     small = pyramid.filter(f"n <= {_CROWDED} or level = {_DEEPEST}").select("node")
-    leaves = homes.join(small, "node").select("node", "lon", "lat", "station", "station_seq")
+    leaves = lookup_join(homes, small, rows, ["node"], ["station_seq"]).select(
+        "node", "lon", "lat", "station", "station_seq"
+    )
     found = lookup_join(frontier, leaves, rows, ["node"], ["point_id"]).withColumn(
         "_d", haversine_m(F.col("lon"), F.col("lat"), F.col("plon"), F.col("plat"))
     )

@@ -77,7 +77,8 @@ def quantiles_of_counts(counts: DataFrame, keys: list[str], probabilities: dict[
         low, high = (f"max(case when _start <= {r} and {r} < _end then value end)" for r in ranks)
         part, step = f"max({position} - {ranks[0]})", f"({high} - {low})"
         # interpolated from the nearer end, which keeps rounding errors smallest
-        aggs.append(f"case when {part} < 0.5D then {low} + {step} * {part} else {high} - {step} * (1 - {part}) end as {name}")
+        upward, downward = f"{low} + {step} * {part}", f"{high} - {step} * (1 - {part})"
+        aggs.append(f"case when {part} < 0.5D then {upward} else {downward} end as `{name}`")
     return ranked.groupBy(*keys).agg(*map(F.expr, aggs))
 
 

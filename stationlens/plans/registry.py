@@ -367,8 +367,9 @@ def krige_weights(spark, sf):
     """The values the weights give back at the stations, where kriging is exact."""
     weights = im.fitted_weights(_snapshots(spark, sf), "feel")
     distance = "sqrt(power(p.lons - lon, 2) + power(p.lats - lat, 2))"
-    rise = f"if({distance} <= 1e-10, 0d, nugget + if(psill > 0, psill * (1 - exp(-power({distance} / (range * 4 / 7), 2))), 0d))"
-    terms = f"transform(arrays_zip(lons, lats, weights), p -> p.weights * ({rise}))"
+    rise = f"if(psill > 0, psill * (1 - exp(-power({distance} / (range * 4 / 7), 2))), 0d)"
+    gamma = f"if({distance} <= 1e-10, 0d, nugget + {rise})"
+    terms = f"transform(arrays_zip(lons, lats, weights), p -> p.weights * {gamma})"
     return weights.selectExpr("*", "explode(arrays_zip(lons, lats)) as s").selectExpr(
         "*", "s.lons as lon", "s.lats as lat"
     ).selectExpr(*im.SNAPSHOT, "lon", "lat", f"round(constant - aggregate({terms}, 0d, (a, b) -> a + b), 2) as z")

@@ -14,6 +14,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
+from stationlens.session import written
+
 STATION_ORDER = ("station", "ts")
 INSTANT_ORDER = ("day", "hour", "minute", "station")
 TABLES = ("obs_by_station", "obs_by_instant", "stations")
@@ -101,7 +103,7 @@ def day_coverage(obs: DataFrame, start=None, end=None) -> DataFrame:
     """
     if start is not None:
         obs = period_rows(obs, start, end)
-    counts = obs.groupBy("day").agg(F.count("*").alias("n"))
+    counts = written(obs.groupBy("day").agg(F.count("*").alias("n")), "day-counts")
     span = counts.agg(F.min("day").alias("a"), F.max("day").alias("b"))
     if start is not None:
         span = span.select(F.to_date(F.lit(start)).alias("a"), F.to_date(F.lit(end)).alias("b"))

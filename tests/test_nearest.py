@@ -58,7 +58,7 @@ def test_long_dimension_is_joined_without_broadcast(spark, monkeypatch):
 
 
 def test_work_per_point_does_not_follow_the_number_of_stations(spark, monkeypatch):
-    """The last step compares a point with few stations only."""
+    """Every join that carries points has few rows per point."""
     rng = np.random.default_rng(4)
     seen = []
     original = nearest.lookup_join
@@ -71,7 +71,8 @@ def test_work_per_point_does_not_follow_the_number_of_stations(spark, monkeypatc
     monkeypatch.setattr(nearest, "lookup_join", counting)
     p, s = frames(spark, sphere(rng, 100), sphere(rng, 20_000))
     nearest_station(p, s).count()
-    assert all(step.count() < 100 * 400 for step in seen)
+    steps = [step for step in seen if "point_id" in step.columns]
+    assert len(steps) >= 3 and all(step.count() < 100 * 400 for step in steps)
 
 
 def test_ties_and_empty_dimension(spark):
