@@ -6,6 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from stationlens.llm.common import table
+from stationlens.session import new_path
 
 #: Where the tokenizer files lie; a parameter, they are not part of the repository.
 TOKENIZER_JSON = public_tokenizers.path("byte_bpe_50k.json")
@@ -27,6 +28,16 @@ def _tokenizer() -> str:
         return file.read()
 
 
+@query("op1_token_store")
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents written to a token store and read back from it."""
+    from stationlens.llm.token_store import read_store, write_store
+
+    path = new_path(spark, "tokens")
+    write_store(table(spark, sf_dir, "documents"), path, _tokenizer())
+    return read_store(spark, path, with_ids=False)
+
+
 @query("op10_packing")
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pieces of all documents in sequences of at most 1024 tokens."""
