@@ -38,6 +38,14 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_store(spark, path, with_ids=False)
 
 
+@query("op9_simhash")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of all documents and the groups they form at three bits."""
+    from stationlens.llm.simhash import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "documents"), width=3, max_bits=3).drop("simhash")
+
+
 @query("op10_packing")
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pieces of all documents in sequences of at most 1024 tokens."""
