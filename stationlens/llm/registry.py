@@ -38,6 +38,15 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_store(spark, path, with_ids=False)
 
 
+@query("op3_quality_rules")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base counts of all documents and the verdict of the robust outlier test."""
+    from stationlens.llm.quality_rules import base_counts, verdicts
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
+    return verdicts(base_counts(docs).drop("text")).drop("lang", "source")
+
+
 @query("op9_simhash")
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprints of all documents and the groups they form at three bits."""
