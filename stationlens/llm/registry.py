@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from stationlens.llm.common import table
 from stationlens.session import new_path
@@ -47,6 +48,17 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return verdicts(base_counts(docs).drop("text")).drop("lang", "source")
 
 
+@query("op4_language_id")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Predicted language of all documents, learned from those not held out."""
+    from stationlens.llm.language_id import identify, learn
+
+    part = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))) % 4
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", (part == 2).alias("held_out"))
+    model = learn(docs.filter("not held_out"))
+    return identify(docs, model).select("doc_id", "held_out", "lang_pred", "score")
+
+
 @query("op9_simhash")
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprints of all documents and the groups they form at three bits."""
