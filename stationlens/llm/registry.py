@@ -11,6 +11,7 @@ from stationlens.session import new_path
 
 #: Where the tokenizer files lie; a parameter, they are not part of the repository.
 TOKENIZER_JSON = public_tokenizers.path("byte_bpe_50k.json")
+TOKENIZER_RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 
 QUERIES = {}
 ORACLES: dict[str, str] = {}
@@ -59,6 +60,16 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(docs, model).select("doc_id", "held_out", "lang_pred", "score")
 
 
+@query("op5_prefix_bpe")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents encoded by the prefix tables and decoded again."""
+    from stationlens.llm.prefix_bpe import encode_documents
+
+    with open(TOKENIZER_RANKS, encoding="ascii") as file:
+        ranks = file.read()
+    return encode_documents(table(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN, with_ids=False)
+
+
 @query("op9_simhash")
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprints of all documents and the groups they form at three bits."""
