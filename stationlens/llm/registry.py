@@ -70,6 +70,16 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_documents(table(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN, with_ids=False)
 
 
+@query("op8_kneser_ney")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores of all documents by a model of those not held out."""
+    from stationlens.llm.kneser_ney import learn, score
+
+    part = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))) % 7
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", (part == 2).alias("held_out"))
+    return score(docs, learn(docs.filter("not held_out")))
+
+
 @query("op9_simhash")
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprints of all documents and the groups they form at three bits."""
