@@ -70,6 +70,15 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_documents(table(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN, with_ids=False)
 
 
+@query("op7_suffix_dedup")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents without the 50-byte strings that smaller documents hold."""
+    from stationlens.llm.suffix_dedup import remove_repeats
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return remove_repeats(docs, length=50, with_text=False)
+
+
 @query("op8_kneser_ney")
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Scores of all documents by a model of those not held out."""
