@@ -70,6 +70,14 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_documents(table(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN, with_ids=False)
 
 
+@query("op6_kmeans_tree")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The twenty nearest rows of every vector whose id is divisible by 20."""
+    from stationlens.llm.kmeans_tree import search
+
+    return search(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"), k=20)
+
+
 @query("op7_suffix_dedup")
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents without the 50-byte strings that smaller documents hold."""
