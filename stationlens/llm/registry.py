@@ -6,6 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from stationlens.llm import warc
 from stationlens.llm.common import table
 from stationlens.session import new_path
 
@@ -40,6 +41,18 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_store(spark, path, with_ids=False)
 
 
+@query("op2_warc_derivatives")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Metadata and conversion records of all pages, with the hash of each complete record."""
+    from stationlens.llm.warc import derivatives, responses_of_pages
+
+    records = derivatives(responses_of_pages(table(spark, sf_dir, "pages")).select("page_id", "record"))
+    return records.withColumn("record_sha256", F.sha2(F.encode("record", "UTF-8"), 256)).drop("record")
+
+
+ORACLES["op2_warc_derivatives"] = warc.oracle()
+
+
 @query("op3_quality_rules")
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Base counts of all documents and the verdict of the robust outlier test."""
