@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -124,3 +125,8 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     from stationlens.llm.packing import pack
 
     return pack(table(spark, sf_dir, "documents"), _tokenizer(), with_ids=False)
+
+
+QUERIES["pipeline"] = corpus_pipeline.run
+if corpus_pipeline.ORACLE_SQL is not None:
+    ORACLES["pipeline"] = corpus_pipeline.ORACLE_SQL
