@@ -23,7 +23,7 @@ def mean(value, decimals: int | None = None) -> Column:
     """Arithmetic mean; with ``decimals``, over whole units (see :func:`units`)."""
     if decimals is None:
         return F.avg(value.cast("double"))
-    return from_units(F.sum(units(value, decimals)), decimals) / F.count(value)
+    return from_units(F.sum(units(value, decimals).cast("decimal(38,0)")), decimals) / F.count(value)
 
 
 def minmax(value, low, high) -> Column:

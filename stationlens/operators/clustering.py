@@ -45,14 +45,25 @@ def collect_centres(start: DataFrame, features: list[str], k: int) -> list[list[
     return [[float(v) for v in r] for r in rows]
 
 
+#: Units of a sum of features: whole ones add up to the same in any order.
+_UNIT = float(1 << 40)
+
+
 def centre_distances(features: list[str], centres: list[list[float]]) -> Column:
-    """Array of the distances to all centres, as plain arithmetic on columns."""
+    """Array of the distances to all centres.
+
+    The centres are one array value, so every round runs the same generated code.
+    """
+    table = F.lit([[float(v) for v in c] for c in centres])
 
     def distance(centre):
-        gaps = (f"(`{f}` - ({float(v)!r}D))" for f, v in zip(features, centre))
-        return "sqrt(" + " + ".join(f"{gap} * {gap}" for gap in gaps) + ")"
+        gaps = [F.col(f"`{f}`") - centre[i] for i, f in enumerate(features)]
+        total = gaps[0] * gaps[0]
+        for gap in gaps[1:]:
+            total = total + gap * gap
+        return F.sqrt(total)
 
-    return F.expr(f"array({', '.join(map(distance, centres))})")
+    return F.transform(table, distance)
 
 
 def assign(points: DataFrame, features: list[str], centres: list[list[float]]) -> DataFrame:
@@ -67,7 +78,12 @@ def assign(points: DataFrame, features: list[str], centres: list[list[float]]) -
 
 def centre_means(assigned: DataFrame, features: list[str]) -> DataFrame:
     """Mean vector and size of every non-empty cluster."""
-    return assigned.groupBy("label").agg(F.count("*").alias("n"), *[F.avg(f).alias(f) for f in features])
+
+    def average(feature):
+        whole = F.rint(F.col(f"`{feature}`") * _UNIT).cast("decimal(38,0)")
+        return (F.sum(whole).cast("double") / _UNIT / F.count("*")).alias(feature)
+
+    return assigned.groupBy("label").agg(F.count("*").alias("n"), *map(average, features))
 
 
 def step(points: DataFrame, features: list[str], centres: list[list[float]]) -> tuple[list[list[float]], float]:
@@ -120,13 +136,3 @@ def kmeans(
     centres = fit(points, features, collect_centres(start, features, k), max_iter, eps)
     return assign(points, features, centres)
 
-
-def kmeans_ml(points: DataFrame, features: list[str], k: int, seed: int = 42) -> DataFrame:
-    """The same clustering by Spark ML, whose start centres cannot be handed in."""
-    from pyspark.ml.clustering import KMeans
-    from pyspark.ml.feature import VectorAssembler
-
-    vectors = VectorAssembler(inputCols=features, outputCol="_v").transform(points)
-    vectors = written(vectors, "kmeans-vectors")
-    model = KMeans(k=k, seed=seed, initMode="random", featuresCol="_v", predictionCol="label", tol=1e-4).fit(vectors)
-    return model.transform(vectors).drop("_v")

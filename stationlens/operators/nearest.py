@@ -80,10 +80,13 @@ def nearest_station(points: DataFrame, stations: DataFrame) -> DataFrame:
     """(point_id, lon, lat) x (station, lon, lat, station_seq) -> the nearest one.
 
     Returns ``point_id, station, distance_m``; of equally near stations the one
-    with the lowest ``station_seq`` wins, and an empty dimension gives ``''``.
-    ``point_id`` must be unique.
+    with the lowest ``station_seq`` wins. A point without coordinates, or with an
+    empty dimension, gets the station ``''`` and no distance. Each distinct
+    (point_id, lon, lat) gives one row.
     """
     spark = points.sparkSession
+    blank = (F.lit("").alias("station"), F.lit(None).cast("double").alias("distance_m"))
+    lost = points.filter("lon is null or lat is null").select("point_id", "lon", "lat").distinct().select("point_id", *blank)
     lon, lat = F.col("lon").cast("double"), F.col("lat").cast("double")
     x, y, z = unit_vector(lon, lat)
     points = points.filter("lon is not null and lat is not null").select(
@@ -92,7 +95,7 @@ def nearest_station(points: DataFrame, stations: DataFrame) -> DataFrame:
     places = written(_places(stations), "places")
     rows = places.count() * len(_LEVELS)  # no table below is longer
     if rows == 0:
-        return points.select("point_id", F.lit("").alias("station"), F.lit(None).cast("double").alias("distance_m"))
+        return points.select("point_id", "plon", "plat").distinct().select("point_id", *blank).unionByName(lost)
     homes = _nodes_of(places, "x", "y", "z")
     pyramid = written(_pyramid(homes), "pyramid")
 
@@ -117,11 +120,11 @@ def nearest_station(points: DataFrame, stations: DataFrame) -> DataFrame:
         lookup_join(around, kept, rows, ["node"], ["point_id"])
         .selectExpr(*_POINT, "reach", "level", "node", f"{_CHORD} as d")
         .filter(f"d - {_DIAMETER} <= reach")
-        .sortWithinPartitions("point_id")  # kept by the joins below, so their windows need no sort
+        .sortWithinPartitions("point_id", "plon", "plat")  # kept by the joins below, so their windows need no sort
     )
 
     crowded = pyramid.filter(f"n > {_CROWDED} and level < {_DEEPEST}").select("level").distinct().collect()
-    per_point = Window.partitionBy("point_id")
+    per_point = Window.partitionBy("point_id", "plon", "plat")
     for at in sorted(r["level"] for r in crowded):  # at most nine
         inner = pyramid.filter(f"level = {at + 2} and parent_n > {_CROWDED}").selectExpr(
             "parent as node", "node as inner", "x", "y", "z"
@@ -143,11 +146,8 @@ def nearest_station(points: DataFrame, stations: DataFrame) -> DataFrame:
     found = lookup_join(frontier, leaves, rows, ["node"], ["point_id"]).withColumn(
         "_d", haversine_m(F.col("lon"), F.col("lat"), F.col("plon"), F.col("plat"))
     )
-    return (
-        found.groupBy("point_id")
-        .agg(F.min(F.struct("_d", "station_seq", "station")).alias("best"))
-        .select("point_id", "best.station", F.col("best._d").alias("distance_m"))
-    )
+    best = found.groupBy("point_id", "plon", "plat").agg(F.min(F.struct("_d", "station_seq", "station")).alias("best"))
+    return best.select("point_id", "best.station", F.col("best._d").alias("distance_m")).unionByName(lost)
 
 
 def resolve_points(points: DataFrame, stations: DataFrame) -> DataFrame:

@@ -108,10 +108,14 @@ judged AS (
 
 STATIONS = """
 stations AS (
-  SELECT station, arg_max(lon, _seq) AS lon, arg_max(lat, _seq) AS lat, min(_seq) AS station_seq
+  SELECT station, arg_max(lon, _seq) FILTER (WHERE minute % 3 <> 0) AS lon,
+         arg_max(lat, _seq) FILTER (WHERE minute % 3 <> 0) AS lat, min(_seq) AS station_seq
   FROM obs GROUP BY station)"""
 
 
+UNPLACED = f"CASE WHEN c_custkey % 50 <> 0 THEN {_plon('c_custkey')} END"
+
+
 def _nearest(points: str) -> str:
     return f"""
 points AS ({points}),
@@ -184,16 +188,28 @@ a{i} AS (
     FROM scaled p, k{i} k) WHERE rn = 1)"""
 
 
-def _moved(i: int) -> str:
-    means = ", ".join(f"avg({c}) AS {c}" for c in F_COLS)
-    kept = ", ".join(f"coalesce(m.{c}, k.{c}) AS {c}" for c in F_COLS)
-    return f""",
-m{i} AS (SELECT label, {means} FROM a{i} GROUP BY label),
-k{i + 1} AS (SELECT k.label, {kept} FROM k{i} k LEFT JOIN m{i} m ON k.label = m.label)"""
+def _lloyd(k: int) -> str:
+    """Centres ``final`` and points ``labelled``: rounds until the centres move at most EPS."""
+    cols = ", ".join(F_COLS)
+    gap = " + ".join(f"(p.{c} - k.{c}) * (p.{c} - k.{c})" for c in F_COLS)
+    means = ", ".join(f"coalesce(m.{c}, k.{c}) AS {c}" for c in F_COLS)
+    moved = " + ".join(f"(coalesce(m.{c}, k.{c}) - k.{c}) * (coalesce(m.{c}, k.{c}) - k.{c})" for c in F_COLS)
 
+    def labelled(centres: str) -> str:
+        return f"""SELECT p.station, p.lon, p.lat, {", ".join(f"p.{c}" for c in F_COLS)}, k.label, sqrt({gap}) AS distance,
+           row_number() OVER (PARTITION BY p.station, p.lon, p.lat ORDER BY sqrt({gap}), k.label) AS rn
+    FROM scaled p, {centres} k"""
 
-def _lloyd(k: int, rounds: int) -> str:
-    return _scaled() + _centres(k) + "".join(_assigned(i) + _moved(i) for i in range(rounds)) + _assigned(rounds)
+    return f"""{_scaled()}{_centres(k)},
+rounds AS (
+  SELECT 0 AS i, label, {cols}, CAST(1 AS DOUBLE) AS shift FROM k0
+  UNION ALL
+  SELECT k.i + 1, k.label, {means}, sqrt(sum({moved}) OVER ()) AS shift
+  FROM (SELECT * FROM rounds WHERE shift > {r.EPS} AND i < {r.MAX_ROUNDS}) k
+  LEFT JOIN (SELECT label, {", ".join(f"avg({c}) AS {c}" for c in F_COLS)}
+             FROM ({labelled("rounds")}) a WHERE rn = 1 GROUP BY label) m ON k.label = m.label),
+final AS (SELECT * FROM rounds WHERE i = (SELECT max(i) FROM rounds)),
+labelled AS (SELECT * FROM ({labelled("final")}) f WHERE rn = 1)"""
 
 
 PLACES = """
@@ -309,16 +325,16 @@ FROM means m JOIN normals c ON m.station = c.station AND m.month = c.month""",
             _plon("c_custkey"), _plat("c_custkey"), _slon("n_nationkey"), _slat("n_nationkey"))}, 3) AS distance_m
 FROM customer JOIN nation ON c_nationkey = n_nationkey""",
         "station_dim": f"""WITH {e1}
-SELECT station, arg_max(lon + day_of_month / CAST(100 AS DOUBLE), _seq) AS lon, arg_max(lat, _seq) AS lat,
-       min(_seq) AS station_seq FROM obs GROUP BY station""",
+SELECT station, arg_max(lon + day_of_month / CAST(100 AS DOUBLE), _seq) FILTER (WHERE minute % 3 <> 0) AS lon,
+       arg_max(lat, _seq) FILTER (WHERE minute % 3 <> 0) AS lat, min(_seq) AS station_seq FROM obs GROUP BY station""",
         "nearest_station": f"""WITH {e1}, {STATIONS},
-{_nearest(f"SELECT c_custkey AS point_id, {_plon('c_custkey')} AS lon, {_plat('c_custkey')} AS lat FROM customer")}
-SELECT point_id, station, round(d, 3) AS distance_m FROM nearest""",
+{_nearest(f"SELECT c_custkey AS point_id, {UNPLACED} AS lon, {_plat('c_custkey')} AS lat FROM customer")}
+SELECT point_id, CASE WHEN d IS NULL THEN '' ELSE station END AS station, round(d, 3) AS distance_m FROM nearest""",
         "resolve_points": f"""WITH {e1}, {STATIONS},
-{_nearest(f"SELECT c_custkey AS point_id, {_plon('c_custkey')} AS lon, {_plat('c_custkey')} AS lat FROM customer "
+{_nearest(f"SELECT c_custkey AS point_id, {UNPLACED} AS lon, {_plat('c_custkey')} AS lat FROM customer "
           "WHERE c_mktsegment <> 'MACHINERY'")}
 SELECT c_custkey AS point_id, CAST(c_nationkey AS VARCHAR) AS station FROM customer WHERE c_mktsegment = 'MACHINERY'
-UNION ALL SELECT point_id, station FROM nearest""",
+UNION ALL SELECT point_id, CASE WHEN d IS NULL THEN '' ELSE station END FROM nearest""",
         "parse_valid": f"WITH {RAW} SELECT _seq, valid, year, month, day_of_month, hour, minute, ts FROM judged",
         "ingest_quality": f"WITH {RAW} " + " UNION ALL ".join(
             f"SELECT '{n}' AS reason, count(*) FILTER (WHERE {c}) AS n FROM judged" for n, c in quality),
@@ -352,20 +368,21 @@ centres AS (SELECT label, i, avg(x) AS c FROM parts GROUP BY label, i)
 SELECT vec_id, p.label, round(sqrt(sum((x - c) * (x - c))), 6) AS distance
 FROM parts p JOIN centres m ON p.label = m.label AND p.i = m.i GROUP BY vec_id, p.label""",
         "kmeans_init": f"""WITH {_features(r.FULL_PERIOD)}
-SELECT CAST(row_number() OVER (ORDER BY lot, station) - 1 AS INTEGER) AS centre, station, {", ".join(F_COLS)}
-FROM (SELECT *, md5(concat_ws(':', '42', station)) AS lot FROM features ORDER BY lot, station LIMIT {r.CENTRES})""",
-        "kmeans_assign": f"""WITH {_lloyd(r.CENTRES, 0)}
+SELECT CAST(row_number() OVER (ORDER BY lot, station, lon, lat) - 1 AS INTEGER) AS centre, station, lon, lat, {", ".join(F_COLS)}
+FROM (SELECT *, md5(concat_ws(':', '42', station, lon, lat)) AS lot FROM features
+      ORDER BY lot, station, lon, lat LIMIT {r.CENTRES})""",
+        "kmeans_assign": f"""WITH {_scaled()}{_centres(r.CENTRES)}{_assigned(0)}
 SELECT station, CAST(label AS INTEGER) AS label, round(distance, 6) AS distance FROM a0""",
-        "kmeans_step": f"""WITH {_lloyd(r.CENTRES, 0)}, means AS (
+        "kmeans_step": f"""WITH {_scaled()}{_centres(r.CENTRES)}{_assigned(0)}, means AS (
   SELECT CAST(label AS INTEGER) AS label, count(*) AS n, {", ".join(f"avg({c}) AS {c}" for c in F_COLS)}
   FROM a0 GROUP BY label)
 SELECT label, n, {rounded} FROM means""",
-        "kmeans_fit": f"""WITH {_lloyd(r.CENTRES, r.ROUNDS)}
-SELECT station, CAST(label AS INTEGER) AS label, round(distance, 6) AS distance FROM a{r.ROUNDS}""",
-        "cluster_period": f"""WITH {_lloyd(r.CENTRES, r.ROUNDS)}
-SELECT station, lon, lat, CAST(label AS INTEGER) AS label FROM a{r.ROUNDS}""",
-        "cluster_map_layer": f"""WITH {_lloyd(r.MAP_CENTRES, r.ROUNDS)}
-SELECT lon, lat, CAST(label AS INTEGER) AS label, station AS popup FROM a{r.ROUNDS}""",
+        "kmeans_fit": f"""WITH RECURSIVE {_lloyd(r.CENTRES)}
+SELECT station, CAST(label AS INTEGER) AS label, round(distance, 6) AS distance FROM labelled""",
+        "cluster_period": f"""WITH RECURSIVE {_lloyd(r.CENTRES)}
+SELECT station, lon, lat, CAST(label AS INTEGER) AS label FROM labelled""",
+        "cluster_map_layer": f"""WITH RECURSIVE {_lloyd(r.MAP_CENTRES)}
+SELECT lon, lat, CAST(label AS INTEGER) AS label, station AS popup FROM labelled""",
         "hour_snapshot": f"""WITH {e12}
 SELECT station, day, hour, lon, lat, tmpf, relh, round(feel, 6) AS feel FROM obs WHERE {_hour_filter()}""",
         "snapshot_bounds": f"""WITH {e12}
@@ -375,10 +392,10 @@ GROUP BY day, hour""",
   SELECT n_regionkey, min({_plon("c_custkey")}) AS w, max({_plon("c_custkey")}) AS e,
          min({_plat("c_custkey")}) AS s, max({_plat("c_custkey")}) AS n
   FROM customer JOIN nation ON c_nationkey = n_nationkey GROUP BY n_regionkey),
-xs AS (SELECT *, unnest(range(CAST(ceil(round((e - w) / CAST(0.5 AS DOUBLE), 9)) AS BIGINT))) AS ix FROM boxes),
-cells AS (SELECT *, unnest(range(CAST(ceil(round((n - s) / CAST(0.5 AS DOUBLE), 9)) AS BIGINT))) AS iy FROM xs)
-SELECT n_regionkey, CAST(ix AS INTEGER) AS ix, CAST(iy AS INTEGER) AS iy, w + ix * CAST(0.5 AS DOUBLE) AS lon,
-       s + iy * CAST(0.5 AS DOUBLE) AS lat FROM cells""",
+xs AS (SELECT *, unnest(range(CAST(ceil(round((e - w) / CAST(0.07 AS DOUBLE), 9)) AS BIGINT))) AS ix FROM boxes),
+cells AS (SELECT *, unnest(range(CAST(ceil(round((n - s) / CAST(0.07 AS DOUBLE), 9)) AS BIGINT))) AS iy FROM xs)
+SELECT n_regionkey, CAST(ix AS INTEGER) AS ix, CAST(iy AS INTEGER) AS iy, w + ix * CAST(0.07 AS DOUBLE) AS lon,
+       s + iy * CAST(0.07 AS DOUBLE) AS lat FROM cells""",
         "semivariogram": f"""WITH {e12}, {PLACES}, {VARIOGRAM}
 SELECT day, hour, bin, n, round(lag, 6) AS lag, round(gamma, 6) AS gamma FROM bins""",
         "variogram_fit": f"""WITH {e12}, {PLACES}, {VARIOGRAM}, {FIT}

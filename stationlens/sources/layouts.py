@@ -46,7 +46,9 @@ def write_by_instant(obs: DataFrame, path: str, mode: str = "overwrite", files:
 
 
 def station_dimension(obs: DataFrame) -> DataFrame:
-    """(station, lon, lat, station_seq): last coordinates, place of first appearance.
+    """(station, lon, lat, station_seq): last complete coordinates, place of first appearance.
+
+    A station that never had both coordinates keeps NULL ones.
 
     Rows are first reduced to one per coordinates a station ever had.
     """
@@ -55,7 +57,10 @@ def station_dimension(obs: DataFrame) -> DataFrame:
     ).agg(F.max("_seq").alias("last"), F.min("_seq").alias("first"))
     return (
         places.groupBy("station")
-        .agg(F.max_by(F.struct("lon", "lat"), "last").alias("at"), F.min("first").alias("station_seq"))
+        .agg(
+            F.max_by(F.struct("lon", "lat"), F.when(F.col("lon").isNotNull() & F.col("lat").isNotNull(), F.col("last"))).alias("at"),
+            F.min("first").alias("station_seq"),
+        )
         .select("station", "at.lon", "at.lat", "station_seq")
     )
 

@@ -81,11 +81,12 @@ def test_bad_arguments(spark):
         cl.fit(points, FEATURES, [[0.0, 0.0, 0.0]], max_iter=0)
 
 
-def test_spark_ml_finds_separate_groups(spark):
-    rng = np.random.default_rng(3)
-    x = np.vstack([rng.normal(c, 0.1, (30, 3)) for c in (0, 50)])
-    out = cl.kmeans_ml(table(spark, x), FEATURES, 2).orderBy("station").toPandas()
-    assert set(out["label"][:30]) != set(out["label"][30:]) and out["label"].nunique() == 2
+@pytest.mark.parametrize("parts", [1, 4, 32])
+def test_centres_do_not_depend_on_the_partitions(spark, parts):
+    x = np.random.default_rng(9).random((400, 3))
+    points = table(spark, x).repartition(parts, "station")
+    found = cl.fit(points, FEATURES, x[:4].tolist())
+    assert found == cl.fit(table(spark, x).coalesce(1), FEATURES, x[:4].tolist())
 
 
 def test_cluster_pipeline_rounds_places_half_even(spark):
