@@ -30,8 +30,9 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from stationlens.llm.common import utf8_buffers
 from stationlens.llm.components import components
@@ -66,10 +67,10 @@ def fingerprint(hashes: np.ndarray) -> int:
 
 
 def with_fingerprint(docs: DataFrame, width: int, text_col: str = "text") -> DataFrame:
-    """``docs`` with the column ``simhash`` (the 64 bits as a signed long)."""
-    others = [c for c in docs.columns if c != "simhash"]
-    source = docs.select(F.col(text_col).cast("string").alias("_simhash_text"), *[F.col(f"`{c}`") for c in others])
-    schema = source.drop("_simhash_text").schema.add("simhash", "long")
+    """``docs`` without the text, with the column ``simhash`` (the 64 bits as a signed long)."""
+    others = [F.col(f"`{c}`") for c in docs.columns if c not in ("simhash", text_col)]
+    source = docs.select(F.col(f"`{text_col}`").cast("string").alias("_simhash_text"), *others)
+    schema = T.StructType([*source.schema.fields[1:], T.StructField("simhash", T.LongType())])
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -95,13 +96,13 @@ def _segment_bounds(segments: int) -> list[tuple[int, int]]:
 
 def _keyed(prints: DataFrame, segments: int, radius: int) -> DataFrame:
     """Table rows (``probe`` false) and ball rows of all segments: (segment, value, probe, fp)."""
-    rows = []
-    for number, (low, high) in enumerate(_segment_bounds(segments)):
-        mask = (1 << (high - low)) - 1
-        value = F.shiftrightunsigned("fp", low).bitwiseAND(F.lit(mask))
+    def ball(number: int, low: int, high: int) -> Column:
+        value = F.shiftrightunsigned("fp", low).bitwiseAND(F.lit((1 << (high - low)) - 1))
         flips = F.array(*[F.lit(m).cast("long") for m in balls(high - low, radius)])
-        entries = F.transform(flips, lambda m, v=value: F.struct(v.bitwiseXOR(m).alias("value"), (m != 0).alias("probe")))
-        rows.append(F.transform(entries, lambda e, n=number: F.struct(F.lit(n).alias("segment"), e["value"].alias("value"), e["probe"].alias("probe"))))
+        fields = lambda m: F.struct(F.lit(number).alias("segment"), value.bitwiseXOR(m).alias("value"), (m != 0).alias("probe"))
+        return F.transform(flips, fields)
+
+    rows = [ball(number, low, high) for number, (low, high) in enumerate(_segment_bounds(segments))]
     every = prints.select("fp", F.explode(F.concat(*rows)).alias("e"))
     return every.select("e.segment", "e.value", "e.probe", "fp")
 
@@ -222,10 +223,13 @@ def near_duplicates(
     hot: int = 8192,
     id_col: str = "doc_id",
     text_col: str = "text",
+    keep: tuple[str, ...] = (),
 ) -> DataFrame:
-    """One row per document: doc_id, simhash (signed long), fingerprint (hex) and component_id."""
-    source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    prints = written(with_fingerprint(source, width).select("doc_id", "simhash"), "simhash")
+    """One row per document: doc_id, simhash (signed long), fingerprint (hex), component_id and the columns ``keep``."""
+    kept = [F.col(f"`{c}`") for c in keep if c not in (id_col, "doc_id")]
+    text = F.col(f"`{text_col}`").cast("string").alias("_print_text")
+    source = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), text, *kept)
+    prints = written(with_fingerprint(source, width, "_print_text"), "simhash")
     # Equal fingerprints are one node, named by their smallest document.
     nodes = written(prints.groupBy(F.col("simhash").alias("fp")).agg(F.min("doc_id").alias("node")), "simhash-nodes")
     links = written(similar_prints(nodes.select("fp"), max_bits, segments, hot).distinct(), "simhash-links")
@@ -239,5 +243,5 @@ def near_duplicates(
         F.col("fp").alias("simhash"), F.coalesce("component", "node").alias("component_id")
     )
     return prints.join(found, "simhash").select(
-        "doc_id", F.lower(F.lpad(F.hex("simhash"), 16, "0")).alias("fingerprint"), "component_id", "simhash"
+        "doc_id", *kept, F.lower(F.lpad(F.hex("simhash"), 16, "0")).alias("fingerprint"), "component_id", "simhash"
     )

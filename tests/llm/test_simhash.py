@@ -7,7 +7,7 @@ from odd_tables import ROWS, empty, odd
 
 from stationlens.llm.components import components
 from stationlens.llm.registry import QUERIES
-from stationlens.llm.simhash import near_duplicates, similar_prints
+from stationlens.llm.simhash import _keyed, near_duplicates, similar_prints
 
 
 def brute_print(text):
@@ -83,3 +83,9 @@ def test_components_of_long_paths_and_stars(spark):
     edges = [(i, i + 1) for i in range(300)] + [(1000, 1000 + i) for i in range(1, 200)] + [(5000, 5000)]
     got = {r["node"]: r["component"] for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {**{i: 0 for i in range(301)}, **{1000 + i: 1000 for i in range(200)}}
+
+
+def test_keys_are_hamming_balls_of_the_segments(spark):
+    got = {tuple(r)[:3] for r in _keyed(spark.createDataFrame([((7 << 32) + 5,)], "fp long"), 2, 1).collect()}
+    want = {(s, v ^ m, m != 0) for s, v in ((0, 5), (1, 7)) for m in [0] + [1 << b for b in range(32)]}
+    assert got == want
