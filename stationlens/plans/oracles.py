@@ -5,6 +5,7 @@ from __future__ import annotations
 from stationlens.plans import registry as r
 from stationlens.plans.indicator_map import LEVELS
 from stationlens.operators.kriging import LAGS
+from stationlens.schema import NUMERIC_COLUMNS
 
 F_COLS = ("f_lon", "f_lat", "tmpf", "dwpf", "relh", "drct")
 
@@ -73,6 +74,7 @@ obs AS (
          l_extendedprice AS dwpf, l_discount AS relh, l_tax AS drct
   FROM lineitem)"""
 
+OTHER_NUMBERS = [c for c in NUMERIC_COLUMNS if c not in ("lon", "lat", "tmpf")]
 RAW = f"""
 clock AS (
   SELECT *, CAST(second(ts) AS INTEGER) AS s, CAST(minute(ts) AS INTEGER) AS mi,
@@ -91,7 +93,9 @@ raw AS (
     CASE WHEN event_type = 'error' THEN 'null' WHEN s = 30 THEN 'M' WHEN s = 31 THEN 'NaN' WHEN s = 32 THEN ''
          ELSE CAST(value AS VARCHAR) END AS tmpf,
     CASE WHEN event_type = 'error' THEN 'null' ELSE event_type END AS skyc1,
-    props AS metar
+    props AS metar, {", ".join(
+      f"CASE WHEN event_id % {7 + i} = 0 THEN 'null' ELSE CAST(event_id % {50 + i} AS VARCHAR) END AS {c}"
+      for i, c in enumerate(OTHER_NUMBERS))}
   FROM clock),
 parts AS (
   SELECT *, {", ".join(
@@ -265,9 +269,6 @@ def _build() -> dict[str, str]:
     e1, e12 = _events(), _events(r.HALF_DAY)
     lo, hi = r.PERIOD
     raw_numbers = ["lon", "lat", "tmpf"]
-    numeric = ("lon", "lat", "tmpf", "dwpf", "relh", "drct", "sknt", "p01i", "alti", "mslp", "vsby", "gust",
-               "skyl1", "skyl2", "skyl3", "skyl4", "ice_accretion_1hr", "ice_accretion_3hr", "ice_accretion_6hr",
-               "peak_wind_gust", "peak_wind_drct", "peak_wind_time", "feel")
 
     def number(c):
         return f"CASE WHEN isfinite(TRY_CAST({c} AS FLOAT)) THEN CAST(TRY_CAST({c} AS FLOAT) AS DOUBLE) END"
@@ -277,7 +278,7 @@ def _build() -> dict[str, str]:
     quality += [
         (f"unreadable {c}", f"reason IS NULL AND {c} NOT IN ('null', '') AND ({number(c)}) IS NULL"
          if c in raw_numbers else "FALSE")
-        for c in numeric
+        for c in NUMERIC_COLUMNS
     ]
     rounded = ", ".join(f"round({c}, 6) AS {c}" for c in F_COLS)
     stored = "station, ts, day, hour, minute, lon, lat, tmpf, relh, _seq"
@@ -343,8 +344,9 @@ SELECT station, day, hour, _seq, tmpf FROM (
   SELECT *, row_number() OVER (PARTITION BY station, day, hour ORDER BY _seq DESC) AS rn FROM obs) WHERE rn = 1""",
         "ingest_observations": f"""WITH {RAW}
 SELECT station, ts, CAST(ts AS DATE) AS day, year, month, day_of_month, hour, minute,
-       {", ".join(f"{number(c)} AS {c}" for c in raw_numbers)}, CAST(NULL AS DOUBLE) AS dwpf,
-       skyc1, 'null' AS wxcodes, metar, 'null' AS peak_wind_time_raw
+       {", ".join(f"{number(c)} AS {c}" for c in NUMERIC_COLUMNS)},
+       skyc1, {", ".join(f"'null' AS {c}" for c in ("skyc2", "skyc3", "skyc4", "wxcodes"))}, metar,
+       peak_wind_time AS peak_wind_time_raw
 FROM (SELECT *, row_number() OVER (PARTITION BY station, ts ORDER BY _seq DESC) AS rn FROM judged WHERE reason IS NULL)
 WHERE rn = 1""",
         "layout_by_station": f"WITH {e1} SELECT {stored} FROM obs",

@@ -17,6 +17,7 @@ from stationlens.operators.skew import salted_join
 from stationlens.plans import indicator_map as im
 from stationlens.plans import point_history as ph
 from stationlens.plans import space_clusters as sc
+from stationlens.schema import NUMERIC_COLUMNS
 from stationlens.session import new_path, written
 from stationlens.sources import layouts, reports
 from stationlens.sources import sample_tables as st
@@ -173,15 +174,19 @@ def dedup_last(spark, sf):
 
 @query("ingest_observations")
 def ingest_observations(spark, sf):
-    path = new_path(spark, "reports")
-    lines = st.raw_reports(spark, sf).orderBy("_seq").drop("_seq")
-    lines.write.option("header", True).option("escape", '"').csv(path)
-    obs = reports.observations(reports.read_reports(spark, path))
-    number = {c: F.col(c).cast("double") for c in ("lon", "lat", "tmpf", "dwpf")}
-    return obs.withColumns(number).select(
-        "station", "ts", "day", "year", "month", "day_of_month", "hour", "minute", *number,
-        "skyc1", "wxcodes", "metar", "peak_wind_time_raw",
-    )
+    """Two report files read in the order given: the second has its columns reversed, and one more."""
+    first, second = new_path(spark, "reports-z"), new_path(spark, "reports-a")
+    raw = st.raw_reports(spark, sf)
+    middle = st.table(spark, sf, "events").agg(F.max("event_id")).first()[0] // 2
+    columns = [c for c in raw.columns if c != "_seq"]
+    for path, rows, names in (
+        (first, raw.filter(F.col("_seq") <= middle), columns),
+        (second, raw.filter(F.col("_seq") > middle).withColumn("note", F.lit("x")), ["note", *reversed(columns)]),
+    ):
+        rows.orderBy("_seq").select(*names).write.option("header", True).option("escape", '"').csv(path)
+    obs = reports.observations(reports.read_reports(spark, [first, second]))
+    number = {c: F.col(c).cast("double") for c in NUMERIC_COLUMNS}
+    return obs.withColumns(number).drop("_seq")
 
 
 STORED = ("station", "ts", "day", "hour", "minute", "lon", "lat", "tmpf", "relh", "_seq")

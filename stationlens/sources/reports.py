@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
+import csv
+import re
+from urllib.parse import unquote
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from stationlens.operators.dedup import keep_last
+from stationlens.operators.skew import lookup_join
 from stationlens.schema import (
     NUMERIC_COLUMNS,
     REPORT_SCHEMA,
@@ -17,28 +23,86 @@ from stationlens.schema import (
 VALID_PATTERN = r"^\d+-\d+-\d+ \d+:\d+"
 # Fixed value: how the files spell a missing number.
 MISSING = "null"
+SEQ_TYPE = T.StructType([T.StructField(n, T.LongType()) for n in ("file", "block", "row")])
 
 
-def read_reports(spark: SparkSession, path: str | list[str]) -> DataFrame:
-    """All fields as text, plus ``_seq``: where in the files the row stands.
+def _natural(path: str) -> tuple:
+    """Sort key that takes runs of digits as numbers: part-99999 before part-100000."""
+    return tuple((0, int(p), "") if p.isdigit() else (1, 0, p) for p in re.split(r"(\d+)", path))
 
-    Files are split, so position is (file, start of split, row within split);
-    it is only compared, never turned into a global number.
-    """
+
+#: The listing writes ``file:///a`` and the rows write ``file:/a``.
+_SLASHES = ":/+"
+
+
+def _file_order(spark: SparkSession, paths: list[str]) -> dict[str, int]:
+    """Files in the order of the list, those of one entry in natural order of their paths."""
+    order: dict[str, int] = {}
+    for path in paths:
+        for file in sorted(spark.read.text(path).inputFiles(), key=_natural):
+            order.setdefault(re.sub(_SLASHES, ":/", file), len(order))
+    return order
+
+
+def _headers(spark: SparkSession, paths: list[str]) -> dict[str, list[str]]:
+    """Header line -> files; the first line of a file that is no comment, found in one distributed pass."""
+    place = F.struct(F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("row"))
+    lines = spark.read.text(paths).select(F.col("_metadata.file_path").alias("file"), place.alias("at"), "value")
+    real = lines.filter(~F.col("value").startswith("#") & (F.trim("value") != ""))
+    found: dict[str, list[str]] = {}
+    for row in real.groupBy("file").agg(F.min_by("value", "at").alias("header")).collect():  # a line per file
+        found.setdefault(row["header"], []).append(row["file"])
+    return found
+
+
+def _read_one_header(spark: SparkSession, header: str, files: list[str], paths: list[str], missing: str) -> DataFrame:
+    """Files of one header with the fields picked by name; of equal names the last one counts."""
+    names = {name.strip(): i for i, name in enumerate(next(csv.reader([header.lstrip("\ufeff")])))}
+    absent = [c for c in REPORT_SCHEMA.names if c not in names]
+    if absent and missing != "null":
+        raise ValueError(f"{files[0]}: no column {', '.join(absent)}")
+    width = len(next(csv.reader([header])))
     rows = (
-        spark.read.schema(REPORT_SCHEMA)
+        spark.read.schema(T.StructType([T.StructField(f"_c{i}", T.StringType()) for i in range(width)]))
         .option("header", True)
         .option("comment", "#")
         .option("quote", '"')
         .option("escape", '"')
-        .csv(path)
+        .csv(paths)
     )
-    position = F.struct(
-        F.col("_metadata.file_path").alias("file"),
-        F.col("_metadata.file_block_start").alias("block"),
-        F.monotonically_increasing_id().alias("row"),
+    fields = [F.col(f"_c{names[c]}").alias(c) if c in names else F.lit(None).cast("string").alias(c) for c in REPORT_SCHEMA.names]
+    return rows.select(
+        *fields,
+        F.regexp_replace("_metadata.file_path", _SLASHES, ":/").alias("_file"),
+        F.col("_metadata.file_block_start").alias("_block"),
+        F.monotonically_increasing_id().alias("_row"),
     )
-    return rows.select(*REPORT_SCHEMA.names, position.alias("_seq"))
+
+
+def read_reports(spark: SparkSession, path: str | list[str], missing: str = "error") -> DataFrame:
+    """All fields as text, plus ``_seq``: where in the files the row stands.
+
+    Fields are found by the names in each file's header; further columns are ignored. A
+    file without one of the fields is an error, or gives NULL with ``missing="null"``.
+
+    Files of a list stand in the order of the list, files of a folder or pattern in the
+    natural order of their paths. Files are split, so position is (number of the file,
+    start of split, row within split); it is only compared, never turned into a global number.
+    """
+    paths = [path] if isinstance(path, str) else list(path)
+    order = _file_order(spark, paths)
+    headers = _headers(spark, paths)
+    rows = None
+    for header, files in sorted(headers.items()):
+        own = paths if len(headers) == 1 else [unquote(f) for f in sorted(files)]
+        part = _read_one_header(spark, header, sorted(files), own, missing)
+        rows = part if rows is None else rows.unionByName(part)
+    if rows is None:
+        return spark.createDataFrame([], T.StructType([*REPORT_SCHEMA.fields, T.StructField("_seq", SEQ_TYPE)]))
+    numbers = spark.createDataFrame(list(order.items()), "_file string, _number long")
+    placed = lookup_join(rows, numbers, len(order), ["_file"], ["_row"])
+    position = F.struct(F.col("_number").alias("file"), F.col("_block").alias("block"), F.col("_row").alias("row"))
+    return placed.select(*REPORT_SCHEMA.names, position.alias("_seq"))
 
 
 def time_parts(valid: Column) -> dict[str, Column]:

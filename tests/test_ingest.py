@@ -124,3 +124,44 @@ def test_day_coverage(spark):
     assert [r.n for r in layouts.day_coverage(obs).orderBy("day").collect()] == [2, 0, 1]
     wide = layouts.day_coverage(obs, "2024-01-01", "2024-01-03").orderBy("day").collect()
     assert [r.n for r in wide] == [0, 2, 0]
+
+
+def write_file(path, columns, rows):
+    path.write_text("\n".join(["#DEBUG", ",".join(columns), *[",".join(r) for r in rows]]) + "\n")
+    return str(path)
+
+
+def row_of(columns, **values):
+    base = dict.fromkeys(REPORT_COLUMNS, "null") | {"station": "A", "valid": "2005-01-01 00:30", "lon": "1", "lat": "2"} | values
+    return [base.get(c, "extra") for c in columns]
+
+
+def test_fields_are_found_by_header_name(spark, tmp_path):
+    swapped = ["note", *reversed(REPORT_COLUMNS)]
+    path = write_file(tmp_path / "a.txt", swapped, [row_of(swapped, tmpf="50", dwpf="10")])
+    (got,) = reports.observations(reports.read_reports(spark, path)).collect()
+    assert (got["tmpf"], got["dwpf"], got["station"]) == (50.0, 10.0, "A")
+
+
+def test_missing_field_is_an_error_or_null(spark, tmp_path):
+    columns = [c for c in REPORT_COLUMNS if c != "dwpf"]
+    path = write_file(tmp_path / "a.txt", columns, [row_of(columns, tmpf="50")])
+    with pytest.raises(ValueError, match="a.txt: no column dwpf"):
+        reports.read_reports(spark, path)
+    (got,) = reports.observations(reports.read_reports(spark, path, missing="null")).collect()
+    assert (got["tmpf"], got["dwpf"]) == (50.0, None)
+
+
+@pytest.mark.parametrize("names, last", [(["z.txt", "y.txt"], "y.txt"), (["y.txt", "z.txt"], "z.txt")])
+def test_last_file_of_the_list_wins(spark, tmp_path, names, last):
+    for name in names:
+        write_file(tmp_path / name, REPORT_COLUMNS, [row_of(REPORT_COLUMNS, tmpf="1" if name == last else "2")])
+    (got,) = reports.observations(reports.read_reports(spark, [str(tmp_path / n) for n in names])).collect()
+    assert got["tmpf"] == 1.0
+
+
+def test_numbers_in_file_names_count(spark, tmp_path):
+    for name, value in (("part-99999", "1"), ("part-100000", "2")):
+        write_file(tmp_path / name, REPORT_COLUMNS, [row_of(REPORT_COLUMNS, tmpf=value)])
+    (got,) = reports.observations(reports.read_reports(spark, str(tmp_path))).collect()
+    assert got["tmpf"] == 2.0
