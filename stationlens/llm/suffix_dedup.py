@@ -37,6 +37,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import zstandard
+from numpy.lib.stride_tricks import sliding_window_view
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -190,11 +191,10 @@ class Surroundings:
             key = np.concatenate([key, _window_hash(block.data, spots, length)])
         self.at, self.owner, self.before, self.after = at, owner, before, after
         self.width = reach + length
-        columns = np.arange(self.width)
-        where = (at - before)[:, None] + columns
-        inside = columns < (before + after)[:, None]
-        content = np.zeros((len(at), self.width + 2), np.uint8)
-        content[:, :-2][inside] = block.data[where[inside]]
+        content = np.empty((len(at), self.width + 2), np.uint8)
+        padded = np.concatenate([block.data, np.zeros(self.width, np.uint8)])
+        content[:, :-2] = sliding_window_view(padded, self.width)[at - before]
+        content[:, :-2][np.arange(self.width) >= (before + after)[:, None]] = 0
         content[:, -2], content[:, -1] = before, after
         whole = np.ascontiguousarray(content).view(f"V{self.width + 2}").ravel()
         _, first, self.entry = np.unique(whole, return_index=True, return_inverse=True)
@@ -217,10 +217,12 @@ def covered_windows(ids: np.ndarray, content: np.ndarray, before: np.ndarray, af
     bits = np.zeros(len(ids), np.uint64)
     if len(ids) == 0:
         return bits
-    columns = np.arange(length)
-    right = np.zeros((len(ids), length + 1), np.uint8)
-    inside = columns < after[:, None]
-    right[:, :-1][inside] = content[np.arange(len(ids))[:, None], np.minimum(before[:, None] + columns, content.shape[1] - 1)][inside]
+    width = content.shape[1]
+    start = np.arange(len(ids)) * width
+    flat = np.concatenate([np.ascontiguousarray(content).ravel(), np.zeros(length, np.uint8)])
+    right = np.empty((len(ids), length + 1), np.uint8)
+    right[:, :-1] = sliding_window_view(flat, length)[start + before]
+    right[:, :-1][np.arange(length) >= after[:, None]] = 0
     right[:, -1] = after
     rights, right_of = np.unique(np.ascontiguousarray(right).view(f"V{length + 1}").ravel(), return_inverse=True)
     rights = np.frombuffer(rights.tobytes(), np.uint8).reshape(-1, length + 1)
@@ -230,10 +232,10 @@ def covered_windows(ids: np.ndarray, content: np.ndarray, before: np.ndarray, af
     rank = rank[right_of]
     # Entries whose anchors are the same gram form a group.
     group = np.cumsum(prefix < GRAM)[rank]
-    columns = np.arange(reach)
-    left = np.zeros((len(ids), reach + 9), np.uint8)
-    inside = columns < before[:, None]
-    left[:, :reach][inside] = content[np.arange(len(ids))[:, None], np.maximum(before[:, None] - 1 - columns, 0)][inside]
+    flat = np.concatenate([np.zeros(reach, np.uint8), flat])
+    left = np.empty((len(ids), reach + 9), np.uint8)
+    left[:, :reach] = sliding_window_view(flat, reach)[start + before][:, ::-1]
+    left[:, :reach][np.arange(reach) >= before[:, None]] = 0
     left[:, reach] = before
     left[:, reach + 1 :] = group.astype("<u8").view(np.uint8).reshape(-1, 8)
     lefts, left_of = np.unique(np.ascontiguousarray(left).view(f"V{reach + 9}").ravel(), return_inverse=True)
@@ -350,7 +352,7 @@ def remove_repeats(
     blocks = written(source.mapInArrow(make_blocks, "block long, bytes long, payload binary"), "repeat-blocks")
     if buckets is None:
         total = blocks.agg(F.coalesce(F.sum("bytes"), F.lit(0))).first()[0]
-        buckets = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-total // (4 << 20)))
+        buckets = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-total // (2 << 20)))
 
     def send_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
