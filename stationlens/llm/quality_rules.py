@@ -19,8 +19,11 @@ How the estimate is made:
   thousand bin rows. Bins are 1/8 of an octave wide; the subset takes whole bins.
 * Scatter gets a ridge (``RIDGE``, a deviation of a tenth), so statistics that are zero
   for most documents do no harm.
-  Sources with fewer than ``min_group`` rows in a language share one estimate, and where
-  even those together have fewer rows, nothing is rejected.
+* Every document that passes the base rule has a distance. Sources with fewer than
+  ``min_group`` rows in a language share one estimate; where those together have fewer
+  rows, that of all rows of the language serves, and where the language has fewer rows,
+  that of all rows of all languages. Where even the table has fewer rows, a scale below
+  one counts as one, so that a handful of equal rows does not reject all others.
 
 Null or blank text has no words and fails the base rule. Null language or source are
 values like any other. Repeated ids and rows give a row each, and so do rows without id.
@@ -43,6 +46,8 @@ MIN_WORDS = 20
 MAX_REPEAT_PERCENT = 30
 
 UNIT = 1024.0
+#: Name of the shared estimates, as source and as language.
+REST, ALL = "\1rest", "\1all"
 RIDGE = 102.0
 BINS_PER_OCTAVE = 8
 #: Quantiles of chi-squared with five degrees of freedom: 0.5, 0.975.
@@ -242,18 +247,36 @@ def verdicts(
     named = written(named.withColumns(dict(zip([f"_q_{s}" for s in STATS], transformed()))), "quality-counts")
     plain = named.filter(~F.col("base_failed")).select("_q_lang", "_q_source", *[F.col(f"_q_{s}").alias(s) for s in STATS])
     sizes = written(plain.groupBy("_q_lang", "_q_source").count(), "quality-groups")
-    own = F.when(F.col("count") >= min_group, F.col("_q_source"))
-    groups = sizes.select("_q_lang", "_q_source", F.col("_q_lang").alias("e_lang"), F.coalesce(own, F.lit("\1rest")).alias("e_source"), "count")
+    small = F.when(F.col("count") < min_group, F.col("count")).otherwise(0)
+    langs = sizes.groupBy("_q_lang").agg(F.sum("count").alias("in_lang"), F.sum(small).alias("in_rest"))
+    # The estimate a group is judged by, and those its rows are part of.
+    own = F.col("count") >= min_group
+    rest, whole = F.col("in_rest") >= min_group, F.col("in_lang") >= min_group
+    named_as = lambda lang, source: F.struct(lang.alias("e_lang"), source.alias("e_source"))
+    itself = named_as(F.col("_q_lang"), F.when(own, F.col("_q_source")).otherwise(F.lit(REST)))
+    in_lang, in_all = named_as(F.col("_q_lang"), F.lit(ALL)), named_as(F.lit(ALL), F.lit(ALL))
+    found = langs.agg(F.sum("in_lang").alias("n"), F.coalesce(F.bool_or(~whole), F.lit(False)).alias("b")).first()
+    part_of = F.array(F.when(own | rest, itself), F.when((F.col("in_rest") > 0) & ~rest & whole, in_lang), F.when(F.lit(found["b"]), in_all))
+    groups = written(
+        sizes.join(langs, "_q_lang").select(
+            "_q_lang", "_q_source", F.when(own | rest, itself).when(whole, in_lang).otherwise(in_all).alias("by"),
+            F.filter(part_of, lambda e: e.isNotNull()).alias("part_of"),
+        ),
+        "quality-estimates",
+    )
     n_groups = groups.count()
-    rows = lookup_join(plain, groups.drop("count"), n_groups, ["_q_lang", "_q_source"], list(STATS)).select(*KEYS, *STATS)
-    enough = groups.groupBy(*KEYS).agg(F.sum("count").alias("count")).filter(F.col("count") >= min_group)
-    rows = lookup_join(rows, enough.drop("count"), n_groups, list(KEYS), list(STATS), "left_semi")
-    params = estimates(written(rows, "quality-rows"), n_groups, subset, steps)
+    rows = lookup_join(plain, groups.drop("by"), n_groups, ["_q_lang", "_q_source"], list(STATS))
+    rows = rows.select(F.explode("part_of").alias("e"), *STATS).select("e.*", *STATS)
+    # Each source has at most one estimate of its own; two per language and one more are shared.
+    params = estimates(written(rows, "quality-rows"), 3 * n_groups + 1, subset, steps)
+    if (found["n"] or 0) < min_group:
+        params = params.withColumn("scale", F.greatest("scale", F.lit(1.0)))
+    groups = groups.select("_q_lang", "_q_source", "by.*")
     fields = F.struct("scale", *[f"m{i}" for i in range(D)], *[f"l{i}{j}" for i, j in PAIRS])
     params = groups.join(params, list(KEYS)).select("_q_lang", "_q_source", fields.alias("_q_params"))
     spread = [f"_q_{s}" for s in STATS]
     measured = lookup_join(named, params, n_groups, ["_q_lang", "_q_source"], spread, "left")
     measured = _squared_distance(measured, "_q_%s", "_q_params.%s")
     distance = F.when(~F.col("base_failed"), F.col("_q_d2") / F.col("_q_params.scale"))
-    kept = ~F.col("base_failed") & (F.coalesce(distance, F.lit(0.0)) <= limit)
+    kept = ~F.col("base_failed") & (distance <= limit)
     return measured.select(*[F.col(f"`{c}`") for c in names], "base_failed", distance.alias("distance"), kept.alias("kept"))
