@@ -7,7 +7,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stationlens.llm import warc
+from stationlens.llm import hard_negatives, odd_sketch, source_divergence, warc
 from stationlens.llm.common import table
 from stationlens.session import new_path
 
@@ -127,6 +127,41 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), _tokenizer(), with_ids=False)
 
 
+@query("op11_hard_negatives")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hard negatives of every vector whose id is divisible by 50, labels of every seventh changed."""
+    from stationlens.llm.hard_negatives import mine
+
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return mine(table(spark, sf_dir, "embeddings").select("vec_id", "embedding", label.alias("label")))
+
+
+ORACLES["op11_hard_negatives"] = hard_negatives.oracle()
+
+
+@query("op12_odd_sketch")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups of all documents whose four-word shingles agree in four fifths."""
+    from stationlens.llm.odd_sketch import near_duplicates
+
+    found = near_duplicates(table(spark, sf_dir, "documents"), width=4, percent=80)
+    return found.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+
+
+ORACLES["op12_odd_sketch"] = odd_sketch.oracle()
+
+
+@query("op13_source_divergence")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Divergences between all sources of a language and the terms that set each source apart."""
+    from stationlens.llm.source_divergence import audit
+
+    return audit(table(spark, sf_dir, "documents"))
+
+
+ORACLES["op13_source_divergence"] = source_divergence.oracle()
+
+
 QUERIES["pipeline"] = corpus_pipeline.run
 if corpus_pipeline.ORACLE_SQL is not None:
     ORACLES["pipeline"] = corpus_pipeline.ORACLE_SQL
