@@ -54,3 +54,22 @@ def euclidean(a, b) -> Column:
 def quarter_of(month) -> Column:
     """Calendar quarter 1..4 of a month number."""
     return F.ceil(month / 3).cast("int")
+
+
+def round_exact(value, digits: int = 2) -> Column:
+    """A double rounded to ``digits`` decimals by its exact binary value, halves to even.
+
+    1.115 lies below the half, 0.125 on it. The product with the power of ten is taken with
+    its rounding error (Dekker 1971), so nothing is decided by a rounded product.
+    """
+    value = value.cast("double")
+    scale = F.lit(float(10**digits))
+    spread = value * F.lit(134217729.0)  # 2^27 + 1 cuts a double into two halves
+    high = spread - (spread - value)
+    product = value * scale
+    error = (high * scale - product) + (value - high) * scale
+    below = F.floor(product).cast("double")
+    beyond = (product - below - 0.5) + error  # the first difference is exact
+    whole = F.when((beyond > 0) | ((beyond == 0) & (F.pmod(below, F.lit(2.0)) == 1)), below + 1).otherwise(below)
+    exact = F.abs(value) < F.lit(2.0**52 / 10**digits)  # larger doubles have no further decimals
+    return F.when(exact, whole / scale).otherwise(value)

@@ -11,8 +11,9 @@ does not grow with the number of stations.
 from __future__ import annotations
 
 import math
+from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from stationlens.functions.geo import haversine_m, unit_vector
@@ -76,9 +77,58 @@ def _pyramid(homes: DataFrame) -> DataFrame:
     )
 
 
-def nearest_station(points: DataFrame, stations: DataFrame) -> DataFrame:
+@dataclass(frozen=True)
+class StationIndex:
+    """The places of the stations, the cells they lie in, and how long these tables are.
+
+    ``crowded`` are the levels with cells that have to be narrowed down.
+    """
+
+    places: DataFrame
+    pyramid: DataFrame
+    rows: int
+    crowded: tuple[int, ...]
+
+
+_INDEX = ("places", "pyramid")
+
+
+def _opened(places: DataFrame, pyramid: DataFrame) -> StationIndex:
+    crowded = pyramid.filter(f"n > {_CROWDED} and level < {_DEEPEST}").select("level").distinct().collect()
+    return StationIndex(places, pyramid, places.count() * len(_LEVELS), tuple(sorted(r["level"] for r in crowded)))  # at most nine
+
+
+def station_index(stations: DataFrame) -> StationIndex:
+    """The index of ``stations``, as intermediate tables."""
+    places = written(_places(stations), "places")
+    return _opened(places, written(_pyramid(_nodes_of(places, "x", "y", "z")), "pyramid"))
+
+
+def write_index(stations: DataFrame, root: str, mode: str = "overwrite") -> None:
+    """Store the index of ``stations`` below ``root``."""
+    spark = stations.sparkSession
+    _places(stations).write.mode(mode).parquet(f"{root}/places")
+    places = spark.read.parquet(f"{root}/places")
+    _pyramid(_nodes_of(places, "x", "y", "z")).write.mode(mode).parquet(f"{root}/pyramid")
+
+
+def open_index(spark: SparkSession, root: str) -> StationIndex:
+    """The index stored by :func:`write_index`."""
+    return _opened(*[spark.read.parquet(f"{root}/{name}") for name in _INDEX])
+
+
+def nearest_to(lon: float, lat: float, stations: DataFrame) -> str:
+    """The station nearest to one position, ``''`` if no station has a place: one pass over the dimension."""
+    d = haversine_m(F.col("lon").cast("double"), F.col("lat").cast("double"), F.lit(float(lon)), F.lit(float(lat)))
+    first = stations.filter("lon is not null and lat is not null").agg(F.min_by("station", F.struct(d, "station_seq"))).first()[0]
+    return first or ""
+
+
+def nearest_station(points: DataFrame, stations: DataFrame | StationIndex) -> DataFrame:
     """(point_id, lon, lat) x (station, lon, lat, station_seq) -> the nearest one.
 
+    ``stations`` is the dimension or its index (:func:`station_index`, :func:`open_index`).
+
     Returns ``point_id, station, distance_m``; of equally near stations the one
     with the lowest ``station_seq`` wins. A point without coordinates, or with an
     empty dimension, gets the station ``''`` and no distance. Each distinct
@@ -92,12 +142,11 @@ def nearest_station(points: DataFrame, stations: DataFrame) -> DataFrame:
     points = points.filter("lon is not null and lat is not null").select(
         "point_id", lon.alias("plon"), lat.alias("plat"), x.alias("px"), y.alias("py"), z.alias("pz")
     )
-    places = written(_places(stations), "places")
-    rows = places.count() * len(_LEVELS)  # no table below is longer
+    index = stations if isinstance(stations, StationIndex) else station_index(stations)
+    rows, pyramid = index.rows, index.pyramid  # no table below is longer
     if rows == 0:
         return points.select("point_id", "plon", "plat").distinct().select("point_id", *blank).unionByName(lost)
-    homes = _nodes_of(places, "x", "y", "z")
-    pyramid = written(_pyramid(homes), "pyramid")
+    homes = _nodes_of(index.places, "x", "y", "z")
 
     # Few bytes per point, much work: partitions of a stated number are not merged by size.
     tasks = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
@@ -123,9 +172,8 @@ def nearest_station(points: DataFrame, stations: DataFrame) -> DataFrame:
         .sortWithinPartitions("point_id", "plon", "plat")  # kept by the joins below, so their windows need no sort
     )
 
-    crowded = pyramid.filter(f"n > {_CROWDED} and level < {_DEEPEST}").select("level").distinct().collect()
     per_point = Window.partitionBy("point_id", "plon", "plat")
-    for at in sorted(r["level"] for r in crowded):  # at most nine
+    for at in index.crowded:
         inner = pyramid.filter(f"level = {at + 2} and parent_n > {_CROWDED}").selectExpr(
             "parent as node", "node as inner", "x", "y", "z"
         )
@@ -150,7 +198,7 @@ def nearest_station(points: DataFrame, stations: DataFrame) -> DataFrame:
     return best.select("point_id", "best.station", F.col("best._d").alias("distance_m")).unionByName(lost)
 
 
-def resolve_points(points: DataFrame, stations: DataFrame) -> DataFrame:
+def resolve_points(points: DataFrame, stations: DataFrame | StationIndex) -> DataFrame:
     """Station of each requested point, given as a station id or as coordinates."""
     named = points.filter("station is not null").select("point_id", "station")
     placed = nearest_station(points.filter("station is null").select("point_id", "lon", "lat"), stations)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from stationlens.functions.geo import Grid
 from stationlens.functions.stats import band
-from stationlens.operators.kriging import krige_surface, krige_weights, location_means, semivariogram, variogram_fit
+from stationlens.operators.kriging import Solved, krige_surface, krige_weights, location_means, semivariogram, variogram_fit
 from stationlens.operators.skew import salted_join
 from stationlens.schema import MAP_INDICATORS, check_indicator
 from stationlens.session import written
@@ -40,8 +40,8 @@ def contour_bands(surface: DataFrame, bounds: DataFrame, levels: int = LEVELS) -
     return joined.select(*surface.columns, band(F.col("z"), F.col("low"), F.col("high"), levels).alias("band"))
 
 
-def fitted_weights(rows: DataFrame, indicator: str) -> DataFrame:
-    """Kriging weights of every snapshot, with the semivariogram fitted to it."""
+def fitted_weights(rows: DataFrame, indicator: str) -> Solved:
+    """The solved kriging system of every snapshot, with the semivariogram fitted to it."""
     places = written(location_means(rows, SNAPSHOT, indicator), "places")
     model = variogram_fit(semivariogram(places, SNAPSHOT), SNAPSHOT)
     return krige_weights(places, model, SNAPSHOT)

@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from stationlens.plans import registry as r
 from stationlens.plans.indicator_map import LEVELS
-from stationlens.operators.kriging import LAGS
-from stationlens.schema import NUMERIC_COLUMNS
+from stationlens.operators.kriging import LAGS, LEAST_NUGGET
+from stationlens.schema import CLUSTER_INDICATORS, MAP_INDICATORS, NUMERIC_COLUMNS
 
 F_COLS = ("f_lon", "f_lat", "tmpf", "dwpf", "relh", "drct")
 
@@ -260,6 +260,88 @@ ranked AS (
   SELECT *, row_number() OVER (PARTITION BY day, hour ORDER BY flat, sse, range) AS rn FROM errors)"""
 
 
+def _elimination(right: str) -> str:
+    """Gauss-Jordan elimination of each snapshot's covariance matrix; ``right`` is the list of right-hand sides of line i."""
+    return f"""
+best AS (
+  SELECT day, hour, n, greatest(nugget, {LEAST_NUGGET} * psill) AS nugget, psill, range * 4 / 7 AS reach
+  FROM ranked JOIN (SELECT day, hour, count(*) AS n FROM places GROUP BY day, hour) USING (day, hour) WHERE rn = 1),
+system AS (
+  SELECT a.day, a.hour, a.i, any_value(n) AS n, list_concat(list(
+    CASE WHEN a.i = b.i THEN nugget + psill
+         ELSE psill * exp(-(power(a.lon - b.lon, 2) + power(a.lat - b.lat, 2)) / (reach * reach)) END ORDER BY b.i), {right}) AS line
+  FROM numbered a JOIN numbered b USING (day, hour) JOIN best USING (day, hour) GROUP BY a.day, a.hour, a.i),
+steps AS (
+  SELECT 1 AS k, * FROM system
+  UNION ALL
+  SELECT k + 1, day, hour, i, n, CASE WHEN i = k THEN list_transform(head, lambda x: x / top)
+    ELSE list_transform(list_zip(line, head), lambda x: x[1] - f * x[2]) END
+  FROM (SELECT e.*, p.line AS head, p.line[p.k] AS top, e.line[e.k] / p.line[p.k] AS f
+        FROM steps e JOIN steps p ON e.day = p.day AND e.hour = p.hour AND p.i = e.k WHERE e.k <= e.n)),
+solved AS (SELECT day, hour, i, line[n + 1 :] AS x FROM steps WHERE k = n + 1)"""
+
+
+WEIGHTS = f"""{_elimination("[any_value(a.z), CAST(1 AS DOUBLE)]")},
+constants AS (SELECT day, hour, sum(x[1]) / sum(x[2]) AS constant FROM solved GROUP BY day, hour),
+weights AS (
+  SELECT day, hour, i, lon, lat, x[1] - constant * x[2] AS weight, constant, nugget, psill, reach
+  FROM solved JOIN constants USING (day, hour) JOIN numbered USING (day, hour, i) JOIN best USING (day, hour))"""
+
+AXES = """
+axes AS (
+  SELECT CAST(k AS INTEGER) AS k, CAST(-5 AS DOUBLE) + k * CAST(0.07 AS DOUBLE) AS lon,
+         CAST(39 AS DOUBLE) + k * CAST(0.07 AS DOUBLE) AS lat FROM range(200) AS g(k))"""
+
+# The covariance is a product over the axes, so a cell is one inner product over the places.
+SURFACE = f"""{AXES},
+across AS (
+  SELECT day, hour, k AS ix, a.lon, any_value(constant) AS constant,
+         list(weight * psill * exp(-power((a.lon - w.lon) / reach, 2)) ORDER BY i) AS e
+  FROM weights w, axes a GROUP BY day, hour, k, a.lon),
+along AS (
+  SELECT day, hour, k AS iy, a.lat, list(exp(-power((a.lat - w.lat) / reach, 2)) ORDER BY i) AS e
+  FROM weights w, axes a GROUP BY day, hour, k, a.lat),
+hits AS (
+  SELECT day, hour, x.k AS ix, y.k AS iy, weight * nugget AS more
+  FROM weights w JOIN axes x ON abs(x.lon - w.lon) <= 1e-10 JOIN axes y ON abs(y.lat - w.lat) <= 1e-10),
+surface AS (
+  SELECT day, hour, ix, iy, lon, lat, constant + list_inner_product(across.e, along.e) + coalesce(more, 0) AS z
+  FROM across JOIN along USING (day, hour) LEFT JOIN hits USING (day, hour, ix, iy))"""
+
+# Forms c'Qc with the inverse Q, the pairs of places as one list per grid column and one per grid row.
+VARIANCE = f"""
+norms AS (SELECT day, hour, sum(list_sum(x)) AS yy, list(list_sum(x) ORDER BY i) AS sums FROM solved GROUP BY day, hour),
+located AS (SELECT * FROM numbered JOIN best USING (day, hour)),
+easts AS (SELECT day, hour, i, k AS ix, a.lon, exp(-power((a.lon - w.lon) / reach, 2)) AS e FROM located w, axes a),
+norths AS (SELECT day, hour, i, k AS iy, a.lat, psill * exp(-power((a.lat - w.lat) / reach, 2)) AS e FROM located w, axes a),
+column_pairs AS (
+  SELECT a.day, a.hour, a.ix, list(a.e * b.e ORDER BY a.i, b.i) AS e
+  FROM easts a JOIN easts b USING (day, hour, ix) WHERE a.i <= b.i GROUP BY ALL),
+line_pairs AS (
+  SELECT a.day, a.hour, a.iy, list(CASE WHEN a.i = b.i THEN 1 ELSE 2 END * x[b.i] * a.e * b.e ORDER BY a.i, b.i) AS e
+  FROM norths a JOIN norths b USING (day, hour, iy) JOIN solved s ON s.day = a.day AND s.hour = a.hour AND s.i = a.i
+  WHERE a.i <= b.i GROUP BY ALL),
+column_list AS (SELECT day, hour, ix, list(e ORDER BY i) AS e FROM easts GROUP BY day, hour, ix),
+line_list AS (
+  SELECT day, hour, iy, list(e * sums[i] ORDER BY i) AS e FROM norths JOIN norms USING (day, hour) GROUP BY day, hour, iy),
+-- A place in a cell has variance 0 there.
+same AS (
+  SELECT DISTINCT day, hour, x.k AS ix, y.k AS iy, TRUE AS hit
+  FROM located w JOIN axes x ON abs(x.lon - w.lon) <= 1e-10 JOIN axes y ON abs(y.lat - w.lat) <= 1e-10),
+variances AS (
+  SELECT day, hour, ix, iy, CASE WHEN hit THEN 0 ELSE nugget + psill - list_inner_product(cp.e, lp.e)
+         + power(1 - list_inner_product(cl.e, ll.e), 2) / yy END AS variance
+  FROM column_pairs cp JOIN line_pairs lp USING (day, hour) JOIN column_list cl USING (day, hour, ix)
+  JOIN line_list ll USING (day, hour, iy) JOIN norms USING (day, hour) JOIN best USING (day, hour)
+  LEFT JOIN same USING (day, hour, ix, iy))"""
+
+NO_PLACE = "list(CASE WHEN a.i = b.i THEN CAST(1 AS DOUBLE) ELSE 0 END ORDER BY b.i)"
+
+
+def _at_instant(places: str) -> str:
+    return places.replace("feel IS NOT NULL", f"feel IS NOT NULL AND {_hour_filter()}")
+
+
 def _hour_filter() -> str:
     y, m, d, h = r.INSTANT
     return f"day = make_date({y}, {m}, {d}) AND hour = {h}"
@@ -281,6 +363,20 @@ def _build() -> dict[str, str]:
         for c in NUMERIC_COLUMNS
     ]
     rounded = ", ".join(f"round({c}, 6) AS {c}" for c in F_COLS)
+    accepted = f"""{RAW},
+accepted AS (
+  SELECT station, ts, CAST(ts AS DATE) AS day, year, month, hour, {", ".join(f"{number(c)} AS {c}" for c in NUMERIC_COLUMNS)}, _seq
+  FROM (SELECT *, row_number() OVER (PARTITION BY station, ts ORDER BY _seq DESC) AS rn FROM judged WHERE reason IS NULL)
+  WHERE rn = 1),
+placed AS (
+  SELECT station, arg_max(lon, _seq) FILTER (WHERE lon IS NOT NULL AND lat IS NOT NULL) AS lon,
+         arg_max(lat, _seq) FILTER (WHERE lon IS NOT NULL AND lat IS NOT NULL) AS lat, min(_seq) AS station_seq
+  FROM accepted GROUP BY station)"""
+    lon, lat = (f"CAST({v} AS DOUBLE)" for v in r.POSITION)
+    year, month, day, hour = r.STORED_INSTANT
+    third = "CAST(0.005 AS DOUBLE) * (hour % 3)"
+    thousandths = lambda c: f"CAST(sum(CAST(round_even({c} * 1000, 0) AS BIGINT)) AS DOUBLE) / CAST(1000 AS DOUBLE) / count({c})"
+    exact = lambda c: f"CAST(printf('%.2f', {c}) AS DOUBLE)"
     stored = "station, ts, day, hour, minute, lon, lat, tmpf, relh, _seq"
     return {
         "month_profile": f"""WITH {ORDERS}
@@ -357,6 +453,31 @@ WHERE day BETWEEN DATE '{r.MONTH[0]}' AND DATE '{r.MONTH[1]}'""",
 days AS (SELECT CAST(unnest(generate_series(min(day), max(day), INTERVAL 1 DAY)) AS DATE) AS day FROM obs),
 counts AS (SELECT day, count(*) AS n FROM obs GROUP BY day)
 SELECT days.day, coalesce(n, 0) AS n FROM days LEFT JOIN counts ON days.day = counts.day""",
+        "stored_stations": f"WITH {accepted} SELECT * FROM placed",
+        "stored_history": f"""WITH {accepted}
+SELECT station, year, month, day, tmpf AS value FROM accepted WHERE station = (
+  SELECT station FROM placed WHERE lon IS NOT NULL ORDER BY {_haversine("lon", "lat", lon, lat)}, station_seq LIMIT 1)""",
+        "stored_points": f"""WITH {accepted}, stations AS (SELECT * FROM placed WHERE lon IS NOT NULL),
+{_nearest(f"SELECT c_custkey AS point_id, {_plon('c_custkey')} AS lon, {_plat('c_custkey')} AS lat FROM customer")}
+SELECT point_id, station, round(d, 3) AS distance_m FROM nearest""",
+        "stored_snapshot": f"""WITH {accepted}
+SELECT station, day, hour, lon, lat, {", ".join(MAP_INDICATORS)} FROM accepted
+WHERE day = make_date({year}, {month}, {day}) AND hour = {hour}""",
+        "stored_bounds": f"WITH {accepted} " + " UNION ALL ".join(
+            f"SELECT day, hour, min({c}) AS low, max({c}) AS high, count({c}) AS n, '{c}' AS indicator FROM accepted "
+            f"WHERE {c} IS NOT NULL GROUP BY day, hour" for c in MAP_INDICATORS),
+        "stored_features": f"""WITH {accepted},
+moved AS (
+  SELECT station, round(lon, 2) + {third} AS lon, round(lat, 2) + {third} AS lat, {", ".join(CLUSTER_INDICATORS)}
+  FROM accepted WHERE day BETWEEN DATE '{r.MONTH[0]}' AND DATE '{r.MONTH[1]}'),
+whole AS (SELECT *, {exact("lon")} AS k_lon, {exact("lat")} AS k_lat FROM moved
+  WHERE lon IS NOT NULL AND lat IS NOT NULL AND {" AND ".join(f"{c} IS NOT NULL" for c in CLUSTER_INDICATORS)})
+SELECT station, k_lon AS lon, k_lat AS lat, {thousandths("lon")} AS f_lon, {thousandths("lat")} AS f_lat,
+       {", ".join(f"{thousandths(c)} AS {c}" for c in CLUSTER_INDICATORS)}
+FROM whole GROUP BY station, k_lon, k_lat""",
+        "month_profile_plain": f"""WITH {ORDERS}
+SELECT station, month, count(*) AS n, min(value) AS minimum, max(value) AS maximum, round(avg(value), 4) AS mean
+FROM obs GROUP BY station, month""",
         "period_scan": f"""WITH {LINEITEM} SELECT station, lon, lat, tmpf, dwpf, relh, drct FROM obs
 WHERE day BETWEEN DATE '{lo}' AND DATE '{hi}'""",
         "complete_cases": f"WITH {LINEITEM} SELECT * FROM obs WHERE tmpf IS NOT NULL AND dwpf IS NOT NULL "
@@ -403,7 +524,17 @@ SELECT day, hour, bin, n, round(lag, 6) AS lag, round(gamma, 6) AS gamma FROM bi
         "variogram_fit": f"""WITH {e12}, {PLACES}, {VARIOGRAM}, {FIT}
 SELECT day, hour, round(nugget, 6) AS nugget, round(psill, 6) AS psill, round(range, 6) AS range,
        round(sse, 6) AS sse FROM ranked WHERE rn = 1""",
-        "krige_weights": f"WITH {e12}, {PLACES} SELECT day, hour, lon, lat, round(z, 2) AS z FROM places",
+        "krige_weights": f"""WITH RECURSIVE {e12}, {PLACES}, {VARIOGRAM}, {FIT}, {WEIGHTS}
+SELECT day, hour, lon, lat, round(weight, 6) AS weight, round(constant, 6) AS constant FROM weights""",
+        "krige_surface": f"""WITH RECURSIVE {e12}, {PLACES}, {VARIOGRAM}, {FIT}, {WEIGHTS}, {SURFACE}
+SELECT day, hour, ix, iy, lon, lat, round(z, 3) AS z FROM surface""",
+        "indicator_map": f"""WITH RECURSIVE {e12}, {_at_instant(PLACES)}, {VARIOGRAM}, {FIT}, {WEIGHTS}, {SURFACE},
+ends AS (SELECT min(feel) AS low, max(feel) AS high FROM obs WHERE {_hour_filter()})
+SELECT day, hour, ix, iy, lon, lat, round(z, 6) AS z, CAST(CASE WHEN z < low THEN 0 WHEN z >= high THEN {LEVELS}
+    ELSE floor(CAST({LEVELS - 1} AS DOUBLE) * (z - low) / (high - low)) + 1 END AS INTEGER) AS band
+FROM surface, ends""",
+        "variance_map": f"""WITH RECURSIVE {e12}, {_at_instant(PLACES)}, {VARIOGRAM}, {FIT}, {_elimination(NO_PLACE)}, {AXES}, {VARIANCE}
+SELECT day, hour, ix, iy, round(variance, 6) AS variance FROM variances""",
         "contour_bands": f"""WITH {e12},
 means AS (SELECT day, hour, lon, lat, {_mean("tmpf")} AS z FROM obs WHERE tmpf IS NOT NULL GROUP BY day, hour, lon, lat),
 bounds AS (SELECT day, hour, min(z) AS low, max(z) AS high FROM means GROUP BY day, hour)

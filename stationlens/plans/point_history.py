@@ -10,8 +10,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from stationlens.functions.stats import from_units, mean, quarter_of, units
-from stationlens.operators.nearest import resolve_points
-from stationlens.operators.quantiles import quantiles_of_counts, value_counts
+from stationlens.operators.nearest import StationIndex, nearest_to, resolve_points
+from stationlens.operators.quantiles import histogram, quantiles, readings_in
 from stationlens.operators.skew import lookup_join
 from stationlens.schema import check_indicator
 from stationlens.session import written
@@ -32,11 +32,12 @@ def history_of_station(obs: DataFrame, station: str, indicator: str) -> DataFram
     return history(obs.filter(F.col("station") == station), indicator)
 
 
-def history_of_points(obs: DataFrame, points: DataFrame, stations: DataFrame, indicator: str) -> DataFrame:
+def history_of_points(obs: DataFrame, points: DataFrame, stations: DataFrame | StationIndex, indicator: str) -> DataFrame:
     """History at the stations standing for the points, with ``n_points`` served.
 
     Points are ids or coordinates (see :func:`resolve_points`); each station
-    comes once, however many points it stands for.
+    comes once, however many points it stands for. ``stations`` is the dimension
+    or its stored index.
     """
     resolved = resolve_points(points, stations)
     wanted = written(resolved.groupBy("station").agg(F.count("*").alias("n_points")), "wanted-stations")
@@ -46,13 +47,11 @@ def history_of_points(obs: DataFrame, points: DataFrame, stations: DataFrame, in
 
 
 def history_of_coordinates(obs: DataFrame, lon: float, lat: float, stations: DataFrame, indicator: str) -> DataFrame:
-    """History at the station nearest to one position."""
-    spark = obs.sparkSession
-    point = spark.sql(
-        "select 0L as point_id, cast(null as string) as station, "
-        f"cast({float(lon)!r} as double) as lon, cast({float(lat)!r} as double) as lat"
-    )
-    return history_of_points(obs, point, stations, indicator).drop("n_points", "ts")
+    """History at the station nearest to one position.
+
+    The station is looked up first, so that the scan of the observations is that of one station.
+    """
+    return history_of_station(obs, nearest_to(lon, lat, stations), indicator)
 
 
 def _known(hist: DataFrame) -> DataFrame:
@@ -113,55 +112,66 @@ def seasonal_anomaly(hist: DataFrame, decimals: int | None = None) -> DataFrame:
 QUARTER = ["station", "quarter"]
 
 
-def _quarter_counts(hist: DataFrame) -> DataFrame:
-    """How often each value occurs per quarter: the only pass over the readings."""
-    by_quarter = hist.select("station", quarter_of(F.col("month")).alias("quarter"), "value")
-    return written(value_counts(by_quarter, QUARTER, "value"), "value-counts")
-
-
-def _boxes(counts: DataFrame) -> DataFrame:
-    return written(quantiles_of_counts(counts, QUARTER, QUARTILES), "boxes")
+def _by_quarter(hist: DataFrame) -> DataFrame:
+    return hist.select("station", quarter_of(F.col("month")).alias("quarter"), "value")
 
 
-def _with_fences(counts: DataFrame, boxes: DataFrame) -> DataFrame:
-    """Value counts with the box of their quarter and the fences around it."""
-    edges = boxes.selectExpr(
-        *QUARTER, "q1", "q3", f"q1 - {WHISKER}D * (q3 - q1) as low", f"q3 + {WHISKER}D * (q3 - q1) as high"
+def _fences(readings: DataFrame, bins: DataFrame) -> DataFrame:
+    """The box of each quarter and the fences around it."""
+    boxes = quantiles(readings, bins, QUARTER, "value", QUARTILES)
+    fences = boxes.selectExpr(
+        "*", f"q1 - {WHISKER}D * (q3 - q1) as fence_low", f"q3 + {WHISKER}D * (q3 - q1) as fence_high"
     )
-    known = counts.filter("value is not null").select(*QUARTER, "value", "n")
-    return lookup_join(known, edges, boxes.count(), QUARTER, ["value"])
+    return written(fences, "boxes")
 
 
 def quarter_box_stats(hist: DataFrame, decimals: int | None = None) -> DataFrame:
     """What a box plot per calendar quarter shows, with all four quarters present.
 
     Whiskers end at the last values within the fences, or at the box when no
-    value lies between.
+    value lies between. Means and what lies beyond the fences come from the bins
+    of the histogram; readings are looked at again only in the bins that hold a
+    quartile or a fence.
     """
-    counts = _quarter_counts(hist)
-    boxes = _boxes(counts)
-    total = F.sum(units(F.col("value"), decimals) * F.col("n"))
-    rest = (
-        _with_fences(counts, boxes)
-        .groupBy(*QUARTER)
-        .agg(
-            F.sum("n").alias("n"),
-            (from_units(total, decimals) / F.sum("n")).alias("mean"),
-            F.expr("least(min(case when value >= low then value end), min(q1)) as whisker_low"),
-            F.expr("greatest(max(case when value <= high then value end), max(q3)) as whisker_high"),
-            F.expr("sum(case when value < low or value > high then n else 0 end) as n_outliers"),
-        )
+    readings = _by_quarter(hist)
+    bins = written(histogram(readings, QUARTER, "value", decimals), "histogram")
+    boxes = _fences(readings, bins)
+    n_boxes = boxes.count()
+    fenced = lookup_join(bins.filter("bin is not null"), boxes.select(*QUARTER, "fence_low", "fence_high"), n_boxes, QUARTER, ["bin"])
+    cut = "(low < fence_low and fence_low <= high) or (low <= fence_high and fence_high < high)"
+    whole = fenced.filter(f"not ({cut})").selectExpr(
+        *QUARTER, "n", "total", "if(low >= fence_low, low, null) as inner_low", "if(high <= fence_high, high, null) as inner_high",
+        "if(high < fence_low or low > fence_high, n, 0) as outside",
+    )
+    crossed = fenced.filter(cut)
+    within = lookup_join(readings_in(readings, QUARTER, "value", crossed), boxes, n_boxes, QUARTER, ["value"])
+    split = within.groupBy(*QUARTER).agg(
+        F.expr("min(if(value >= fence_low, value, null)) as inner_low"), F.expr("max(if(value <= fence_high, value, null)) as inner_high"),
+        F.count_if(F.expr("value < fence_low or value > fence_high")).alias("outside"),
     )
-    every = counts.select("station").distinct().withColumn("quarter", F.expr("explode(sequence(1, 4))"))
+    sums = crossed.groupBy(*QUARTER).agg(F.sum("n").alias("n"), F.sum("total").alias("total")).join(split, QUARTER)
+    summed = whole.unionByName(sums).groupBy(*QUARTER).agg(
+        F.sum("n").alias("n"), (from_units(F.sum("total"), decimals) / F.sum("n")).alias("mean"),
+        F.min("inner_low").alias("inner_low"), F.max("inner_high").alias("inner_high"), F.sum("outside").alias("n_outliers"),
+    )
+    every = bins.select("station").distinct().withColumn("quarter", F.expr("explode(sequence(1, 4))"))
     return (
         every.join(boxes, QUARTER, "left")
-        .join(rest, QUARTER, "left")
-        .withColumns({c: F.coalesce(c, F.lit(0).cast("bigint")) for c in ("n", "n_outliers")})
+        .join(summed, QUARTER, "left")
+        .select(
+            *QUARTER, *QUARTILES, F.coalesce("n", F.lit(0).cast("bigint")).alias("n"), "mean",
+            F.least("inner_low", "q1").alias("whisker_low"), F.greatest("inner_high", "q3").alias("whisker_high"),
+            F.coalesce("n_outliers", F.lit(0).cast("bigint")).alias("n_outliers"),
+        )
         .orderBy(*QUARTER)
     )
 
 
 def quarter_outliers(hist: DataFrame) -> DataFrame:
     """(station, quarter, value, n): the values beyond the fences and how often they occur."""
-    counts = _quarter_counts(hist)
-    return _with_fences(counts, _boxes(counts)).filter("value < low or value > high").select(*QUARTER, "value", "n")
+    readings = _by_quarter(hist)
+    boxes = _fences(readings, written(histogram(readings, QUARTER, "value"), "histogram"))
+    known = readings.select(*QUARTER, F.col("value").cast("double").alias("value")).filter("value is not null")
+    fenced = lookup_join(known, boxes, boxes.count(), QUARTER, ["value"])
+    outside = fenced.filter("value < fence_low or value > fence_high")
+    return outside.groupBy(*QUARTER, "value").agg(F.count("*").alias("n"))

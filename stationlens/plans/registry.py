@@ -12,12 +12,12 @@ from stationlens.functions.stats import euclidean
 from stationlens.operators import clustering
 from stationlens.operators.dedup import keep_last
 from stationlens.operators.kriging import krige_surface, location_means, semivariogram, variogram_fit
-from stationlens.operators.nearest import nearest_station, resolve_points
+from stationlens.operators.nearest import nearest_station, open_index, resolve_points
 from stationlens.operators.skew import salted_join
 from stationlens.plans import indicator_map as im
 from stationlens.plans import point_history as ph
 from stationlens.plans import space_clusters as sc
-from stationlens.schema import NUMERIC_COLUMNS
+from stationlens.schema import MAP_INDICATORS, NUMERIC_COLUMNS
 from stationlens.session import new_path, written
 from stationlens.sources import layouts, reports
 from stationlens.sources import sample_tables as st
@@ -221,6 +221,81 @@ def day_coverage(spark, sf):
     return layouts.day_coverage(st.obs_orders(spark, sf))
 
 
+# --- the three questions over the stored tables -----------------------------
+
+#: A position, an hour and a month asked for.
+POSITION = (2.35, 48.85)
+STORED_INSTANT = (2024, 1, 15, 13)
+
+
+def _stored(spark, sf):
+    """All tables of the layout, built from the report lines."""
+    root = new_path(spark, "layouts")
+    layouts.build_layouts(reports.observations(st.raw_reports(spark, sf)), root)
+    return root, layouts.open_layouts(spark, root)
+
+
+@query("stored_stations")
+def stored_stations(spark, sf):
+    return _stored(spark, sf)[1]["stations"].select(
+        "station", F.col("lon").cast("double").alias("lon"), F.col("lat").cast("double").alias("lat"), "station_seq"
+    )
+
+
+@query("stored_history")
+def stored_history(spark, sf):
+    """The past of a position: its nearest station looked up, then read from the table by station."""
+    _, t = _stored(spark, sf)
+    past = ph.history_of_coordinates(t["obs_by_station"], *POSITION, t["stations"], "tmpf")
+    return past.withColumn("value", F.col("value").cast("double"))
+
+
+@query("stored_points")
+def stored_points(spark, sf):
+    """Nearest stations of all customers by the stored index."""
+    root, _ = _stored(spark, sf)
+    points = st.points_of(spark, sf, "customer", "c_custkey")
+    found = nearest_station(points, open_index(spark, f"{root}/station_index"))
+    return found.select("point_id", "station", F.round("distance_m", 3).alias("distance_m"))
+
+
+@query("stored_snapshot")
+def stored_snapshot(spark, sf):
+    """All 21 indicators of all stations in one hour, asked for in SQL."""
+    _stored(spark, sf)
+    year, month, day, hour = STORED_INSTANT
+    values = ", ".join(f"cast({c} as double) as {c}" for c in ("lon", "lat", *MAP_INDICATORS))
+    return spark.sql(
+        f"select station, day, hour, {values} from obs_by_instant where day = make_date({year}, {month}, {day}) and hour = {hour}"
+    )
+
+
+@query("stored_bounds")
+def stored_bounds(spark, sf):
+    """Number, least and greatest value of each of the 21 indicators in every hour."""
+    _, t = _stored(spark, sf)
+    each = [im.snapshot_bounds(t["obs_by_instant"], c).withColumn("indicator", F.lit(c)) for c in MAP_INDICATORS]
+    found = each[0]
+    for more in each[1:]:
+        found = found.unionByName(more)
+    return found
+
+
+@query("stored_features")
+def stored_features(spark, sf):
+    """Means of all nine indicators per place over a month, at places with three decimals."""
+    _, t = _stored(spark, sf)
+    third = F.lit(0.005) * (F.col("hour") % 3)
+    moved = t["obs_by_instant"].withColumns({c: F.round(F.col(c).cast("double"), 2) + third for c in ("lon", "lat")})
+    return sc.period_features(moved, *MONTH, decimals=3)
+
+
+@query("month_profile_plain")
+def month_profile_plain(spark, sf):
+    """The monthly profile with plain means, as it is called without ``decimals``."""
+    return ph.month_profile(_orders(spark, sf)).withColumn("mean", F.round("mean", 4))
+
+
 # --- clusters of space ----------------------------------------------------
 
 FEATURES = sc.feature_names(st.LINEITEM_INDICATORS)
@@ -377,15 +452,10 @@ def variogram_model(spark, sf):
 
 @query("krige_weights")
 def krige_weights(spark, sf):
-    """The values the weights give back at the stations, where kriging is exact."""
-    weights = im.fitted_weights(_snapshots(spark, sf), "feel")
-    distance = "sqrt(power(p.lons - lon, 2) + power(p.lats - lat, 2))"
-    rise = f"if(psill > 0, psill * (1 - exp(-power({distance} / (range * 4 / 7), 2))), 0d)"
-    gamma = f"if({distance} <= 1e-10, 0d, nugget + {rise})"
-    terms = f"transform(arrays_zip(lons, lats, weights), p -> p.weights * {gamma})"
-    return weights.selectExpr("*", "explode(arrays_zip(lons, lats)) as s").selectExpr(
-        "*", "s.lons as lon", "s.lats as lat"
-    ).selectExpr(*im.SNAPSHOT, "lon", "lat", f"round(constant - aggregate({terms}, 0d, (a, b) -> a + b), 2) as z")
+    """The weight of each place and the constant of its snapshot."""
+    solved = im.fitted_weights(_snapshots(spark, sf), "feel").blocks
+    each = solved.selectExpr(*im.SNAPSHOT, "constant", "explode(arrays_zip(lons, lats, weights)) as s")
+    return _rounded(each.selectExpr(*im.SNAPSHOT, "s.lons as lon", "s.lats as lat", "s.weights as weight", "constant"), ["weight", "constant"])
 
 
 @query("krige_surface")
@@ -394,7 +464,7 @@ def krige_surface_all(spark, sf):
     surface = krige_surface(weights, im.SNAPSHOT, Grid())
     path = new_path(spark, "surface")
     im.write_surface(surface, path)
-    return spark.read.schema(surface.schema).parquet(path)
+    return spark.read.schema(surface.schema).parquet(path).withColumn("z", F.round("z", 3))
 
 
 @query("contour_bands")
@@ -407,7 +477,15 @@ def contour_bands(spark, sf):
 
 @query("indicator_map")
 def indicator_map(spark, sf):
-    return im.indicator_map(_snapshots(spark, sf), *INSTANT, "feel")
+    return im.indicator_map(_snapshots(spark, sf), *INSTANT, "feel").withColumn("z", F.round("z", 6))
+
+
+@query("variance_map")
+def variance_map(spark, sf):
+    """How uncertain the map of one instant is, cell by cell."""
+    rows = im.hour_rows(_snapshots(spark, sf), *INSTANT)
+    surface = im.indicator_surface(rows, "feel", Grid(), variance=True)
+    return _rounded(surface.select(*im.SNAPSHOT, "ix", "iy", "variance"), ["variance"])
 
 
 @query("krige_variance")

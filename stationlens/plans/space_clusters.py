@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stationlens.functions.stats import mean
+from stationlens.functions.stats import mean, round_exact
 from stationlens.operators.clustering import kmeans, minmax_scale
 from stationlens.schema import CLUSTER_INDICATORS
 from stationlens.session import written
@@ -33,7 +33,7 @@ def period_features(
     """Mean of location and indicators per (station, lon, lat to two places)."""
     rows = complete_cases(period_scan(obs, start, end, indicators), indicators)
     lon, lat = F.col("lon").cast("double"), F.col("lat").cast("double")
-    place = (F.col("station"), F.bround(lon, 2).alias("k_lon"), F.bround(lat, 2).alias("k_lat"))
+    place = (F.col("station"), round_exact(lon, 2).alias("k_lon"), round_exact(lat, 2).alias("k_lat"))
     means = rows.groupBy(*place).agg(
         mean(lon, decimals).alias("f_lon"),
         mean(lat, decimals).alias("f_lat"),

@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
+import contextlib
+import contextvars
 import os
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 
 _local_dirs: dict[str, str] = {}
+#: Name of the innermost open scope.
+_scope: contextvars.ContextVar[str | None] = contextvars.ContextVar("stationlens_scope", default=None)
 
 
 def local_session(cores: str = "8", partitions: int = 8, **conf: str) -> SparkSession:
@@ -38,7 +43,7 @@ def shared_dir(spark: SparkSession) -> str:
     if configured:
         return configured.rstrip("/")
     sc = spark.sparkContext
-    if not sc.master.startswith("local"):
+    if sc.master != "local" and not sc.master.startswith("local["):
         raise RuntimeError("set spark.checkpoint.dir to a folder shared by all executors")
     if sc.applicationId not in _local_dirs:
         _local_dirs[sc.applicationId] = tempfile.mkdtemp(prefix="stationlens-")
@@ -51,8 +56,31 @@ def work_dir(spark: SparkSession) -> str:
 
 
 def new_path(spark: SparkSession, name: str) -> str:
-    """A fresh path among the intermediate tables."""
-    return f"{work_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    """A fresh path among the intermediate tables, within the open scope if there is one."""
+    scope = _scope.get()
+    folder = f"{work_dir(spark)}/{scope}" if scope else work_dir(spark)
+    return f"{folder}/{name}-{uuid.uuid4().hex}"
+
+
+@contextlib.contextmanager
+def scope(spark: SparkSession) -> Iterator[str]:
+    """Owns the intermediate tables written inside; they are deleted at the end, also after an error.
+
+    Results that read them must be stored or collected before. Scopes may be nested.
+    """
+    name = f"scope-{uuid.uuid4().hex}"
+    outer = _scope.set(f"{_scope.get()}/{name}" if _scope.get() else name)
+    folder = f"{work_dir(spark)}/{_scope.get()}"
+    try:
+        yield folder
+    finally:
+        _scope.reset(outer)
+        _delete(spark, folder)
+
+
+def _delete(spark: SparkSession, folder: str) -> bool:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    return path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
@@ -69,5 +97,4 @@ def written(df: DataFrame, name: str) -> DataFrame:
 
 def drop_written(spark: SparkSession) -> bool:
     """Delete the intermediate tables of this application; results read from them are gone too."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(work_dir(spark))
-    return path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    return _delete(spark, work_dir(spark))

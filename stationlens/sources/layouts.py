@@ -4,6 +4,8 @@
 ``obs_by_instant``  directory per day, sorted by (hour, minute, station): maps of
                     an hour and scans of a period.
 ``stations``        one row per station.
+``station_index``   the places of the stations and the cells they lie in, for nearest
+                    stations of many points (``operators.nearest.open_index``).
 
 Rows are range-partitioned on the full sort key, so a station or a day holding a
 large share of the rows is split over many tasks and files instead of one.
@@ -14,6 +16,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
+from stationlens.operators.nearest import write_index
 from stationlens.session import written
 
 STATION_ORDER = ("station", "ts")
@@ -76,6 +79,7 @@ def build_layouts(obs: DataFrame, root: str, mode: str = "overwrite", files: int
     stored = spark.read.schema(obs.schema).parquet(f"{root}/obs_by_station")
     counts["obs_by_instant"] = write_by_instant(stored, f"{root}/obs_by_instant", mode, files)
     counts["stations"] = _write(station_dimension(stored), f"{root}/stations", mode)
+    write_index(spark.read.parquet(f"{root}/stations"), f"{root}/station_index", "overwrite")
     return counts
 
 

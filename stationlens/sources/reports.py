@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import csv
 import re
+from functools import reduce
 from urllib.parse import unquote
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -44,14 +45,34 @@ def _file_order(spark: SparkSession, paths: list[str]) -> dict[str, int]:
     return order
 
 
-def _headers(spark: SparkSession, paths: list[str]) -> dict[str, list[str]]:
-    """Header line -> files; the first line of a file that is no comment, found in one distributed pass."""
-    place = F.struct(F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("row"))
-    lines = spark.read.text(paths).select(F.col("_metadata.file_path").alias("file"), place.alias("at"), "value")
-    real = lines.filter(~F.col("value").startswith("#") & (F.trim("value") != ""))
-    found: dict[str, list[str]] = {}
-    for row in real.groupBy("file").agg(F.min_by("value", "at").alias("header")).collect():  # a line per file
-        found.setdefault(row["header"], []).append(row["file"])
+#: Lines read first of a file in search of its header, and files looked at by one job.
+_HEAD_LINES, _HEAD_FILES = 64, 50
+
+
+def file_headers(spark: SparkSession, files: list[str]) -> dict[str, str]:
+    """File -> its first line that is no comment.
+
+    A task reads the first lines of its file and no more, so the data is not scanned for
+    it; more lines are read only of files that begin with nothing but comments. A file
+    without any other line is left out.
+    """
+    found: dict[str, str] = {}
+    lines = _HEAD_LINES
+    while files:
+        longer = []
+        for at in range(0, len(files), _HEAD_FILES):
+            part = files[at : at + _HEAD_FILES]
+            heads = [spark.read.text(unquote(f)).limit(lines).select(F.lit(i).alias("file"), "value") for i, f in enumerate(part)]
+            seen: dict[int, list[str]] = {}
+            for row in reduce(DataFrame.union, heads).collect():
+                seen.setdefault(row["file"], []).append(row["value"])
+            for i, texts in seen.items():
+                real = next((t for t in texts if not t.startswith("#") and t.strip(" ")), None)
+                if real is not None:
+                    found[part[i]] = real
+                elif len(texts) == lines:
+                    longer.append(part[i])
+        files, lines = longer, lines * 16
     return found
 
 
@@ -91,7 +112,9 @@ def read_reports(spark: SparkSession, path: str | list[str], missing: str = "err
     """
     paths = [path] if isinstance(path, str) else list(path)
     order = _file_order(spark, paths)
-    headers = _headers(spark, paths)
+    headers: dict[str, list[str]] = {}
+    for file, header in file_headers(spark, list(order)).items():
+        headers.setdefault(header, []).append(file)
     rows = None
     for header, files in sorted(headers.items()):
         own = paths if len(headers) == 1 else [unquote(f) for f in sorted(files)]

@@ -103,3 +103,40 @@ def test_cluster_pipeline_rounds_places_half_even(spark):
     assert {r.station for r in labels} == {"A", "C"} and len({r.label for r in labels}) == 2
     layer = sc.cluster_map_layer(obs, "2024-01-01", "2024-01-31", k=1, indicators=["tmpf"])
     assert layer.columns == ["lon", "lat", "label", "popup"]
+
+
+@pytest.mark.parametrize("k", [1, 5, 12])
+def test_bounds_skip_points_and_change_nothing(spark, k):
+    rng = np.random.default_rng(11)
+    x = np.vstack([rng.normal(c, 0.6, (300, 3)) for c in (0, 1.5, 3, 6)])
+    points = table(spark, x).repartition(3).cache()
+    looked_at: list[int] = []
+    start = x[rng.choice(len(x), k, replace=False)].tolist()
+    got = cl.fit(points, FEATURES, start, eps=1e-6, looked_at=looked_at)
+    centres, rounds = start, 0
+    while True:
+        centres, shift = cl.step(points, FEATURES, centres)
+        rounds += 1
+        if shift <= 1e-6:
+            break
+    assert got == centres and len(looked_at) == rounds
+    assert looked_at[0] == len(x)
+    assert k == 1 or sum(looked_at) < 0.6 * rounds * len(x)
+
+
+def test_copies_of_a_centre_keep_the_lowest_label(spark):
+    x = np.vstack([np.zeros((5, 3)), np.ones((5, 3))])
+    got = cl.fit(table(spark, x), FEATURES, [[0.0] * 3, [0.0] * 3, [1.5] * 3])
+    assert got == [[0.0] * 3, [0.0] * 3, [1.0] * 3]
+
+
+def test_rounding_decides_by_the_binary_value(spark):
+    from stationlens.functions.stats import round_exact
+
+    rng = np.random.default_rng(3)
+    values = [0.125, 0.375, -0.125, 2.675, 1.005, 1.115, -2.675, 0.0, -0.005, 0.005, 0.015, 1e17, -3.5e300, 5e-324, 0.994999999999, 179.995, 2.0**45 + 0.125]
+    values += (rng.integers(-20_000_000, 20_000_000, 4000) / 1000).tolist() + rng.normal(0, 100, 2000).tolist()
+    values += [np.nextafter(v, w) for v in (0.125, 1.115, 8.0, 0.01) for w in (-9, 9)]
+    df = spark.createDataFrame(pd.DataFrame({"v": values}))
+    got = [r[0] for r in df.select(round_exact(df["v"], 2)).collect()]
+    assert got == [round(v, 2) for v in values]

@@ -10,8 +10,8 @@ from stationlens.plans import point_history as ph
 PROBS = {"p0": 0.0, "p10": 0.1, "q1": 0.25, "median": 0.5, "q3": 0.75, "p100": 1.0}
 
 
-@pytest.mark.parametrize("seed", range(3))
-def test_quantiles_equal_numpy(spark, seed):
+@pytest.mark.parametrize("seed, sorted_rows", [(0, 65536), (1, 65536), (2, 0), (3, 20)])
+def test_quantiles_equal_numpy(spark, seed, sorted_rows):
     rng = np.random.default_rng(seed)
     groups = {
         "hot": rng.lognormal(0, 6, 20_000) * rng.choice([-1, 1], 20_000),
@@ -23,19 +23,29 @@ def test_quantiles_equal_numpy(spark, seed):
     }
     df = pd.concat([pd.DataFrame({"g": g, "v": v}) for g, v in groups.items()])
     sdf = spark.createDataFrame(df).unionByName(spark.sql("select 'hot' as g, cast(null as double) as v"))
-    got = exact_quantiles(sdf, ["g"], "v", PROBS).toPandas().set_index("g")
+    got = exact_quantiles(sdf, ["g"], "v", PROBS, sorted_rows).toPandas().set_index("g")
     for g, v in groups.items():
         assert list(got.loc[g, list(PROBS)]) == [np.percentile(v, p * 100) for p in PROBS.values()], g
 
 
-def test_quantile_windows_stay_small(spark):
-    """No window of the ranking sees more than a bin of a group, or its bins."""
-    from stationlens.operators.quantiles import value_counts
+def test_tables_of_the_quantiles_stay_small(spark, monkeypatch):
+    """What is written depends on the bins of a group, not on its readings or their values."""
+    from stationlens.operators import quantiles
 
-    df = spark.range(300_000).selectExpr("'hot' as g", "cast(id as float) + 0.5f as v")
-    counts = value_counts(df, ["g"], "v")
-    per_bin = counts.groupBy("_bin").count().agg({"count": "max", "_bin": "count"}).first()
-    assert per_bin["max(count)"] < 40_000 and per_bin["count(_bin)"] < 9_000
+    rows = []
+
+    def counting(df, name):
+        table = written(df, name)
+        rows.append((name, table.count()))
+        return table
+
+    written = quantiles.written
+    monkeypatch.setattr(quantiles, "written", counting)
+    df = spark.range(600_000).selectExpr("'hot' as g", "cast(id as float) + 0.5f as v")
+    got = exact_quantiles(df, ["g"], "v", {"median": 0.5}, sorted_rows=1000).first()
+    assert got["median"] == np.median(np.arange(600_000, dtype=np.float32) + np.float32(0.5))
+    assert {n for n, _ in rows} >= {"histogram", "quantile-bins", "quantile-parts"}
+    assert max(n for _, n in rows) < 500
 
 
 def hist(spark, rows):

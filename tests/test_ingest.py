@@ -165,3 +165,24 @@ def test_numbers_in_file_names_count(spark, tmp_path):
         write_file(tmp_path / name, REPORT_COLUMNS, [row_of(REPORT_COLUMNS, tmpf=value)])
     (got,) = reports.observations(reports.read_reports(spark, str(tmp_path))).collect()
     assert got["tmpf"] == 2.0
+
+
+def test_only_the_heads_of_the_files_are_read_for_the_header(spark, tmp_path):
+    body = "\n".join(line(station=f"S{i % 50}", valid="2005-01-01 00:30", tmpf=str(i)) for i in range(40_000))
+    for n in range(3):
+        (tmp_path / f"part-{n}.txt").write_text("\n".join(["#DEBUG", "", ",".join(REPORT_COLUMNS), body]) + "\n")
+    (tmp_path / "part-3.txt").write_text("# nothing\n")
+    size = sum(f.stat().st_size for f in tmp_path.iterdir())
+
+    def bytes_read():
+        return sum(s.getBytesRead() for s in spark._jvm.org.apache.hadoop.fs.FileSystem.getAllStatistics() if s.getScheme() == "file")
+
+    files = sorted(str(f) for f in tmp_path.iterdir())
+    before = bytes_read()
+    found = reports.file_headers(spark, files)
+    assert 0 < bytes_read() - before < size / 10
+    assert found == dict.fromkeys(files[:3], ",".join(REPORT_COLUMNS))
+    (tmp_path / "part-4.txt").write_text("# one more\n" * 5000 + ",".join(REPORT_COLUMNS) + "\n")
+    assert reports.file_headers(spark, [str(tmp_path / "part-4.txt")]) == {str(tmp_path / "part-4.txt"): ",".join(REPORT_COLUMNS)}
+    raw = reports.read_reports(spark, str(tmp_path))
+    assert raw.count() == 120_000

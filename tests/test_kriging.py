@@ -66,19 +66,30 @@ def test_fit_recovers_the_model(spark):
     assert flat.psill == 0 and flat.nugget == pytest.approx((10 - h).mean())
 
 
-@pytest.mark.parametrize("model", [(0.3, 20.0, 4.0), (1.0, 0.0, 1.0)])
-def test_surface_equals_one_solve_per_cell(spark, model):
+def semivariances(h, nugget, psill, reach):
+    """Gaussian model with the least nugget."""
+    nugget = max(nugget, 1e-4 * psill)
+    return np.where(h < 1e-9, 0.0, nugget + psill * (1 - np.exp(-((h / (reach * 4 / 7)) ** 2))))
+
+
+@pytest.mark.parametrize("block", [512, 9])
+@pytest.mark.parametrize("model", [(0.3, 20.0, 4.0), (1.0, 0.0, 1.0), (0.0, 20.0, 3.0)])
+def test_surface_equals_one_solve_per_cell(spark, model, block):
     x, y, z = field(np.random.default_rng(1), 40)
-    weights = kr.krige_weights(places(spark, x, y, z), model_row(spark, *model), KEYS)
+    weights = kr.krige_weights(places(spark, x, y, z), model_row(spark, *model), KEYS, block=block)
     got = kr.krige_surface(weights, KEYS, GRID, variance=True).orderBy("iy", "ix").toPandas()
     assert len(got) == GRID.nx * GRID.ny
-    a = kr._system(x, y, model)
+    plain = kr.krige_surface(weights, KEYS, GRID).orderBy("iy", "ix").toPandas()
+    assert np.allclose(plain["z"], got["z"], rtol=0, atol=1e-8)
+    a = np.ones((41, 41))
+    a[:40, :40] = semivariances(np.hypot(x[:, None] - x, y[:, None] - y), *model)
+    a[40, 40] = 0
     for _, c in got.iloc[::7].iterrows():
-        b = np.append(-kr.gamma(np.hypot(x - c["lon"], y - c["lat"]), *model), 1.0)
+        b = np.append(semivariances(np.hypot(x - c["lon"], y - c["lat"]), *model), 1.0)
         s = np.linalg.solve(a, b)
         assert s[:-1].sum() == pytest.approx(1)
         assert c["z"] == pytest.approx(s[:-1] @ z, abs=1e-6)
-        assert c["variance"] == pytest.approx(-s @ b, abs=1e-6)
+        assert c["variance"] == pytest.approx(s @ b, abs=1e-6)
 
 
 def test_exact_at_stations_with_zero_variance(spark):
@@ -115,11 +126,67 @@ def test_near_singular_system_stays_finite(spark):
     assert np.isfinite(out["z"]).all()
 
 
-def test_oversized_snapshot_is_refused(spark):
-    x, y, z = field(np.random.default_rng(4), 20)
-    weights = kr.krige_weights(places(spark, x, y, z), model_row(spark, 0.1, 1.0, 1.0), KEYS, max_stations=19)
-    with pytest.raises(Exception, match="20 stations in a snapshot"):
-        weights.collect()
+def test_large_snapshot_beside_a_small_one_reproduces_its_stations(spark):
+    rng = np.random.default_rng(4)
+    grid = Grid(0.0, 0.0, 5.0, 5.0, 0.25)
+    at = [(i * 0.25, j * 0.25) for i in range(20) for j in range(20)]
+    x = np.append(rng.uniform(0, 5, 5600), [c[0] for c in at])
+    y = np.append(rng.uniform(0, 5, 5600), [c[1] for c in at])
+    z = 10 * np.sin(x / 2) + 3 * np.cos(y) + rng.normal(0, 0.3, 6000)
+    both = places(spark, x, y, z).unionByName(places(spark, x[5590:5610], y[5590:5610], z[5590:5610], hour=1))
+    model = model_row(spark, 0.0, 30.0, 4.0).unionByName(model_row(spark, 0.1, 30.0, 4.0).selectExpr("day", "1 as hour", "nugget", "psill", "range"))
+    solved = kr.krige_weights(both, model, KEYS)
+    sizes = {r["hour"]: r["parts"] for r in solved.blocks.select("hour", "parts").distinct().collect()}
+    assert sizes == {0: -(-6000 // kr.SOLVE_BLOCK), 1: 1}
+    got = kr.krige_surface(solved, KEYS, grid).toPandas()
+    large = got[got["hour"] == 0].set_index(["ix", "iy"])["z"]
+    assert len(got) == 800
+    assert np.abs([large[i, j] - z[5600 + 20 * i + j] for i in range(20) for j in range(20)]).max() < 1e-6
+
+
+def test_variance_of_several_blocks(spark):
+    rng = np.random.default_rng(6)
+    x, y, z = field(rng, 300)
+    model = model_row(spark, 0.2, 9.0, 3.0)
+    one, many = (kr.krige_surface(kr.krige_weights(places(spark, x, y, z), model, KEYS, block=b), KEYS, GRID, variance=True) for b in (512, 40))
+    one, many = (df.orderBy("iy", "ix").toPandas() for df in (one, many))
+    assert np.allclose(one["z"], many["z"], rtol=0, atol=1e-8) and np.allclose(one["variance"], many["variance"], rtol=0, atol=1e-8)
+    assert one["variance"].min() > 0
+
+
+def test_factor_of_a_matrix_rounding_made_indefinite():
+    rng = np.random.default_rng(7)
+    q, _ = np.linalg.qr(rng.normal(size=(6, 6)))
+    square = q @ np.diag([5, 3, 1, 0.5, 1e-3, -1e-12]) @ q.T
+    low = kr._triangle(square, 1e-4)
+    assert np.allclose(np.triu(low, 1), 0) and (np.diag(low) > 0).all()
+    assert np.allclose(low @ low.T, square, atol=2e-4)
+
+
+def test_extents_without_all_pairs(spark):
+    rng = np.random.default_rng(8)
+    clouds = [
+        rng.uniform(0, 5, (200, 2)), np.round(rng.uniform(0, 3, (80, 2)), 1), np.column_stack([np.arange(30.0), np.arange(30.0)]),
+        np.vstack([rng.normal(0, 1e-4, (60, 2)), rng.uniform(-5, 5, (60, 2))]), np.array([[1.0, 2.0]]), np.array([[1.0, 2.0], [1.0, 3.5]]),
+        np.column_stack([np.cos(np.arange(50)), np.sin(np.arange(50))]),
+    ]
+    clouds = [np.unique(c, axis=0) for c in clouds]
+    table = None
+    for hour, c in enumerate(clouds):
+        part = places(spark, c[:, 0], c[:, 1], np.zeros(len(c)), hour=hour)
+        table = part if table is None else table.unionByName(part)
+    for block in (6, 512):
+        owned, pairs = kr._in_blocks(table, KEYS, block)
+        got = {r["hour"]: (r["h_min"], r["h_max"]) for r in kr._extents(owned, KEYS, block).collect()}
+        want = {}
+        for hour, c in enumerate(clouds):
+            i, j = np.triu_indices(len(c), 1)
+            if len(i):
+                h = np.hypot(*(c[i] - c[j]).T)
+                want[hour] = (h.min(), h.max())
+        assert set(got) == set(want) and pairs > 0
+        for hour, ends in want.items():
+            assert got[hour] == pytest.approx(ends, rel=1e-12)
 
 
 def test_repeated_location_is_averaged(spark):

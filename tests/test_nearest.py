@@ -11,9 +11,14 @@ from stationlens.operators.nearest import nearest_station, resolve_points
 
 
 def metres(lon1, lat1, lon2, lat2):
-    lon1, lat1, lon2, lat2 = map(np.radians, (lon1, lat1, lon2, lat2))
-    a = np.sin((lat2 - lat1) / 2) ** 2 + np.cos(lat1) * np.cos(lat2) * np.sin((lon2 - lon1) / 2) ** 2
-    return 2 * 6371000.0 * np.arcsin(np.sqrt(a))
+    """Arc between unit vectors: the angle whose sine and cosine are the cross and dot product."""
+
+    def vector(lon, lat):
+        lon, lat = np.radians(lon), np.radians(lat)
+        return np.stack(np.broadcast_arrays(np.cos(lat) * np.cos(lon), np.cos(lat) * np.sin(lon), np.sin(lat)), axis=-1)
+
+    a, b = vector(lon1, lat1), vector(lon2, lat2)
+    return 6371000.0 * np.arctan2(np.linalg.norm(np.cross(a, b), axis=-1), (a * b).sum(-1))
 
 
 def frames(spark, points, stations):
@@ -110,3 +115,21 @@ def test_haversine_properties(spark):
 def test_grid_size(step, n):
     grid = Grid(step=step)
     assert (grid.nx, grid.ny) == (n, n) == (len(np.arange(-5.0, 9.0, step)),) * 2
+
+
+def test_stored_index_and_one_position(spark, tmp_path, monkeypatch):
+    rng = np.random.default_rng(6)
+    points, stations = sphere(rng, 60), sphere(rng, 500)
+    p, s = frames(spark, points, stations)
+    s = s.unionByName(spark.sql("select cast(null as double) as lon, 1d as lat, 900L as station_seq, 'lost' as station"))
+    nearest.write_index(s, str(tmp_path))
+    want = {r["point_id"]: r["station"] for r in nearest_station(p, s).collect()}
+
+    def refused(*_):
+        raise AssertionError("built again")
+
+    monkeypatch.setattr(nearest, "_pyramid", refused)
+    index = nearest.open_index(spark, str(tmp_path))
+    assert {r["point_id"]: r["station"] for r in nearest_station(p, index).collect()} == want
+    assert [nearest.nearest_to(lon, lat, s) for lon, lat in points[:10]] == [want[i] for i in range(10)]
+    assert nearest.nearest_to(0.0, 0.0, s.filter("false")) == ""

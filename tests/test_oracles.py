@@ -9,7 +9,7 @@ import __spark_entry__ as entry_points
 from stationlens.plans.oracles import ORACLES
 from stationlens.plans.registry import QUERIES
 
-ROWS_ONLY = {"krige_surface", "indicator_map", "krige_variance"}
+ROWS_ONLY = {"krige_variance"}
 
 
 @pytest.mark.parametrize("name", sorted(ORACLES))
