@@ -1,7 +1,9 @@
 """Deep-shallow sorting of byte strings.
 
-Shallow part: a multikey sort. All ranges of strings equal so far are split at once by
-their next eight bytes (one symbol), down to a shallow depth. Deep part: what is still
+Shallow part: multikey quicksort (Bentley and Sedgewick 1997) on symbols of eight bytes. A
+range of strings equal so far is parted by the next symbol of a pivot into smaller, equal
+and greater; the equal ones go on with the symbol after it, down to a shallow depth. Short
+ranges are sorted at once. Deep part: what is still
 equal shares a long prefix, and comparing it byte by byte would go over that prefix again
 and again. Those groups are ordered by a blind trie instead: a string is led down by the
 branching bytes alone, compared once with the string it ends at, and hung in at the depth
@@ -75,6 +77,34 @@ class BlindTrie:
         return order, prefixes
 
 
+#: Ranges up to this length are sorted without further parting.
+SHORT = 256
+
+
+def multikey_quicksort(keys: np.ndarray) -> np.ndarray:
+    """The order of the rows of ``keys`` by their columns; equal rows keep their order."""
+    order = np.arange(len(keys))
+    depth = keys.shape[1]
+    todo = [(0, len(keys), 0)]
+    while todo:
+        low, high, at = todo.pop()
+        if at == depth or high - low < 2:
+            continue
+        part = order[low:high]
+        if len(part) <= SHORT:
+            order[low:high] = part[np.lexsort(keys[part, at:].T[::-1])]
+            continue
+        symbol = keys[part, at]
+        # The median of nine symbols spread over the range.
+        pivot = np.sort(symbol[np.linspace(0, len(symbol) - 1, 9).astype(np.int64)])[4]
+        less, equal = symbol < pivot, symbol == pivot
+        order[low:high] = np.concatenate([part[less], part[equal], part[~(less | equal)]])
+        middle = low + int(less.sum())
+        end = middle + int(equal.sum())
+        todo += [(low, middle, at), (middle, end, at + 1), (end, high, at)]
+    return order
+
+
 def deep_shallow(rows: np.ndarray, lengths: np.ndarray, groups: np.ndarray, shallow: int) -> tuple[np.ndarray, np.ndarray]:
     """Order of distinct strings within their groups, and common prefixes with the string before.
 
@@ -89,7 +119,7 @@ def deep_shallow(rows: np.ndarray, lengths: np.ndarray, groups: np.ndarray, shal
     padded[:, :width] = rows
     symbols = padded.view(">u8").astype(np.uint64)
     shallow_symbols = max(1, min(shallow // SYMBOL, symbols.shape[1]))
-    order = np.lexsort([*symbols[:, :shallow_symbols].T[::-1], groups])
+    order = multikey_quicksort(np.column_stack([groups.astype(np.uint64), symbols[:, :shallow_symbols]]))
     prefix = np.full(n, -1, np.int64)
     same = groups[order][1:] == groups[order][:-1]
     tied = same.copy()

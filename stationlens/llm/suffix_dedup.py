@@ -49,8 +49,8 @@ from stationlens.session import written
 
 GRAM = 16
 BLOCK_BYTES = 2 << 20
-#: Windows hashed at once.
-AT_ONCE = 1 << 21
+#: Windows hashed at once; some hundred bytes of arrays each.
+AT_ONCE = 1 << 17
 NO_ID = np.iinfo(np.int64).max
 _M = np.array([0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB], np.uint64)
 

@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from odd_tables import ROWS, empty, odd
 
-from stationlens.llm.deep_shallow import deep_shallow
+from stationlens.llm.deep_shallow import deep_shallow, multikey_quicksort
 from stationlens.llm.registry import QUERIES
 from stationlens.llm.suffix_dedup import remove_repeats
 
@@ -61,6 +61,13 @@ def test_deep_shallow_against_sorting():
             assert prefix[i + 1] == (-1 if a[0] != b[0] else len(os.path.commonprefix([a[1], b[1]])))
 
 
+def test_multikey_quicksort_keeps_the_order_of_equal_rows():
+    rng = np.random.default_rng(2)
+    for n, most, depth in [(0, 3, 2), (1, 3, 2), (5000, 3, 4), (5000, 10**6, 3), (3000, 1, 2)]:
+        keys = rng.integers(0, most, (n, depth)).astype(np.uint64)
+        assert (multikey_quicksort(keys) == np.lexsort(keys.T[::-1])).all()
+
+
 def passages(seed, n=120):
     rng = random.Random(seed)
     shared = ["".join(rng.choices("abcdé ", k=rng.randint(20, 200))) for _ in range(12)] + ["x" * 120, "ab" * 80]
