@@ -38,9 +38,11 @@ def recall(got, want):
 def test_recall_on_the_table(spark, sf_dir, leaf_rows):
     table = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet")
     rows = [(r["vec_id"], r["embedding"]) for r in table.collect()]
-    got = results(search(table, leaf_rows=leaf_rows, block_rows=100).collect())
+    report = {}
+    got = results(search(table, leaf_rows=leaf_rows, block_rows=100, block_queries=60, streams=3, report=report).collect())
     want = brute(rows)
-    assert recall(got, want) >= 0.9
+    assert recall(got, want) >= 0.9 and report["recall_held_out"] >= 0.9
+    assert report["recall_calibrated"] >= 0.97 and 1 <= report["visits"] <= report["leaves"]
     vectors = dict(rows)
     for q, found in got.items():
         assert len(found) == 20 and q not in dict(found)
@@ -84,3 +86,24 @@ def test_visits_reach_every_leaf_once():
     order = tree.visit(rng.standard_normal(5), tree.leaves + 5)
     assert len(order) == len(set(order)) == tree.leaves
     assert math.isclose(len({int(x) for x in tree.route(rng.standard_normal((4000, 5)))}), tree.leaves, rel_tol=0.1)
+
+
+def test_clustered_rows_need_few_leaves(spark):
+    rng = np.random.default_rng(3)
+    centres = rng.standard_normal((60, 8)) * 10
+    x = centres[rng.integers(0, 60, 6000)] + rng.standard_normal((6000, 8)) * 0.05
+    report = {}
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = results(search(df, leaf_rows=64, report=report).collect())
+    assert recall(got, brute([(i, v.tolist()) for i, v in enumerate(x)])) >= 0.9
+    assert report["visits"] < report["leaves"] / 5 and report["recall_held_out"] >= 0.9
+
+
+def test_walk_goes_on_until_enough_rows_are_seen():
+    rng = np.random.default_rng(4)
+    tree = Tree(rng.standard_normal((500, 5)), 10, 4)
+    held = np.full(len(tree.matrix), 3)
+    query = rng.standard_normal(5)
+    assert len(tree.visit(query, 2, held, 21)) == 7 and len(tree.visit(query, 9, held, 21)) == 9
+    again = Tree.of(*tree.arrays())
+    assert again.visit(query, 30) == tree.visit(query, 30) and again.leaves == tree.leaves
