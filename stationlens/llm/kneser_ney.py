@@ -1,32 +1,39 @@
-"""Interpolated modified Kneser-Ney bigram model: counted in Spark, memory-mapped by workers.
+"""Interpolated modified Kneser-Ney model of any order: counted in Spark, memory-mapped by workers.
 
 Tokens are words (runs of characters other than space and U+0009-U+000D, A-Z lower-cased)
-and one end token per text. A token's context is the token before it, or the beginning.
+and one end token per text. A token's context are the ``order - 1`` tokens before it, with
+beginnings in front of the text.
 
-    p(w | u) = max(c(uw) - D(c(uw)), 0) / c(u) + g(u) p(w)
-    p(w)     = max(k(w) - D'(k(w)), 0) / K     + g' / (V + 1)
+    p_m(w | c) = max(a(cw) - D_m(a(cw)), 0) / A(c) + g_m(c) p_m-1(w | c without its first token)
+    p_1(w)     = max(a(w) - D_1(a(w)), 0) / A      + g_1 / (V + 1)
 
-k(w) is the number of different contexts of w and K their sum; D and D' are the discounts
-for counts 1, 2 and 3 or more, from the numbers of counts 1 to 4; g(u) and g' give the
-discounted mass back. V + 1 counts the unknown token, so everything has a probability.
+At the highest order a(cw) is the count of the sequence, below it the number of different
+tokens seen before it. A(c) is their sum over w, D_m are the discounts for values 1, 2 and
+3 or more, from how many values are 1 to 4, and g_m(c) gives the discounted mass back.
+A context never seen passes on to the shorter one. V + 1 counts the unknown token, so
+everything has a probability.
+
+Sequences are chained numbers: that of m tokens is known by the number of its first m - 1
+tokens and that of its last word, and has a number itself, its place among all shards. So
+a level needs one pass over the texts, which looks up the levels below.
 
 The model is a folder in the shared directory, made of flat arrays in shards:
 
-* words – sorted 64-bit hashes, counts, number of different contexts, and for each word
-  as context how many tokens follow it once, twice, more often. A word's number is its
-  place among all shards.
-* pairs – sorted keys (number of the context, number of the word), counts up to 254 in a
-  byte, larger ones in a short second array.
+* level 1 – sorted 64-bit hashes and counts of words,
+* level m – sorted keys (number of the context, number of the word),
+* for each entry its value a, up to 254 in a byte, larger ones in a short second array,
+* and below the highest level for each entry as context how many entries with values 1, 2
+  and more follow it, and the sum of their values.
 
 Tasks count in their own memory and send sorted, compressed arrays with one entry per
-word or pair to the shards, so a frequent word is one entry per task and no group grows
-with its frequency. Shards are spread by hash. Files are put in place by renaming, and
-their contents do not depend on the attempt, so lost tasks may run again. Workers map the
-files and look up sorted keys; nothing of the model passes through the driver but
-one row of totals per shard.
+word or sequence to the shards, so a frequent word is one entry per task and no group grows
+with its frequency. Shards are spread by hash, one for each ``SHARD_BYTES`` of text. Files
+are put in place by renaming, and their contents do not depend on the attempt, so lost
+tasks may run again. Workers map the files and look up sorted keys; nothing of the model
+passes through the driver but one row of totals per shard and level.
 
-The shared directory must be one that workers can open as files. Word numbers have 32
-bits; a larger vocabulary is refused with an error.
+The shared directory must be one that workers can open as files. A key has 64 bits; more
+sequences than the bits left over by the word numbers can tell apart end with an error.
 
 Null text is empty: its end token alone. Rows with null id are learned from. Repeated ids
 and rows count as often as they occur. Without any text to learn from every token is
@@ -52,7 +59,9 @@ _PRIME = 0x9E3779B97F4A7C15
 #: Hash of the end token; words have other hashes but for chance.
 END = np.uint64(0xD1B54A32D192ED03)
 #: Entries a task gathers before it sends them.
-GATHER = 3_000_000
+GATHER = 2_000_000
+#: Bytes of text for each shard of a level.
+SHARD_BYTES = 16 << 20
 OVER = 255
 SCORE_SCHEMA = "n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
@@ -111,16 +120,20 @@ def _unpack(blob: bytes) -> list[np.ndarray]:
     return [np.cumsum(columns[0], dtype=np.uint64), *columns[1:]]
 
 
-def _merge(blobs: list[bytes]) -> list[np.ndarray]:
-    """Entries of all blobs by ascending key, the columns of equal keys added up."""
+def _merge(blobs: list[bytes], kept: int = 0) -> list[np.ndarray]:
+    """Entries of all blobs by ascending key, the columns of equal keys added up; the last ``kept`` columns are equal."""
     parts = [p for b in blobs if (p := _unpack(b))]
     if not parts:
         return []
-    keys, place = np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True)
+    keys, first, place = np.unique(np.concatenate([p[0] for p in parts]), return_index=True, return_inverse=True)
     out = [keys]
     for column in range(1, len(parts[0])):
+        values = np.concatenate([p[column] for p in parts])
+        if column >= len(parts[0]) - kept:
+            out.append(values[first])
+            continue
         total = np.zeros(len(keys), np.uint64)
-        np.add.at(total, place, np.concatenate([p[column] for p in parts]))
+        np.add.at(total, place, values)
         out.append(total)
     return out
 
@@ -153,11 +166,12 @@ def _map(path: str, dtype) -> np.ndarray:
     return np.memmap(path, dtype, "r")
 
 
-def _send(entries: list[tuple[np.ndarray, np.ndarray]], shard_of: Callable, shards: int) -> Iterator[pa.RecordBatch]:
-    """One row (shard, blob) per shard for entries (keys, counts) gathered so far."""
-    keys, place = np.unique(np.concatenate([k for k, _ in entries]), return_inverse=True)
+def _send(entries: list[list[np.ndarray]], shard_of: Callable, shards: int) -> Iterator[pa.RecordBatch]:
+    """One row (shard, blob) per shard for entries (keys, counts, further columns) gathered so far."""
+    keys, first, place = np.unique(np.concatenate([e[0] for e in entries]), return_index=True, return_inverse=True)
     counts = np.zeros(len(keys), np.uint64)
-    np.add.at(counts, place, np.concatenate([c for _, c in entries]))
+    np.add.at(counts, place, np.concatenate([e[1] for e in entries]))
+    more = [np.concatenate([e[i] for e in entries])[first] for i in range(2, len(entries[0]))]
     shard = shard_of(keys, shards)
     order = np.argsort(shard, kind="stable")
     edges = np.searchsorted(shard[order], np.arange(shards + 1))
@@ -165,18 +179,20 @@ def _send(entries: list[tuple[np.ndarray, np.ndarray]], shard_of: Callable, shar
     for s in np.flatnonzero(np.diff(edges)).tolist():
         pick = order[edges[s] : edges[s + 1]]
         numbers.append(s)
-        blobs.append(_pack(keys[pick], counts[pick]))
+        blobs.append(_pack(keys[pick], counts[pick], *[m[pick] for m in more]))
     yield pa.RecordBatch.from_arrays([pa.array(numbers, pa.int32()), pa.array(blobs, pa.binary())], names=["shard", "blob"])
 
 
-def _counted(batches: Iterator[pa.RecordBatch], keys_of: Callable, shard_of: Callable, shards: int) -> Iterator[pa.RecordBatch]:
+def _counted(batches: Iterator[pa.RecordBatch], entries_of: Callable, shard_of: Callable, shards: int) -> Iterator[pa.RecordBatch]:
+    """``entries_of(data, offsets)`` gives keys and further columns that follow from the key."""
     entries, size = [], 0
     for batch in batches:
         data, offsets = utf8_buffers(batch.column(0))
-        for first, last in slices(offsets):
-            part = offsets[first : last + 1]
-            keys, counts = np.unique(keys_of(data[part[0] : part[-1]], part - part[0]), return_counts=True)
-            entries.append((keys, counts.astype(np.uint64)))
+        for a, b in slices(offsets):
+            part = offsets[a : b + 1]
+            keys, *more = entries_of(data[part[0] : part[-1]], part - part[0])
+            keys, first, counts = np.unique(keys, return_index=True, return_counts=True)
+            entries.append([keys, counts.astype(np.uint64), *[m[first] for m in more]])
             size += len(keys)
             if size > GATHER:
                 yield from _send(entries, shard_of, shards)
@@ -185,47 +201,97 @@ def _counted(batches: Iterator[pa.RecordBatch], keys_of: Callable, shard_of: Cal
         yield from _send(entries, shard_of, shards)
 
 
-class Words:
-    """The mapped word shards of a model."""
+class Level:
+    """The mapped shards of the words (level 1) or of the sequences of some tokens."""
+
+    def __init__(self, path: str, level: int, bases: list[int]):
+        self.path, self.level = f"{path}/{level}", level
+        self.bases, self.shards = np.array(bases, np.int64), len(bases) - 1
+        self.shard_of = _word_shard if level == 1 else _spread
+        self.mapped: dict[tuple[str, int], np.ndarray] = {}
+
+    @property
+    def size(self) -> int:
+        return int(self.bases[-1])
 
-    def __init__(self, path: str, bases: list[int]):
-        self.path, self.bases, self.shards = path, np.array(bases, np.int64), len(bases) - 1
-        self.hashes = [_map(f"{path}/words/{s}.hash", np.uint64) for s in range(self.shards)]
+    def held(self, name: str, shard: int, dtype) -> np.ndarray:
+        if (name, shard) not in self.mapped:
+            self.mapped[name, shard] = _map(f"{self.path}/{shard}.{name}", dtype)
+        return self.mapped[name, shard]
 
-    def numbers(self, hashes: np.ndarray) -> np.ndarray:
-        """Numbers of sorted hashes, -1 for unknown ones."""
-        edges = np.searchsorted(_word_shard(hashes, self.shards), np.arange(self.shards + 1))
-        out = np.full(len(hashes), -1, np.int64)
+    def numbers(self, keys: np.ndarray) -> np.ndarray:
+        """Numbers of distinct, sorted keys, -1 for unknown ones."""
+        shard = self.shard_of(keys, self.shards)
+        order = np.argsort(shard, kind="stable")
+        edges = np.searchsorted(shard[order], np.arange(self.shards + 1))
+        out = np.full(len(keys), -1, np.int64)
         for s in np.flatnonzero(np.diff(edges)).tolist():
-            held = self.hashes[s]
+            held = self.held("keys", s, np.uint64)
             if len(held):
-                ask = hashes[edges[s] : edges[s + 1]]
-                at = np.searchsorted(held, ask)
+                pick = order[edges[s] : edges[s + 1]]
+                at = np.searchsorted(held, keys[pick])
                 at[at == len(held)] = 0
-                out[edges[s] : edges[s + 1]] = np.where(held[at] == ask, self.bases[s] + at, -1)
+                out[pick] = np.where(held[at] == keys[pick], self.bases[s] + at, -1)
         return out
 
     def column(self, name: str, dtype, numbers: np.ndarray, width: int = 1) -> np.ndarray:
-        """Values of a word column for sorted numbers; zero for -1."""
-        out = np.zeros((len(numbers), width), dtype)
-        edges = np.searchsorted(numbers, self.bases)
+        """Values of a column for any numbers; zero for those outside."""
+        distinct, place = np.unique(numbers, return_inverse=True)
+        out = np.zeros((len(distinct), width), dtype)
+        edges = np.searchsorted(distinct, self.bases)
         for s in np.flatnonzero(np.diff(edges)).tolist():
-            held = _map(f"{self.path}/words/{s}.{name}", dtype).reshape(-1, width)
-            out[edges[s] : edges[s + 1]] = held[numbers[edges[s] : edges[s + 1]] - self.bases[s]]
+            held = self.held(name, s, dtype).reshape(-1, width)
+            out[edges[s] : edges[s + 1]] = held[distinct[edges[s] : edges[s + 1]] - self.bases[s]]
+        return out[place]
+
+    def values(self, numbers: np.ndarray) -> np.ndarray:
+        """The value of each number; zero for those outside."""
+        distinct, place = np.unique(numbers, return_inverse=True)
+        out = self.column("value", np.uint8, distinct)[:, 0].astype(np.int64)
+        over = np.flatnonzero(out == OVER)
+        for s in np.unique(np.searchsorted(self.bases, distinct[over], side="right") - 1).tolist():
+            pick = over[(distinct[over] >= self.bases[s]) & (distinct[over] < self.bases[s + 1])]
+            table = self.held("large", s, np.uint64).reshape(-1, 2)
+            out[pick] = table[np.searchsorted(table[:, 0], distinct[pick].astype(np.uint64)), 1]
+        return out[place]
+
+
+class Chain:
+    """Numbers of the tokens of texts and of the sequences that end with them."""
+
+    def __init__(self, path: str, bases: list[list[int]]):
+        self.levels = [Level(path, m + 1, b) for m, b in enumerate(bases)]
+        self.bits = max(1, self.levels[0].size.bit_length())
+
+    def __call__(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, list[np.ndarray], list[np.ndarray]]:
+        """Tokens per row; for each level the numbers (-1: unknown); and the contexts of level 2 on, one level more.
+
+        The context in front of a text is the number behind the last one of its level.
+        """
+        hashes, counts = token_hashes(data, offsets)
+        begin = np.cumsum(counts) - counts
+        distinct, place = np.unique(hashes, return_inverse=True)
+        numbers, contexts = [self.levels[0].numbers(distinct)[place]], []
+        for m, level in enumerate(self.levels):
+            if m:
+                numbers.append(self._look_up(level, contexts[-1], numbers[0]))
+            context = np.empty_like(numbers[-1])
+            context[1:] = numbers[-1][:-1]
+            context[begin] = level.size
+            contexts.append(context)
+        return counts, numbers, contexts
+
+    def keys(self, context: np.ndarray, word: np.ndarray) -> np.ndarray:
+        return context.astype(np.uint64) << np.uint64(self.bits) | word.astype(np.uint64)
+
+    def _look_up(self, level: Level, context: np.ndarray, word: np.ndarray) -> np.ndarray:
+        known = (context >= 0) & (word >= 0)
+        distinct, where = np.unique(self.keys(context[known], word[known]), return_inverse=True)
+        out = np.full(len(word), -1, np.int64)
+        out[known] = level.numbers(distinct)[where]
         return out
 
 
-def _pairs(words: Words, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Context and word numbers of all tokens (context V is the beginning), and tokens per row."""
-    hashes, counts = token_hashes(data, offsets)
-    distinct, place = np.unique(hashes, return_inverse=True)
-    number = words.numbers(distinct)[place]
-    context = np.empty_like(number)
-    context[1:] = number[:-1]
-    context[np.cumsum(counts) - counts] = words.bases[-1]
-    return context, number, counts
-
-
 def discounts(counts_of: np.ndarray) -> np.ndarray:
     """D for counts 0, 1, 2 and 3 or more, from the numbers of counts 1 to 4."""
     n = counts_of.astype(float)
@@ -243,108 +309,181 @@ def _shared_folder(df: DataFrame, name: str) -> str:
     return path
 
 
-def learn(docs: DataFrame, shards: int | None = None, text_col: str = "text") -> dict:
-    """Count the texts and write the model; returns its description (a few numbers per shard)."""
+#: Rows that shards send to the level below: what they know of its entries, and their own totals.
+_NOTES = "kind string, shard int, blob binary"
+
+
+def _class_counts(values: np.ndarray) -> np.ndarray:
+    """How many values are 1, 2, 3 and 4."""
+    return np.bincount(np.minimum(values, 5).astype(np.int64), minlength=6)[1:5]
+
+
+def _store_values(folder: str, shard: int, base: int, values: np.ndarray) -> None:
+    large = np.flatnonzero(values >= OVER)
+    _store(f"{folder}/{shard}.value", np.minimum(values, OVER).astype(np.uint8))
+    _store(f"{folder}/{shard}.large", np.stack([large.astype(np.uint64) + np.uint64(base), values[large].astype(np.uint64)], axis=1))
+
+
+def _notes_on_contexts(context: np.ndarray, values: np.ndarray, below: list[int]) -> list[tuple[str, int, bytes]]:
+    """For each context how many values 1, 2 and more follow, and their sum; ``context`` ascends."""
+    if not len(context):
+        return []
+    begin = np.flatnonzero(np.diff(context, prepend=np.uint64(1 << 63)))
+    classes = np.minimum(values, 3)
+    columns = [np.add.reduceat((classes == c).astype(np.uint64), begin) for c in (1, 2, 3)]
+    columns.append(np.add.reduceat(values.astype(np.uint64), begin))
+    return _notes("follow", context[begin], columns, below)
+
+
+def _notes(kind: str, numbers: np.ndarray, columns: list[np.ndarray], below: list[int]) -> list[tuple[str, int, bytes]]:
+    """Sorted numbers and columns for the shards of the level below; the beginning goes to the driver."""
+    cut = np.searchsorted(numbers, np.array(below, np.uint64))
+    rows = []
+    for s in np.flatnonzero(np.diff(cut)).tolist():
+        part = slice(cut[s], cut[s + 1])
+        rows.append((kind, s, _pack(numbers[part], *[c[part] for c in columns])))
+    if cut[-1] < len(numbers):
+        rows.append(("begin", 0, np.array([int(c[-1]) for c in columns], "<i8").tobytes()))
+    return rows
+
+
+def _note_table(rows: list[tuple[str, int, bytes]]) -> pa.Table:
+    kinds, targets, blobs = zip(*rows) if rows else ((), (), ())
+    return pa.table({"kind": pa.array(kinds, pa.string()), "shard": pa.array(targets, pa.int32()), "blob": pa.array(blobs, pa.binary())})
+
+
+def learn(docs: DataFrame, order: int = 3, shards: int | None = None, text_col: str = "text") -> dict:
+    """Count the texts and write the model; returns its description (a few numbers per shard and level)."""
+    if order < 2:
+        raise ValueError("order must be at least 2")
     spark = docs.sparkSession
-    shards = shards or int(spark.conf.get("spark.sql.shuffle.partitions"))
     path = _shared_folder(docs, "kneser-ney")
     texts = docs.select(F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-
-    def count_words(batches):
-        return _counted(batches, lambda d, o: token_hashes(d, o)[0], _word_shard, shards)
+    n_texts, size = texts.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
+    shards = shards or max(1, -(-size // SHARD_BYTES))
+    model = {"path": path, "order": order, "shards": shards, "texts": n_texts, "bases": [], "classes": {}, "begin": {}}
 
     def store_words(table: pa.Table) -> pa.Table:
         shard = table.column("shard")[0].as_py()
-        hashes, counts = _merge(table.column("blob").to_pylist()) or (np.zeros(0, np.uint64),) * 2
-        _store(f"{path}/words/{shard}.hash", hashes)
-        _store(f"{path}/words/{shard}.count", counts)
+        hashes, counts = _merge(table.column("blob").to_pylist())
+        _store(f"{path}/1/{shard}.keys", hashes)
+        _store(f"{path}/1/{shard}.count", counts)
         return pa.table({"shard": pa.array([shard], pa.int32()), "n": [len(hashes)], "total": [int(counts.sum())]})
 
-    sent = texts.mapInArrow(count_words, "shard int, blob binary")
+    def count_words(batches):
+        return _counted(batches, lambda d, o: (token_hashes(d, o)[0],), _word_shard, shards)
+
+    sent = texts.mapInArrow(count_words, "shard int, blob binary").repartition(shards, "shard")
     found = {r["shard"]: r for r in sent.groupBy("shard").applyInArrow(store_words, "shard int, n long, total long").collect()}
+    model["bases"].append(_bases(path, 1, found, shards, ("keys", "count")))
+    model["tokens"], model["words"] = sum(r["total"] for r in found.values()), model["bases"][0][-1]
+    bits = max(1, model["words"].bit_length())
+    notes = []
+    for level in range(2, order + 1):
+        if model["bases"][-1][-1] + 1 >= 1 << (64 - bits):
+            raise ValueError(f"{model['bases'][-1][-1]} sequences of {level - 1} tokens are too many for keys of 64 bits")
+        made = _count_level(texts, model, level, bits)
+        own = made.filter("kind = 'size'").collect()  # a row per shard
+        sizes = {r["shard"]: {"n": int.from_bytes(r["blob"], "little")} for r in own}
+        model["bases"].append(_bases(path, level, sizes, shards, ("keys", "value", "large") if level == order else ("keys",)))
+        notes.append(made)
+    for level in range(order - 1, 0, -1):
+        # What the level above told about its contexts, and what lies before the entries of this one.
+        above = notes[level - 1].filter("kind = 'left'")
+        follow = notes[level - 1] if level == order - 1 else finished
+        told = above.union(follow.filter("kind = 'follow'")) if level < order else above
+        _gather(model, level + 1, follow)
+        finished = _finish_level(told, model, level, bits)
+    _gather(model, 1, finished)
+    return model
+
+
+def _bases(path: str, level: int, found: dict, shards: int, files: tuple[str, ...]) -> list[int]:
+    """Number of the first entry of each shard; shards without entries get empty files."""
     for shard in set(range(shards)) - set(found):
-        for column in ("hash", "count"):
-            _store(f"{path}/words/{shard}.{column}", np.zeros(0, np.uint64))
-    sizes = [found[s]["n"] if s in found else 0 for s in range(shards)]
-    bases = np.concatenate([[0], np.cumsum(sizes)]).tolist()
-    model = {"path": path, "bases": bases, "shards": shards, "tokens": sum(r["total"] for r in found.values()), "words": bases[-1]}
-    if model["words"] + 1 >= 1 << 32:
-        raise ValueError("more than 2^32 different words")
+        for name in files:
+            _store(f"{path}/{level}/{shard}.{name}", np.zeros(0, np.uint8))
+    return np.concatenate([[0], np.cumsum([found[s]["n"] if s in found else 0 for s in range(shards)])]).tolist()
+
+
+def _gather(model: dict, level: int, notes: DataFrame) -> None:
+    """The numbers of values of a level and what follows the beginning; one short row per shard."""
+    rows = notes.filter("kind in ('classes', 'begin')").collect()
+    add = lambda kind, n: sum((np.frombuffer(r["blob"], "<i8") for r in rows if r["kind"] == kind), np.zeros(n, np.int64)).tolist()
+    model["classes"][level], model["begin"][level] = add("classes", 6), add("begin", 4)
+
 
-    def count_pairs(batches):
-        words = Words(path, bases)
+def _count_level(texts: DataFrame, model: dict, level: int, bits: int) -> DataFrame:
+    """Counts the sequences of ``level`` tokens, writes their keys and returns notes for the level below."""
+    path, shards, top = model["path"], model["shards"], level == model["order"]
+    bases = [list(b) for b in model["bases"]]
 
-        def keys(data, offsets):
-            context, number, _ = _pairs(words, data, offsets)
-            return context.astype(np.uint64) << np.uint64(32) | number.astype(np.uint64)
+    def count(batches):
+        chain = Chain(path, bases)
 
-        return _counted(batches, keys, _spread, shards)
+        def entries(data, offsets):
+            _, numbers, contexts = chain(data, offsets)
+            return chain.keys(contexts[-1], numbers[0]), numbers[-1].astype(np.uint64)
 
-    def store_pairs(table: pa.Table) -> pa.Table:
-        """Writes a shard of pairs; sends what it knows of contexts and words to the word shards."""
+        return _counted(batches, entries, _spread, shards)
+
+    def store(table: pa.Table) -> pa.Table:
         shard = table.column("shard")[0].as_py()
-        keys, counts = _merge(table.column("blob").to_pylist())
-        large = counts >= OVER
-        _store(f"{path}/pairs/{shard}.keys", keys)
-        _store(f"{path}/pairs/{shard}.counts", np.minimum(counts, OVER).astype(np.uint8))
-        _store(f"{path}/pairs/{shard}.large", np.stack([keys[large], counts[large]], axis=1))
-        context, word = keys >> np.uint64(32), keys & np.uint64(0xFFFFFFFF)
-        rows = [("counts", 0, np.bincount(np.minimum(counts, 5).astype(np.int64), minlength=6)[1:5].astype("<i8").tobytes())]
-        begin = np.flatnonzero(np.diff(context, prepend=np.uint64(1 << 63)))
-        classes = np.minimum(counts, 3)
-        per_context = [np.add.reduceat((classes == c).astype(np.uint64), begin) for c in (1, 2, 3)] if len(keys) else []
-        edges = np.array(bases, np.uint64)
-        for kind, numbers, columns in (
-            ("follow", context[begin], per_context), ("contexts", *_distinct(word)),
-        ):
-            cut = np.searchsorted(numbers, edges)
-            for s in np.flatnonzero(np.diff(cut)).tolist():
-                part = slice(cut[s], cut[s + 1])
-                rows.append((kind, s, _pack(numbers[part], *[c[part] for c in columns])))
-            if kind == "follow" and cut[-1] < len(numbers):  # the beginning
-                rows.append(("begin", 0, np.array([int(c[-1]) for c in columns], "<i8").tobytes()))
-        kinds, targets, blobs = zip(*rows)
-        return pa.table({"kind": pa.array(kinds), "shard": pa.array(targets, pa.int32()), "blob": pa.array(blobs, pa.binary())})
-
-    sent = texts.mapInArrow(count_pairs, "shard int, blob binary")
-    partial = written(sent.groupBy("shard").applyInArrow(store_pairs, "kind string, shard int, blob binary"), "kneser-ney-partial")
-    for shard in range(shards):
-        if not os.path.exists(f"{path}/pairs/{shard}.keys"):
-            for name in ("keys", "counts", "large"):
-                _store(f"{path}/pairs/{shard}.{name}", np.zeros(0, np.uint64))
-
-    def store_contexts(table: pa.Table) -> pa.Table:
+        keys, counts, suffix = _merge(table.column("blob").to_pylist(), kept=1)
+        _store(f"{path}/{level}/{shard}.keys", keys)
+        rows = [("size", shard, len(keys).to_bytes(8, "little"))]
+        # Each entry is one more token seen before its last level - 1 tokens.
+        found, times = np.unique(suffix, return_counts=True)
+        rows += _notes("left", found, [times.astype(np.uint64)], bases[-1])
+        if top:
+            # Numbers of the top level are not used; places within the shard tell large values.
+            _store_values(f"{path}/{level}", shard, 0, counts)
+            rows += _notes_on_contexts(keys >> np.uint64(bits), counts, bases[-1])
+            rows.append(("classes", 0, _totals(counts)))
+        return _note_table(rows)
+
+    sent = texts.mapInArrow(count, "shard int, blob binary").repartition(shards, "shard")
+    return written(sent.groupBy("shard").applyInArrow(store, _NOTES), f"kneser-ney-{level}")
+
+
+def _totals(values: np.ndarray) -> bytes:
+    """How many values are 1 to 4 and above 2, and their sum."""
+    return np.array([*_class_counts(values), int((values > 2).sum()), int(values.sum(dtype=np.uint64))], "<i8").tobytes()
+
+
+def _finish_level(told: DataFrame, model: dict, level: int, bits: int) -> DataFrame:
+    """Writes what is known of the entries of a level below the highest; returns notes for the level below."""
+    path, bases = model["path"], model["bases"][level - 1]
+    below = model["bases"][level - 2] if level > 1 else None
+    sizes = np.diff(bases).tolist()
+
+    def finish(table: pa.Table) -> pa.Table:
         shard = table.column("shard")[0].as_py()
-        size, base = sizes[shard], bases[shard]
-        follow, contexts = np.zeros((size, 3), np.uint32), np.zeros(size, np.uint32)
         kinds, blobs = table.column("kind").to_pylist(), table.column("blob").to_pylist()
-        for kind, target in (("follow", follow), ("contexts", contexts)):
+        left, follow, total = np.zeros(sizes[shard], np.uint64), np.zeros((sizes[shard], 3), np.uint32), np.zeros(sizes[shard], np.uint64)
+        for kind in ("left", "follow"):
             merged = _merge([b for k, b in zip(kinds, blobs) if k == kind])
             if merged:
-                at = merged[0].astype(np.int64) - base
-                target[at] = np.stack(merged[1:], axis=1) if target.ndim == 2 else merged[1]
-        _store(f"{path}/words/{shard}.follow", follow)
-        _store(f"{path}/words/{shard}.contexts", contexts)
-        found = np.bincount(np.minimum(contexts, 5).astype(np.int64), minlength=6)
-        return pa.table({"one": [int(found[1])], "two": [int(found[2])], "three": [int(found[3])], "four": [int(found[4])],
-                         "more": [int((contexts > 2).sum())], "total": [int(contexts.sum(dtype=np.int64))]})
-
-    finished = partial.filter("kind in ('follow', 'contexts')").groupBy("shard").applyInArrow(
-        store_contexts, "one long, two long, three long, four long, more long, total long"
-    )
-    sums = finished.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("one", "two", "three", "four", "more", "total")]).first()
-    model["contexts"] = list(sums)
-    # One row of four or three numbers per shard.
-    small = partial.filter("kind in ('counts', 'begin')").collect()
-    add = lambda kind, n: sum((np.frombuffer(r["blob"], "<i8") for r in small if r["kind"] == kind), np.zeros(n, np.int64)).tolist()
-    model["pair_counts"], model["begin"] = add("counts", 4), add("begin", 3)
-    model["begin_total"] = texts.count()
-    return model
-
-
-def _distinct(values: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
-    found, counts = np.unique(values, return_counts=True)
-    return found, [counts.astype(np.uint64)]
+                at = merged[0].astype(np.int64) - bases[shard]
+                if kind == "left":
+                    left[at] = merged[1]
+                else:
+                    follow[at], total[at] = np.stack(merged[1:4], axis=1), merged[4]
+        folder = f"{path}/{level}"
+        _store_values(folder, shard, bases[shard], left)
+        _store(f"{folder}/{shard}.follow", follow)
+        _store(f"{folder}/{shard}.total", total)
+        rows = [("classes", 0, _totals(left))]
+        if below is not None:
+            rows += _notes_on_contexts(_map(f"{folder}/{shard}.keys", np.uint64) >> np.uint64(bits), left, below)
+        return _note_table(rows)
+
+    done = told.repartition(model["shards"], "shard").groupBy("shard").applyInArrow(finish, _NOTES)
+    done = written(done, f"kneser-ney-finished-{level}")
+    for shard in np.flatnonzero(np.array(sizes) == 0).tolist():
+        for name in ("value", "large", "follow", "total"):
+            _store(f"{path}/{level}/{shard}.{name}", np.zeros(0, np.uint8))
+    return done
 
 
 class Scorer:
@@ -352,60 +491,60 @@ class Scorer:
 
     def __init__(self, model: dict):
         self.model = model
-        self.words = Words(model["path"], model["bases"])
-        self.pairs = [
-            tuple(_map(f"{model['path']}/pairs/{s}.{n}", t) for n, t in (("keys", np.uint64), ("counts", np.uint8), ("large", np.uint64)))
-            for s in range(model["shards"])
-        ]
-        self.d = discounts(np.array(model["pair_counts"]))
-        one, two, three, four, more, self.k_total = model["contexts"]
-        self.d_low = discounts(np.array([one, two, three, four]))
-        self.back = (self.d_low[1:] * [one, two, more]).sum() / self.k_total if self.k_total else 1.0
-
-    def pair_counts(self, keys: np.ndarray) -> np.ndarray:
-        """Counts of sorted, distinct pair keys."""
-        shard = _spread(keys, self.model["shards"])
+        self.chain = Chain(model["path"], model["bases"][: model["order"] - 1])
+        self.top = Level(model["path"], model["order"], model["bases"][-1])
+        self.d = {m: discounts(np.array(c[:4])) for m, c in model["classes"].items()}
+        one, two, _, _, more, self.k_total = model["classes"][1]
+        self.back = (self.d[1][1:] * [one, two, more]).sum() / self.k_total if self.k_total else 1.0
+
+    def top_values(self, context: np.ndarray, word: np.ndarray) -> np.ndarray:
+        """Counts of the longest sequences, zero where unknown."""
+        known = (context >= 0) & (word >= 0)
+        distinct, where = np.unique(self.chain.keys(context[known], word[known]), return_inverse=True)
+        shard = _spread(distinct, self.top.shards)
+        found = np.zeros(len(distinct), np.int64)
         order = np.argsort(shard, kind="stable")
-        edges = np.searchsorted(shard[order], np.arange(self.model["shards"] + 1))
-        out = np.zeros(len(keys), np.int64)
+        edges = np.searchsorted(shard[order], np.arange(self.top.shards + 1))
         for s in np.flatnonzero(np.diff(edges)).tolist():
-            held, counts, large = self.pairs[s]
-            if len(held):
-                pick = order[edges[s] : edges[s + 1]]
-                at = np.searchsorted(held, keys[pick])
-                at[at == len(held)] = 0
-                found = np.where(held[at] == keys[pick], counts[at], 0).astype(np.int64)
-                over = np.flatnonzero(found == OVER)
-                if len(over):
-                    table = large.reshape(-1, 2)
-                    found[over] = table[np.searchsorted(table[:, 0], keys[pick][over]), 1]
-                out[pick] = found
+            held = self.top.held("keys", s, np.uint64)
+            if not len(held):
+                continue
+            pick = order[edges[s] : edges[s + 1]]
+            at = np.searchsorted(held, distinct[pick])
+            at[at == len(held)] = 0
+            value = np.where(held[at] == distinct[pick], self.top.held("value", s, np.uint8)[at], 0).astype(np.int64)
+            over = np.flatnonzero(value == OVER)
+            if len(over):
+                table = self.top.held("large", s, np.uint64).reshape(-1, 2)
+                value[over] = table[np.searchsorted(table[:, 0], at[over].astype(np.uint64)), 1]
+            found[pick] = value
+        out = np.zeros(len(word), np.int64)
+        out[known] = found[where]
         return out
 
     def __call__(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
         """n_tokens, n_known, base_score and score of each row."""
-        context, number, counts = _pairs(self.words, data, offsets)
+        counts, numbers, contexts = self.chain(data, offsets)
         begin = np.cumsum(counts) - counts
-        total, vocabulary = self.model["tokens"], self.model["words"]
-        numbers, place = np.unique(number, return_inverse=True)
-        word_count = self.words.column("count", np.uint64, numbers)[:, 0].astype(float)
-        k = self.words.column("contexts", np.uint32, numbers)[:, 0].astype(np.int64)
-        low = self.back / (vocabulary + 1) + np.maximum(k - self.d_low[np.minimum(k, 3)], 0) / max(1, self.k_total)
+        total, vocabulary, order = self.model["tokens"], self.model["words"], self.model["order"]
+        words = self.chain.levels[0]
+        distinct, place = np.unique(numbers[0], return_inverse=True)
+        word_count = words.column("count", np.uint64, distinct)[:, 0].astype(float)
         base = np.log10((word_count + 1) / (total + vocabulary + 1))
-        known = (context >= 0) & (number >= 0)
-        keys = context[known].astype(np.uint64) << np.uint64(32) | number[known].astype(np.uint64)
-        distinct, where = np.unique(keys, return_inverse=True)
-        c = np.zeros(len(number), np.int64)
-        c[known] = self.pair_counts(distinct)[where]
-        contexts, used = np.unique(context, return_inverse=True)
-        inner = contexts.clip(max=vocabulary - 1) if vocabulary else np.full(len(contexts), -1)
-        follow = self.words.column("follow", np.uint32, inner, 3).astype(float)
-        size = self.words.column("count", np.uint64, inner)[:, 0].astype(float)
-        follow[contexts == vocabulary] = self.model["begin"]
-        size[contexts == vocabulary] = self.model["begin_total"]
-        given = np.where(size > 0, (follow * self.d[1:]).sum(1) / np.maximum(size, 1), 1.0)[used]
-        high = np.maximum(c - self.d[np.minimum(c, 3)], 0) / np.maximum(size[used], 1)
-        logs = np.log10(high + given * low[place])
+        k = words.values(distinct)
+        p = (self.back / (vocabulary + 1) + np.maximum(k - self.d[1][np.minimum(k, 3)], 0) / max(1, self.k_total))[place]
+        for m in range(2, order + 1):
+            level, context, d = self.chain.levels[m - 2], contexts[m - 2], self.d[m]
+            value = self.top_values(context, numbers[0]) if m == order else self.chain.levels[m - 1].values(numbers[m - 1])
+            asked, used = np.unique(context, return_inverse=True)
+            follow = level.column("follow", np.uint32, asked, 3).astype(float)
+            size = level.column("total", np.uint64, asked)[:, 0].astype(float)
+            front = asked == level.size
+            follow[front], size[front] = self.model["begin"][m][:3], self.model["begin"][m][3]
+            given = ((follow * d[1:]).sum(1) / np.maximum(size, 1))[used]
+            size = size[used]
+            p = np.where(size > 0, np.maximum(value - d[np.minimum(value, 3)], 0) / np.maximum(size, 1) + given * p, p)
+        logs = np.log10(p)
         seen = (word_count > 0)[place].astype(np.int64)
         return counts, np.add.reduceat(seen, begin), np.add.reduceat(base[place], begin), np.add.reduceat(logs, begin)
 

@@ -6,8 +6,10 @@ import zlib
 import numpy as np
 import pytest
 from odd_tables import ROWS, empty, odd
+from pyspark.sql import functions as F
 
-from stationlens.llm.kneser_ney import discounts, learn, score
+from stationlens.llm import kneser_ney
+from stationlens.llm.kneser_ney import learn, score
 from stationlens.llm.registry import QUERIES
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -18,52 +20,63 @@ def tokens(text):
     return WORD.findall((text or "").translate(LOWER)) + [None]
 
 
+def formula(values):
+    """Discounts for values 0, 1, 2, 3+ after Chen and Goodman, kept between 0 and the value."""
+    n1, n2, n3, n4 = (sum(v == i for v in values) for i in (1, 2, 3, 4))
+    y = n1 / (n1 + 2 * n2) if n1 else 0
+    d1 = 1 - 2 * y * n2 / n1 if n1 else 0
+    d2 = 2 - 3 * y * n3 / n2 if n2 else 0
+    d3 = 3 - 4 * y * n4 / n3 if n3 else 0
+    return [0, min(max(d1, 0), 1), min(max(d2, 0), 2), min(max(d3, 0), 3)]
+
+
 class Brute:
-    """The model with dictionaries."""
+    """The model with dictionaries of token tuples."""
 
-    def __init__(self, texts):
-        self.c, self.pair = collections.Counter(), collections.Counter()
+    def __init__(self, texts, order=3):
+        self.order = order
+        grams = [collections.Counter() for _ in range(order + 1)]
         for t in texts:
-            seq = tokens(t)
-            self.c.update(seq)
-            self.pair.update(zip(["<begin>", *seq], seq))
+            seq = ["<begin>"] * (order - 1) + tokens(t)
+            for m in range(1, order + 1):
+                grams[m].update(tuple(seq[i - m + 1 : i + 1]) for i in range(order - 1, len(seq)))
+        self.c = {w: n for (w,), n in grams[1].items()}
         self.n, self.v = sum(self.c.values()), len(self.c)
-        self.k = collections.Counter(w for _, w in self.pair)
-        self.follow = collections.defaultdict(lambda: [0, 0, 0])
-        self.size = collections.Counter()
-        for (u, _), n in self.pair.items():
-            self.follow[u][min(n, 3) - 1] += 1
-            self.size[u] += n
-        of = collections.Counter(self.pair.values())
-        self.d = discounts(np.array([of[i] for i in range(1, 5)]))
-        of = collections.Counter(self.k.values())
-        self.d_low = discounts(np.array([of[i] for i in range(1, 5)]))
-        self.kk = sum(self.k.values())
-        low = [sum(min(x, 3) == i for x in self.k.values()) for i in (1, 2, 3)]
-        self.back = sum(a * b for a, b in zip(low, self.d_low[1:])) / self.kk
-
-    def low(self, w):
-        k = self.k[w]
-        return max(k - self.d_low[min(k, 3)], 0) / self.kk + self.back / (self.v + 1)
-
-    def p(self, u, w):
-        if not self.size[u]:
-            return self.low(w)
-        c = self.pair[u, w]
-        given = sum(a * b for a, b in zip(self.follow[u], self.d[1:])) / self.size[u]
-        return max(c - self.d[min(c, 3)], 0) / self.size[u] + given * self.low(w)
+        # Below the highest order the number of different tokens in front counts.
+        self.value = [None] + [collections.Counter(g[1:] for g in grams[m + 1]) for m in range(1, order)] + [grams[order]]
+        self.d = [None] + [formula(list(v.values())) for v in self.value[1:]]
+        self.total, self.back = collections.Counter(), collections.Counter()
+        for m in range(1, order + 1):
+            for g, a in self.value[m].items():
+                self.total[g[:-1]] += a
+                self.back[g[:-1]] += self.d[m][min(a, 3)]
+
+    def p(self, context, w):
+        total = self.total[context]
+        if not context:
+            a = self.value[1][w,]
+            rest = self.back[()] / total if total else 1
+            return (max(a - self.d[1][min(a, 3)], 0) / total if total else 0) + rest / (self.v + 1)
+        if not total:
+            return self.p(context[1:], w)
+        m = len(context) + 1
+        a = self.value[m][(*context, w)]
+        return max(a - self.d[m][min(a, 3)], 0) / total + self.back[context] / total * self.p(context[1:], w)
 
     def row(self, text):
-        seq = tokens(text)
-        base = sum(math.log10((self.c[w] + 1) / (self.n + self.v + 1)) for w in seq)
-        logs = sum(math.log10(self.p(u, w)) for u, w in zip(["<begin>", *seq], seq))
-        return len(seq), sum(self.c[w] > 0 for w in seq), self.n, base, logs
+        front = self.order - 1
+        seq = ["<begin>"] * front + tokens(text)
+        base = sum(math.log10((self.c.get(w, 0) + 1) / (self.n + self.v + 1)) for w in seq[front:])
+        logs = sum(math.log10(self.p(tuple(seq[i - front : i]), seq[i])) for i in range(front, len(seq)))
+        return len(seq) - front, sum(w in self.c for w in seq[front:]), self.n, base, logs
 
 
-def test_probabilities_sum_to_one():
-    model = Brute([r[1] for r in ROWS] + ["a b a b a b c a c"] * 4)
-    for u in ["<begin>", "a", "b", "same", "never seen"]:
-        assert sum(model.p(u, w) for w in model.c) + model.p(u, "unknown") == pytest.approx(1)
+@pytest.mark.parametrize("order", [2, 3, 4])
+def test_probabilities_sum_to_one(order):
+    model = Brute([r[1] for r in ROWS] + ["a b a b a b c a c"] * 4, order)
+    for context in [["<begin>"] * 3, ["<begin>", "a", "b"], ["same"] * 3, ["c", "a", "c"], ["never", "seen", "a"]]:
+        context = tuple(context[4 - order :])
+        assert sum(model.p(context, w) for w in model.c) + model.p(context, "unknown") == pytest.approx(1)
 
 
 def close(got, want):
@@ -87,10 +100,12 @@ def test_whole_table(spark, sf_dir):
     assert logs > base
 
 
-def test_odd_rows(spark):
+@pytest.mark.parametrize("order", [2, 3, 4])
+def test_odd_rows(spark, order, monkeypatch):
+    monkeypatch.setattr(kneser_ney, "GATHER", 50)
     docs = odd(spark).selectExpr("*", "7 as n_tokens")
-    brute = Brute([r[1] for r in ROWS])
-    got = score(docs, learn(docs, shards=3)).collect()
+    brute = Brute([r[1] for r in ROWS], order)
+    got = score(docs, learn(docs, order, shards=3)).collect()
     key = lambda r: (r[0] is None, r[0] or 0, r[1])
     have = sorted([(r["doc_id"], r["n_tokens"], r["n_known"], r["train_tokens"], r["base_score"], r["score"]) for r in got], key=key)
     want = sorted([(r[0], *brute.row(r[1])) for r in ROWS], key=key)
@@ -99,6 +114,24 @@ def test_odd_rows(spark):
         close(h[1:], w[1:])
 
 
+def test_frequent_sequences_keep_their_counts(spark):
+    texts = ["a b c d"] * 700 + [f"x{i} b c e" for i in range(400)] + ["a b c f"] * 3
+    docs = spark.createDataFrame([(t,) for t in texts], "text string")
+    brute = Brute(texts)
+    model = learn(docs, shards=2)
+    probes = ["a b c d", "x1 b c d", "b c e", "q b c f", "a q c d", ""]
+    got = [r["score"] for r in score(spark.createDataFrame([(t,) for t in probes], "text string").coalesce(1), model).collect()]
+    assert got == pytest.approx([brute.row(t)[4] for t in probes], rel=1e-9)
+    assert max(brute.value[3].values()) > 255 and max(brute.value[2].values()) > 255
+
+
+def test_a_longer_context_helps(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    held = F.crc32(F.col("doc_id").cast("string")) % 7 == 2
+    logs = [score(docs.filter(held), learn(docs.filter(~held), order)).agg(F.sum("score")).first()[0] for order in (2, 3)]
+    assert logs[1] > logs[0]
+
+
 def test_empty(spark):
     model = learn(empty(spark), shards=2)
     assert score(empty(spark), model).collect() == []
