@@ -116,7 +116,7 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprints of all documents and the groups they form at three bits."""
     from stationlens.llm.simhash import near_duplicates
 
-    return near_duplicates(table(spark, sf_dir, "documents"), width=3, max_bits=3).drop("simhash")
+    return near_duplicates(table(spark, sf_dir, "documents"), width=3, max_bits=3).drop("simhash", "group_print")
 
 
 @query("op10_packing")

@@ -17,10 +17,10 @@ there up to the ball's radius differs in at most ``max_bits`` of the other bits,
 agrees exactly in one of ``max_bits + 1`` parts of those, and each part is a key of its
 own (spread over as many tasks as it has values).
 
-Null text has the fingerprint zero and is linked like any other. A row without id takes
-the component of its fingerprint; where no row of that fingerprint has an id, the
-component is null and links to it are not followed. Repeated ids and rows each give
-their own row.
+Null text has the fingerprint zero and is linked like any other. A component is a set of
+linked fingerprints; ``component_id`` is its smallest id, null where none of its rows has
+one. So rows of one id with unrelated texts stay in components of their own. Repeated ids
+and rows each give their own row.
 """
 
 from __future__ import annotations
@@ -225,23 +225,19 @@ def near_duplicates(
     text_col: str = "text",
     keep: tuple[str, ...] = (),
 ) -> DataFrame:
-    """One row per document: doc_id, simhash (signed long), fingerprint (hex), component_id and the columns ``keep``."""
+    """One row per document: doc_id, fingerprint (hex), component_id, the columns ``keep``, and as signed longs
+    simhash and group_print (the smallest fingerprint of the component)."""
     kept = [F.col(f"`{c}`") for c in keep if c not in (id_col, "doc_id")]
     text = F.col(f"`{text_col}`").cast("string").alias("_print_text")
     source = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), text, *kept)
     prints = written(with_fingerprint(source, width, "_print_text"), "simhash")
-    # Equal fingerprints are one node, named by their smallest document.
-    nodes = written(prints.groupBy(F.col("simhash").alias("fp")).agg(F.min("doc_id").alias("node")), "simhash-nodes")
+    # Equal fingerprints are one node; a component is known by its smallest fingerprint.
+    nodes = written(prints.groupBy(F.col("simhash").alias("fp")).agg(F.min("doc_id").alias("least")), "simhash-nodes")
     links = written(similar_prints(nodes.select("fp"), max_bits, segments, hot).distinct(), "simhash-links")
-    named = (
-        links.join(nodes.select(F.col("fp").alias("x"), F.col("node").alias("a")), "x")
-        .join(nodes.select(F.col("fp").alias("y"), F.col("node").alias("b")), "y")
-        .select("a", "b")
-    )
-    reached = components(named.filter("a is not null and b is not null"))
-    found = nodes.join(reached, "node", "left").select(
-        F.col("fp").alias("simhash"), F.coalesce("component", "node").alias("component_id")
-    )
-    return prints.join(found, "simhash").select(
-        "doc_id", *kept, F.lower(F.lpad(F.hex("simhash"), 16, "0")).alias("fingerprint"), "component_id", "simhash"
+    reached = components(links.withColumnsRenamed({"x": "a", "y": "b"})).withColumnRenamed("node", "fp")
+    found = nodes.join(reached, "fp", "left").withColumn("group_print", F.coalesce("component", "fp"))
+    least = found.groupBy("group_print").agg(F.min("least").alias("component_id"))
+    named = found.join(least, "group_print").select(F.col("fp").alias("simhash"), "group_print", "component_id")
+    return prints.join(named, "simhash").select(
+        "doc_id", *kept, F.lower(F.lpad(F.hex("simhash"), 16, "0")).alias("fingerprint"), "component_id", "simhash", "group_print"
     )
