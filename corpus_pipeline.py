@@ -38,17 +38,15 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each SimHash group stays: the one with the smallest id.
 
-    Of rows with that same id the first by text, language and source stays. Rows without
-    id stay if their group has no id at all, one for each fingerprint.
+    Of rows with that same id the first by text, language and source stays; a group
+    without any id keeps its first row by these.
     """
     found = simhash.near_duplicates(docs, width=3, max_bits=3, keep=COLUMNS)
-    named = found.filter("doc_id = component_id").select(*COLUMNS)
-    # Groups were reduced to at most the rows of one id; copies of an id are rare but may exist.
-    order = F.struct(F.xxhash64("text", "lang", "source", "n_chars"), "text", "lang", "source", "n_chars")
-    single = named.groupBy("doc_id").agg(F.min(order).alias("r")).select("doc_id", "r.text", "r.lang", "r.source", "r.n_chars")
-    nameless = found.filter("component_id is null").select("simhash", *COLUMNS)
-    rest = nameless.groupBy("simhash").agg(F.min(order).alias("r"))
-    return single.unionByName(rest.select(F.lit(None).cast("long").alias("doc_id"), "r.text", "r.lang", "r.source", "r.n_chars"))
+    # The rows of one id, of which there may be several copies.
+    named = found.filter(F.col("doc_id").eqNullSafe(F.col("component_id")))
+    rest = ("text", "lang", "source", "n_chars")
+    first = F.min(F.struct(F.xxhash64(*rest), *rest)).alias("r")
+    return named.groupBy("group_print", "doc_id").agg(first).select("doc_id", *[F.col(f"r.{c}") for c in rest])
 
 
 def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
