@@ -9,6 +9,7 @@ from test_suffix_dedup import brute
 import corpus_pipeline as cp
 from stationlens.llm import language_id, quality_rules
 from stationlens.llm.registry import QUERIES, _tokenizer
+from stationlens.session import written
 
 
 def rows_of(df):
@@ -27,9 +28,7 @@ def test_stages_against_brute_force(spark, sf_dir):
             t.encode_special_tokens = True
             check(out.collect(), [(d["doc_id"], t.encode(d["text"] or "", add_special_tokens=False).ids + [0]) for d in before])
             break
-        path = f"/tmp/stationlens-test-{name}-{spark.sparkContext.applicationId}"
-        out.write.parquet(path)
-        docs = spark.read.parquet(path)
+        docs = written(out, f"test-{name}")
         assert docs.columns == list(cp.COLUMNS)
         after = rows_of(docs)
         if name == "language":
@@ -72,3 +71,11 @@ def test_odd_rows_pass_every_stage(spark):
 @pytest.mark.parametrize("name, stage", cp.STAGES)
 def test_empty(spark, name, stage):
     assert stage(spark, empty(spark), "").collect() == []
+
+
+def test_unrelated_texts_of_one_id_stay(spark):
+    one, other = (" ".join(f"{w}{i}" for i in range(60)) for w in "ab")
+    rows = [(1, one), (1, other), (1, other), (2, one), (3, other), (None, one), (None, "nobody knows this one at all")]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    kept = sorted(((r["doc_id"], r["text"]) for r in cp.near_duplicates(spark, docs, "").collect()), key=str)
+    assert kept == sorted([(1, one), (1, other), (None, "nobody knows this one at all")], key=str)
