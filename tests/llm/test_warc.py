@@ -60,3 +60,53 @@ def test_odd_records(spark):
 
 def test_empty(spark):
     assert warc.derivatives(empty(spark).withColumnRenamed("text", "record")).collect() == []
+
+
+def response(body, kind="response", http="HTTP/1.1 200 OK\r\nContent-Type: text/html", behind="\r\n\r\n", length=None):
+    block = f"{http}\r\n\r\n{body}"
+    length = len(block.encode()) if length is None else length
+    return f"WARC/1.1\r\nWARC-Type: {kind}\r\nWARC-Record-ID: <urn:x>\r\nContent-Length: {length}\r\n\r\n{block}{behind}"
+
+
+def texts(spark, records):
+    rows = warc.derivatives(spark.createDataFrame(list(enumerate(records)), "n int, record string")).collect()
+    out = [None] * len(records)
+    for r in rows:
+        if r["warc_type"] == "conversion":
+            out[r["n"]] = r["record"].split("\r\n\r\n", 1)[1]
+    return rows, out
+
+
+def test_block_ends_where_its_header_says(spark):
+    records = [response("<p>über</p>"), response("<p>über</p>", behind=""), response("abc", behind="\r\n\r\nWARC/1.1\r\nnext"), response("abc", length=10**6), response("abc", length="many")]
+    rows, found = texts(spark, records)
+    assert found == ["über", "über", "abc", "abc", "abc"]
+    digests = {(r["n"], r["source_payload_digest"]) for r in rows}
+    want = lambda b: "sha256:" + hashlib.sha256(b.encode()).hexdigest()
+    assert digests == {(0, want("<p>über</p>")), (1, want("<p>über</p>")), (2, want("abc")), (3, want("abc\r\n\r\n")), (4, want("abc\r\n\r\n"))}
+
+
+def test_only_textual_responses_are_converted(spark):
+    html = "HTTP/1.1 200 OK\r\nContent-Type: "
+    records = [response("x", http=html + "image/png"), response("x", kind="request"), response("x", http=html + "text/plain; charset=utf-8"),
+               response("x", http="HTTP/1.1 200 OK"), response("x", http=html + "application/xhtml+xml"), response("x", kind="Response")]
+    rows, found = texts(spark, records)
+    assert found == [None, None, "x", "x", "x", "x"]
+    assert [sum(r["n"] == i for r in rows) for i in range(6)] == [1, 1, 2, 2, 2, 2]
+    assert all(("conversion: " in r["record"]) == (found[r["n"]] is not None) for r in rows if r["warc_type"] == "metadata")
+
+
+def test_entities(spark):
+    cases = [
+        ("a &mdash; b &#8212; c &#x2014; d &eacute;&Eacute;", "a — b — c — d éÉ"), ("&amp;mdash; &#38;lt; &AMP;#65;", "&mdash; &lt; &#65;"),
+        ("&lt;b&gt; &LT; &quot;&#39;&apos;", "<b> < \"''"), ("1&#160;2&nbsp;3", "1 2 3"), ("&#150;&#x80;&#129;", "–€\ufffd"), ("&#0;&#xD800;&#9999999;&#x1F600;", "\ufffd\ufffd\ufffd😀"),
+        ("AT&T; R&D &unknown; & &; &copy", "AT&T; R&D &unknown; & &; &copy"), ("&&eacute;&", "&é&"),
+    ]
+    _, found = texts(spark, [response(a) for a, _ in cases])
+    assert found == [b for _, b in cases]
+
+
+def test_columns_with_clashing_names_are_kept(spark):
+    df = spark.createDataFrame([(response("x"), "i", "d", "u", "t")], "record string, _id string, _date string, _uri string, _text string")
+    for r in warc.derivatives(df).collect():
+        assert (r["_id"], r["_date"], r["_uri"], r["_text"]) == ("i", "d", "u", "t") and r["refers_to"] == "<urn:x>"
