@@ -7,7 +7,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stationlens.llm import hard_negatives, odd_sketch, source_divergence, warc
+from stationlens.llm import hard_negatives, odd_sketch, source_divergence, suffix_dedup, warc
 from stationlens.llm.common import table
 from stationlens.session import new_path
 
@@ -101,6 +101,9 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(docs, length=50, with_text=False)
 
 
+ORACLES["op7_suffix_dedup"] = suffix_dedup.oracle()
+
+
 @query("op8_kneser_ney")
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Scores of all documents by a model of those not held out."""

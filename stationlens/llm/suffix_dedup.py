@@ -413,3 +413,29 @@ def remove_repeats(
         return pa.table([columns[n] for n in names], names=names)
 
     return texts.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(cut, schema)
+
+
+def oracle(length: int = 50) -> str:
+    """The query's rows in DuckDB, from all windows of all texts in hexadecimal."""
+    return f"""
+with docs as (
+  select row_number() over () as r, doc_id, coalesce(doc_id, 9223372036854775807) as id, hex(encode(coalesce(text, ''))) as h from documents),
+windows as (
+  select r, id, p, substr(h, 2 * p + 1, {2 * length}) as w
+  from (select r, id, h, unnest(range(len(h) // 2 - {length - 1})) as p from docs)),
+least as (select w, min(id) as least from windows group by w having count(*) > 1),
+starts as (
+  select r, p, p - lag(p, 1, -{2 * length}) over (partition by r order by p) > {length} as fresh
+  from windows join least using (w) where least < id),
+spans as (
+  select r, min(p) as a, max(p) + {length} as b
+  from (select r, p, sum(fresh::int) over (partition by r order by p) as span from starts) group by r, span),
+pieces as (
+  select r, a, b, substr(h, 2 * lag(b, 1, 0) over (partition by r order by a) + 1, 2 * (a - lag(b, 1, 0) over (partition by r order by a))) as before
+  from spans join docs using (r)),
+cut as (
+  select r, sum(b - a) as n_removed, count(*) as n_spans, string_agg(before, '' order by a) as kept, max(b) as last from pieces group by r)
+select doc_id, (len(h) // 2)::bigint as n_bytes, coalesce(n_removed, 0)::bigint as n_removed, coalesce(n_spans, 0)::bigint as n_spans,
+  sha256(unhex(coalesce(kept || substr(h, 2 * last + 1), h))) as kept_sha256
+from docs left join cut using (r)
+"""
