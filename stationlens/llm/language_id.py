@@ -7,7 +7,9 @@ over all bytes of the whole text, and its score is the largest one.
 
 Training is plain numpy: backpropagation through time over batches of windows, with Adam,
 on the driver. It learns from a bounded sample: ``sample_docs`` documents per label chosen
-by the hash of their id, ``sample_chars`` characters of each. Prediction runs in tasks over
+by the hash of their id, and of a text longer than ``sample_chars`` as many characters in
+pieces of ``PIECE``, which begin anywhere in the whole text, again by hash. The state of
+both layers starts anew in each window, whose length is a parameter. Prediction runs in tasks over
 all bytes of all documents; windows of many documents go through the layers together.
 
 Null texts and texts without a letter are ``und`` with score 0. Documents with null label
@@ -33,6 +35,8 @@ UNKNOWN = "und"
 PAD = 256
 #: Windows computed together.
 TOGETHER = 4096
+#: Characters of a piece of a sample text.
+PIECE = 128
 
 
 def init(labels: int, hidden: int, seed: int) -> dict[str, np.ndarray]:
@@ -200,8 +204,12 @@ def learn(
     **options,
 ) -> tuple[dict[str, np.ndarray], list[str]] | None:
     """Train on a bounded sample of the labelled rows of ``docs``."""
+    text = F.col(f"`{text_col}`").cast("string")
+    room = F.length(text) - PIECE + 1
+    start = lambda i: (F.pmod(F.xxhash64(F.col(f"`{id_col}`").cast("string"), F.lit(i)), room) + 1).cast("int")
+    pieces = F.concat_ws("\n", *[F.substring(text, start(i), F.lit(PIECE)) for i in range(max(1, sample_chars // PIECE))])
     known = docs.select(
-        F.substring(F.col(text_col).cast("string"), 1, sample_chars).alias("text"),
+        F.when(F.length(text) > sample_chars, pieces).otherwise(text).alias("text"),
         F.col(lang_col).cast("string").alias("lang"),
         F.xxhash64(F.col(id_col).cast("string")).alias("order"),
     ).filter("lang is not null and text is not null and text <> ''")

@@ -85,3 +85,14 @@ def test_nothing_to_learn_from(spark):
     assert li.learn(empty(spark)) is None
     assert {r["lang_pred"] for r in li.identify(odd(spark), None).collect()} == {"und"}
     assert li.identify(empty(spark), None).collect() == []
+
+
+def test_learns_from_behind_the_beginning_of_long_texts(spark):
+    rng = np.random.default_rng(8)
+    words = {"aa": ["kolibri", "pampelmuse", "dorf"], "bb": ["thwyx", "quezzal", "ybbsch"]}
+    text = lambda lang, n: " ".join(rng.choice(words[lang], n))
+    rows = [(i, "0 1 2 3 " * 200 + text(lang, 600), lang) for i in range(60) for lang in words]
+    model = li.learn(spark.createDataFrame(rows, "doc_id long, text string, lang string"), sample_docs=60)
+    asked = [(i, text(lang, 30), lang) for i in range(10) for lang in words]
+    got = li.identify(spark.createDataFrame(asked, "doc_id long, text string, lang string"), model).collect()
+    assert all(r["lang_pred"] == r["lang"] for r in got)
