@@ -35,9 +35,43 @@ def same(a, b) -> bool:
     return type(a) is type(b) and a == b
 
 
+#: Longer results are compared as sets of rows inside DuckDB.
+MANY = 200_000
+
+
+def _kind(arrow_type) -> str:
+    """What Python would make of a value of that type."""
+    text = str(arrow_type)
+    for kind, starts in (("int", ("int", "uint")), ("float", ("float", "double")), ("str", ("string", "large_string"))):
+        if text.startswith(starts):
+            return kind
+    return text
+
+
+def _set_differences(df, con) -> tuple[int, list[str]]:
+    """The same for long results, row by row and with repetitions."""
+    actual, expected = df.toArrow(), con.execute("SELECT * FROM expected_rows LIMIT 1").to_arrow_table()
+    names = sorted(actual.column_names)
+    if names != sorted(expected.column_names):
+        return 0, [f"columns {names} against {sorted(expected.column_names)}"]
+    kinds = [[_kind(t.schema.field(n).type) for n in names] for t in (actual, expected)]
+    problems = [f"types {kinds[0]} against {kinds[1]}"] if kinds[0] != kinds[1] else []
+    con.register("actual_rows", actual)
+    columns = ", ".join(names)
+    for a, b in (("actual_rows", "expected_rows"), ("expected_rows", "actual_rows")):
+        rows = con.execute(f"SELECT {columns} FROM {a} EXCEPT ALL SELECT {columns} FROM {b}").fetchmany(2)
+        if rows:
+            problems.append(f"in {a} only, first {rows} ({names})")
+    con.unregister("actual_rows")
+    return actual.num_rows, problems
+
+
 def differences(df, con, sql: str) -> tuple[int, list[str]]:
     """Number of rows and what differs (names, row count, first unequal rows)."""
-    result = con.execute(sql)
+    con.execute(f"CREATE OR REPLACE TEMP TABLE expected_rows AS {sql}")
+    if con.execute("SELECT count(*) FROM expected_rows").fetchone()[0] > MANY:
+        return _set_differences(df, con)
+    result = con.execute("SELECT * FROM expected_rows")
     names = [d[0] for d in result.description]
     expected = sorted_rows(names, result.fetchall())
     if sorted(names) != sorted(df.columns):

@@ -65,3 +65,16 @@ def test_written_tables_live_in_the_shared_folder(spark):
     assert df.count() == 3
     path = df.inputFiles()[0]
     assert session.shared_dir(spark).removeprefix("file:") in path and spark.sparkContext.applicationId in path
+
+
+def test_broadcast_is_bounded_in_bytes(spark, monkeypatch):
+    from stationlens.operators import skew
+
+    wide = spark.sql("select 1L as k, array('a') as names, named_struct('x', 1d, 'y', 'b') as s")
+    assert skew.row_bytes(wide.schema) == 8 + 16 * 64 + 72
+    assert skew.fits_broadcast(wide, 100_000) and not skew.fits_broadcast(wide, 200_000)
+    assert not skew.fits_broadcast(wide.select("k"), 600_000)
+    big = spark.range(1000).selectExpr("id % 2 as k", "id")
+    monkeypatch.setattr(skew, "BROADCAST_BYTES", 10)
+    joined = skew.lookup_join(big, wide, 1, ["k"], ["id"])
+    assert joined.count() == 500 and "BroadcastHint" not in joined._jdf.queryExecution().logical().toString()
