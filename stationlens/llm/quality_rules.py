@@ -11,8 +11,9 @@ How the estimate is made:
 * The statistics are transformed to be roughly symmetric and rounded to units of
   1/1024, so all sums are sums of whole numbers and do not depend on their order.
 * Two deterministic starts: a median-and-quartile box, and all rows of the group.
-  From each, ``steps`` concentration steps: distances, then mean and scatter of the
-  ``subset`` share of rows nearest to the centre. The start with the smaller
+  From each, concentration steps: distances, then mean and scatter of the ``subset``
+  share of rows nearest to the centre, until no determinant changes (sums are exact, so
+  an equal subset gives an equal one), or ``steps`` of them. The start with the smaller
   determinant is taken, then one reweighting step at the 0.975 quantile.
 * A step is one pass: rows are summed per (group, distance bin) before the shuffle, and
   the wanted share is read off the bins, so a group with a third of all rows is a few
@@ -192,7 +193,11 @@ def _estimate(bins: DataFrame, keys: list[str], inside: Column) -> DataFrame:
     return _factor(params)
 
 
-def estimates(rows: DataFrame, n_groups: int, subset: float = 0.75, steps: int = 4) -> DataFrame:
+#: Steps after which a group that goes round between subsets is left as it is.
+STEPS = 30
+
+
+def estimates(rows: DataFrame, n_groups: int, subset: float = 0.75, steps: int = STEPS) -> DataFrame:
     """Robust location and scatter of each group of ``rows`` (columns KEYS and STATS), with their ``scale``.
 
     ``scale`` is the median squared distance over its value for normal data.
@@ -208,10 +213,16 @@ def estimates(rows: DataFrame, n_groups: int, subset: float = 0.75, steps: int =
     everything = _estimate(
         rows.withColumn("_q_d2", F.lit(1.0)).transform(lambda r: _bins(r, list(KEYS))), list(KEYS), F.lit(True)
     ).withColumn("start", F.lit(1))
-    params = written(box.unionByName(everything.select(box.columns)), "mcd-start")
+    params = written(box.unionByName(everything.select(box.columns)).withColumn("logdet", F.lit(None).cast("double")), "mcd-start")
     for _ in range(steps):
         bins = _bins(_with_distance(rows, params, 2 * n_groups), keys)
-        params = written(_estimate(bins, keys, F.col("upto") - F.col("n") < F.ceil(F.col("total") * subset)), "mcd-step")
+        before = params.select(*keys, F.col("logdet").alias("before"))
+        step = _estimate(bins, keys, F.col("upto") - F.col("n") < F.ceil(F.col("total") * subset))
+        params = written(step.join(before, keys), "mcd-step")
+        moving = params.filter("before is null or before <> logdet")
+        params = params.drop("before")
+        if moving.isEmpty():
+            break
     best = params.groupBy(*KEYS).agg(F.min(F.struct("logdet", "start", *[c for c in params.columns if c not in (*keys, "logdet")])).alias("b"))
     params = written(best.select(*KEYS, "b.*"), "mcd-best")
     for name in ("mcd-reweighted", "mcd-scaled"):
@@ -229,7 +240,7 @@ def verdicts(
     counted: DataFrame,
     limit: float = LIMIT,
     subset: float = 0.75,
-    steps: int = 4,
+    steps: int = STEPS,
     min_group: int = 200,
     lang_col: str = "lang",
     source_col: str = "source",

@@ -44,9 +44,13 @@ def brute_mcd(x, subset, steps):
     fits = [(q[1], np.diag((q[2] - q[0]) / 1.349 + qr.RIDGE)), estimate(x)]
     found = []
     for p in fits:
+        chosen = None
         for _ in range(steps):
             b = bins(distances(p))
-            p = estimate(x[b <= np.sort(b)[int(np.ceil(len(x) * subset)) - 1]])
+            near = b <= np.sort(b)[int(np.ceil(len(x) * subset)) - 1]
+            if chosen is not None and (near == chosen).all():
+                break
+            chosen, p = near, estimate(x[near])
         found.append(p)
     p = min(found, key=lambda f: np.log(np.diag(f[1])).sum())
 
@@ -59,7 +63,7 @@ def brute_mcd(x, subset, steps):
     return lambda rows: distances(p, rows), scale(distances(p))
 
 
-def brute_distances(rows, subset=0.75, steps=4, min_group=200):
+def brute_distances(rows, subset=0.75, steps=30, min_group=200):
     """rows: (key, counts); None where the base rule fails.
 
     A document is judged by the first of these that has ``min_group`` rows: its source in its
