@@ -44,6 +44,7 @@ from pyspark.sql import functions as F
 from stationlens.llm.common import utf8_buffers
 from stationlens.llm.components import components
 from stationlens.llm.simhash import shingle_hashes
+from stationlens.operators.skew import BROADCAST_ROWS
 from stationlens.session import written
 
 SAMPLES = 192
@@ -315,8 +316,10 @@ def similar_sets(sets: DataFrame, nodes: DataFrame, percent: int, block_rows: in
     ``sets`` holds the rows ``uid, n, s0..s3, shingles`` the nodes are taken from.
     """
     groups = components(written(candidate_links(nodes, percent, hot), "sketch-candidates"))
-    held = sets.select("uid", "n", "s0", "s1", "s2", "s3", "shingles").join(groups.withColumnRenamed("node", "uid"), "uid")
-    held = written(held.withColumnRenamed("component", "grp"), "sketch-groups")
+    groups = written(groups.select(F.col("node").alias("uid"), F.col("component").alias("grp")), "sketch-members")
+    # Two numbers a row: counted, and broadcast up to the bound, so that the sets stay where they are.
+    members = F.broadcast(groups) if groups.count() <= BROADCAST_ROWS else groups
+    held = written(sets.select("uid", "n", "s0", "s1", "s2", "s3", "shingles").join(members, "uid"), "sketch-groups")
     sizes = held.groupBy("grp").agg(F.count("*").alias("rows"), F.sum("n").alias("shingles_held"))
     blocks = F.ceil(F.greatest(F.col("rows") / block_rows, F.col("shingles_held") * 8 / block_bytes)).cast("int")
     large = written(sizes.withColumn("blocks", blocks).filter("blocks > 1").select("grp", "blocks"), "sketch-large-groups")
