@@ -52,7 +52,7 @@ SKETCH_BITS = 256
 BANDS, BAND_ROWS = 24, 3
 #: Shingles hashed at once, and the bounds of a block: sets, and bytes of their shingles.
 _AT_ONCE = 1 << 15
-BLOCK_ROWS = 1024
+BLOCK_ROWS = 4096
 BLOCK_BYTES = 8 << 20
 #: Sets of one band value compared within a task; a larger value makes one group as it is.
 HOT = 4096
@@ -235,11 +235,39 @@ def candidate_links(nodes: DataFrame, percent: int, hot: int = HOT) -> DataFrame
         if links:
             yield _link_batch(links)
 
+    if crowded.isEmpty():
+        return rows.repartition("band").sortWithinPartitions("band").mapInArrow(task, "a long, b long")
     # At most (bands * sets / hot) values are crowded, and they are few columns wide.
     marked = rows.join(crowded, "band", "left")
     calm = marked.filter("least is null").drop("size", "least").repartition("band").sortWithinPartitions("band")
     stars = marked.filter("least is not null and least <> uid").selectExpr("least as a", "uid as b")
-    return calm.mapInArrow(task, "a long, b long").union(stars).distinct()
+    return calm.mapInArrow(task, "a long, b long").union(stars)
+
+
+def contracted(links: DataFrame) -> DataFrame:
+    """Links that connect the same nodes, each node of a partition linked to the smallest one it reaches there."""
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [(b.column(0).to_numpy(), b.column(1).to_numpy()) for b in batches if b.num_rows]
+        if not held:
+            return
+        a, b = (np.concatenate(c) for c in zip(*held))
+        nodes, place = np.unique(np.concatenate([a, b]), return_inverse=True)
+        a, b = place[: len(a)], place[len(a) :]
+        root = np.arange(len(nodes))
+        while True:
+            x, y = root[a], root[b]
+            apart = x != y
+            if not apart.any():
+                break
+            a, b, x, y = a[apart], b[apart], x[apart], y[apart]
+            np.minimum.at(root, np.maximum(x, y), np.minimum(x, y))
+            while (root != root[root]).any():
+                root = root[root]
+        linked = np.flatnonzero(root != np.arange(len(nodes)))
+        yield _link_batch(list(zip(nodes[root[linked]].tolist(), nodes[linked].tolist())))
+
+    return links.mapInArrow(task, "a long, b long")
 
 
 class _Unit:
@@ -315,7 +343,7 @@ def similar_sets(sets: DataFrame, nodes: DataFrame, percent: int, block_rows: in
 
     ``sets`` holds the rows ``uid, n, s0..s3, shingles`` the nodes are taken from.
     """
-    groups = components(written(candidate_links(nodes, percent, hot), "sketch-candidates"))
+    groups = components(contracted(written(candidate_links(nodes, percent, hot), "sketch-candidates")))
     groups = written(groups.select(F.col("node").alias("uid"), F.col("component").alias("grp")), "sketch-members")
     # Two numbers a row: counted, and broadcast up to the bound, so that the sets stay where they are.
     members = F.broadcast(groups) if groups.count() <= BROADCAST_ROWS else groups
@@ -332,12 +360,12 @@ def similar_sets(sets: DataFrame, nodes: DataFrame, percent: int, block_rows: in
     if not large.isEmpty():
         more = _second_pass(held.join(large, "grp"), links, percent, block_rows, block_bytes, own)
         links = links.union(written(more, "sketch-more-links"))
-    return components(links)
+    return components(contracted(links))
 
 
 def _second_pass(held: DataFrame, links: DataFrame, percent: int, block_rows: int, block_bytes: int, own) -> DataFrame:
     """Links of the sets outside the largest class of their (large) group with all others of the group."""
-    reached = components(links).select(F.col("node").alias("uid"), F.col("component").alias("label"))
+    reached = components(contracted(links)).select(F.col("node").alias("uid"), F.col("component").alias("label"))
     named = held.join(reached, "uid", "left").withColumn("label", F.coalesce("label", "uid")).withColumn("block", own)
     named = written(named, "sketch-labelled")
     classes = named.groupBy("grp", "label").agg(F.count("*").alias("rows"))

@@ -110,3 +110,15 @@ def test_samples_of_long_sets_in_parts():
 def test_query(spark, duck):
     n, problems = differences(QUERIES["op12_odd_sketch"](spark, "/root/testdata/sf0.01"), duck, ORACLES["op12_odd_sketch"])
     assert not problems and n == 1000
+
+
+def test_contracted_links_connect_the_same_nodes(spark):
+    from stationlens.llm.components import components
+
+    rng = np.random.default_rng(5)
+    edges = [(int(a), int(b)) for a, b in rng.integers(0, 400, (300, 2))] + [(i, i + 1) for i in range(1000, 1200)]
+    links = spark.createDataFrame(edges, "a long, b long").repartition(3)
+    fewer = sk.contracted(links)
+    assert fewer.count() <= links.count()
+    got, want = ({r["node"]: r["component"] for r in components(d).collect()} for d in (fewer, links))
+    assert got == want
