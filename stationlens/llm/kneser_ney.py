@@ -15,7 +15,8 @@ everything has a probability.
 
 Sequences are chained numbers: that of m tokens is known by the number of its first m - 1
 tokens and that of its last word, and has a number itself, its place among all shards. So
-a level needs one pass over the texts, which looks up the levels below.
+a level needs one pass over the texts, which looks up the levels below. What a sequence
+ends with, one token less, is found in its shard by the same numbers.
 
 The model is a folder in the shared directory, made of flat arrays in shards:
 
@@ -23,7 +24,7 @@ The model is a folder in the shared directory, made of flat arrays in shards:
 * level m – sorted keys (number of the context, number of the word),
 * for each entry its value a, up to 254 in a byte, larger ones in a short second array,
 * and below the highest level for each entry as context how many entries with values 1, 2
-  and more follow it, and the sum of their values.
+  and more follow it, and the sum of their values, again in bytes where they fit.
 
 Tasks count in their own memory and send sorted, compressed arrays with one entry per
 word or sequence to the shards, so a frequent word is one entry per task and no group grows
@@ -59,7 +60,7 @@ _PRIME = 0x9E3779B97F4A7C15
 #: Hash of the end token; words have other hashes but for chance.
 END = np.uint64(0xD1B54A32D192ED03)
 #: Entries a task gathers before it sends them.
-GATHER = 2_000_000
+GATHER = 3_000_000
 #: Bytes of text for each shard of a level.
 SHARD_BYTES = 16 << 20
 OVER = 255
@@ -120,20 +121,16 @@ def _unpack(blob: bytes) -> list[np.ndarray]:
     return [np.cumsum(columns[0], dtype=np.uint64), *columns[1:]]
 
 
-def _merge(blobs: list[bytes], kept: int = 0) -> list[np.ndarray]:
-    """Entries of all blobs by ascending key, the columns of equal keys added up; the last ``kept`` columns are equal."""
+def _merge(blobs: list[bytes]) -> list[np.ndarray]:
+    """Entries of all blobs by ascending key, the columns of equal keys added up."""
     parts = [p for b in blobs if (p := _unpack(b))]
     if not parts:
         return []
-    keys, first, place = np.unique(np.concatenate([p[0] for p in parts]), return_index=True, return_inverse=True)
+    keys, place = np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True)
     out = [keys]
     for column in range(1, len(parts[0])):
-        values = np.concatenate([p[column] for p in parts])
-        if column >= len(parts[0]) - kept:
-            out.append(values[first])
-            continue
         total = np.zeros(len(keys), np.uint64)
-        np.add.at(total, place, values)
+        np.add.at(total, place, np.concatenate([p[column] for p in parts]))
         out.append(total)
     return out
 
@@ -166,12 +163,11 @@ def _map(path: str, dtype) -> np.ndarray:
     return np.memmap(path, dtype, "r")
 
 
-def _send(entries: list[list[np.ndarray]], shard_of: Callable, shards: int) -> Iterator[pa.RecordBatch]:
-    """One row (shard, blob) per shard for entries (keys, counts, further columns) gathered so far."""
-    keys, first, place = np.unique(np.concatenate([e[0] for e in entries]), return_index=True, return_inverse=True)
+def _send(entries: list[tuple[np.ndarray, np.ndarray]], shard_of: Callable, shards: int) -> Iterator[pa.RecordBatch]:
+    """One row (shard, blob) per shard for entries (keys, counts) gathered so far."""
+    keys, place = np.unique(np.concatenate([k for k, _ in entries]), return_inverse=True)
     counts = np.zeros(len(keys), np.uint64)
-    np.add.at(counts, place, np.concatenate([e[1] for e in entries]))
-    more = [np.concatenate([e[i] for e in entries])[first] for i in range(2, len(entries[0]))]
+    np.add.at(counts, place, np.concatenate([c for _, c in entries]))
     shard = shard_of(keys, shards)
     order = np.argsort(shard, kind="stable")
     edges = np.searchsorted(shard[order], np.arange(shards + 1))
@@ -179,20 +175,18 @@ def _send(entries: list[list[np.ndarray]], shard_of: Callable, shards: int) -> I
     for s in np.flatnonzero(np.diff(edges)).tolist():
         pick = order[edges[s] : edges[s + 1]]
         numbers.append(s)
-        blobs.append(_pack(keys[pick], counts[pick], *[m[pick] for m in more]))
+        blobs.append(_pack(keys[pick], counts[pick]))
     yield pa.RecordBatch.from_arrays([pa.array(numbers, pa.int32()), pa.array(blobs, pa.binary())], names=["shard", "blob"])
 
 
-def _counted(batches: Iterator[pa.RecordBatch], entries_of: Callable, shard_of: Callable, shards: int) -> Iterator[pa.RecordBatch]:
-    """``entries_of(data, offsets)`` gives keys and further columns that follow from the key."""
+def _counted(batches: Iterator[pa.RecordBatch], keys_of: Callable, shard_of: Callable, shards: int) -> Iterator[pa.RecordBatch]:
     entries, size = [], 0
     for batch in batches:
         data, offsets = utf8_buffers(batch.column(0))
         for a, b in slices(offsets):
             part = offsets[a : b + 1]
-            keys, *more = entries_of(data[part[0] : part[-1]], part - part[0])
-            keys, first, counts = np.unique(keys, return_index=True, return_counts=True)
-            entries.append([keys, counts.astype(np.uint64), *[m[first] for m in more]])
+            keys, counts = np.unique(keys_of(data[part[0] : part[-1]], part - part[0]), return_counts=True)
+            entries.append((keys, counts.astype(np.uint64)))
             size += len(keys)
             if size > GATHER:
                 yield from _send(entries, shard_of, shards)
@@ -249,12 +243,27 @@ class Level:
         distinct, place = np.unique(numbers, return_inverse=True)
         out = self.column("value", np.uint8, distinct)[:, 0].astype(np.int64)
         over = np.flatnonzero(out == OVER)
-        for s in np.unique(np.searchsorted(self.bases, distinct[over], side="right") - 1).tolist():
-            pick = over[(distinct[over] >= self.bases[s]) & (distinct[over] < self.bases[s + 1])]
-            table = self.held("large", s, np.uint64).reshape(-1, 2)
-            out[pick] = table[np.searchsorted(table[:, 0], distinct[pick].astype(np.uint64)), 1]
+        for pick, rows in self._large("large", distinct, over, 2):
+            out[pick] = rows[:, 0]
         return out[place]
 
+    def following(self, numbers: np.ndarray) -> np.ndarray:
+        """How many values 1, 2 and more follow each number as context, and their sum; zero for those outside."""
+        distinct, place = np.unique(numbers, return_inverse=True)
+        out = self.column("follow", np.uint8, distinct, 4).astype(np.int64)
+        over = np.flatnonzero((out == OVER).any(axis=1))
+        for pick, rows in self._large("more", distinct, over, 5):
+            out[pick] = rows
+        return out[place]
+
+    def _large(self, name: str, numbers: np.ndarray, over: np.ndarray, width: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """The rows of a short array for the sorted ``numbers`` at ``over``, shard by shard."""
+        shard = np.searchsorted(self.bases, numbers[over], side="right") - 1
+        for s in np.unique(shard).tolist():
+            pick = over[shard == s]
+            table = self.held(name, s, np.uint64).reshape(-1, width)
+            yield pick, table[np.searchsorted(table[:, 0], numbers[pick].astype(np.uint64)), 1:]
+
 
 class Chain:
     """Numbers of the tokens of texts and of the sequences that end with them."""
@@ -284,6 +293,20 @@ class Chain:
     def keys(self, context: np.ndarray, word: np.ndarray) -> np.ndarray:
         return context.astype(np.uint64) << np.uint64(self.bits) | word.astype(np.uint64)
 
+    def suffixes(self, context: np.ndarray, word: np.ndarray) -> np.ndarray:
+        """Numbers, at the highest level held, of what the sequences (context, word) of the next level end with."""
+        if len(self.levels) == 1:
+            return word
+        below = self.levels[-1]
+        distinct, place = np.unique(context, return_inverse=True)
+        if len(self.levels) == 2:
+            shorter = below.column("keys", np.uint64, distinct)[:, 0] & np.uint64((1 << self.bits) - 1)
+        else:
+            shorter = below.column("suffix", np.uint64, distinct)[:, 0]
+        shorter = shorter.astype(np.int64)
+        shorter[distinct == below.size] = self.levels[-2].size  # in front of a text
+        return self._look_up(below, shorter[place], word)
+
     def _look_up(self, level: Level, context: np.ndarray, word: np.ndarray) -> np.ndarray:
         known = (context >= 0) & (word >= 0)
         distinct, where = np.unique(self.keys(context[known], word[known]), return_inverse=True)
@@ -324,6 +347,12 @@ def _store_values(folder: str, shard: int, base: int, values: np.ndarray) -> Non
     _store(f"{folder}/{shard}.large", np.stack([large.astype(np.uint64) + np.uint64(base), values[large].astype(np.uint64)], axis=1))
 
 
+def _store_following(folder: str, shard: int, base: int, following: np.ndarray) -> None:
+    large = np.flatnonzero((following >= OVER).any(axis=1))
+    _store(f"{folder}/{shard}.follow", np.minimum(following, OVER).astype(np.uint8))
+    _store(f"{folder}/{shard}.more", np.column_stack([large.astype(np.uint64) + np.uint64(base), following[large]]))
+
+
 def _notes_on_contexts(context: np.ndarray, values: np.ndarray, below: list[int]) -> list[tuple[str, int, bytes]]:
     """For each context how many values 1, 2 and more follow, and their sum; ``context`` ascends."""
     if not len(context):
@@ -385,7 +414,7 @@ def learn(docs: DataFrame, order: int = 3, shards: int | None = None, text_col:
         made = _count_level(texts, model, level, bits)
         own = made.filter("kind = 'size'").collect()  # a row per shard
         sizes = {r["shard"]: {"n": int.from_bytes(r["blob"], "little")} for r in own}
-        model["bases"].append(_bases(path, level, sizes, shards, ("keys", "value", "large") if level == order else ("keys",)))
+        model["bases"].append(_bases(path, level, sizes, shards, ("keys", "value", "large") if level == order else ("keys", "suffix")))
         notes.append(made)
     for level in range(order - 1, 0, -1):
         # What the level above told about its contexts, and what lies before the entries of this one.
@@ -421,18 +450,22 @@ def _count_level(texts: DataFrame, model: dict, level: int, bits: int) -> DataFr
     def count(batches):
         chain = Chain(path, bases)
 
-        def entries(data, offsets):
+        def keys(data, offsets):
             _, numbers, contexts = chain(data, offsets)
-            return chain.keys(contexts[-1], numbers[0]), numbers[-1].astype(np.uint64)
+            return chain.keys(contexts[-1], numbers[0])
 
-        return _counted(batches, entries, _spread, shards)
+        return _counted(batches, keys, _spread, shards)
 
     def store(table: pa.Table) -> pa.Table:
         shard = table.column("shard")[0].as_py()
-        keys, counts, suffix = _merge(table.column("blob").to_pylist(), kept=1)
+        keys, counts = _merge(table.column("blob").to_pylist())
         _store(f"{path}/{level}/{shard}.keys", keys)
         rows = [("size", shard, len(keys).to_bytes(8, "little"))]
         # Each entry is one more token seen before its last level - 1 tokens.
+        context, word = (keys >> np.uint64(bits)).astype(np.int64), (keys & np.uint64((1 << bits) - 1)).astype(np.int64)
+        suffix = Chain(path, bases).suffixes(context, word).astype(np.uint64)
+        if 2 < level < model["order"]:
+            _store(f"{path}/{level}/{shard}.suffix", suffix)
         found, times = np.unique(suffix, return_counts=True)
         rows += _notes("left", found, [times.astype(np.uint64)], bases[-1])
         if top:
@@ -460,7 +493,7 @@ def _finish_level(told: DataFrame, model: dict, level: int, bits: int) -> DataFr
     def finish(table: pa.Table) -> pa.Table:
         shard = table.column("shard")[0].as_py()
         kinds, blobs = table.column("kind").to_pylist(), table.column("blob").to_pylist()
-        left, follow, total = np.zeros(sizes[shard], np.uint64), np.zeros((sizes[shard], 3), np.uint32), np.zeros(sizes[shard], np.uint64)
+        left, following = np.zeros(sizes[shard], np.uint64), np.zeros((sizes[shard], 4), np.uint64)
         for kind in ("left", "follow"):
             merged = _merge([b for k, b in zip(kinds, blobs) if k == kind])
             if merged:
@@ -468,11 +501,10 @@ def _finish_level(told: DataFrame, model: dict, level: int, bits: int) -> DataFr
                 if kind == "left":
                     left[at] = merged[1]
                 else:
-                    follow[at], total[at] = np.stack(merged[1:4], axis=1), merged[4]
+                    following[at] = np.stack(merged[1:], axis=1)
         folder = f"{path}/{level}"
         _store_values(folder, shard, bases[shard], left)
-        _store(f"{folder}/{shard}.follow", follow)
-        _store(f"{folder}/{shard}.total", total)
+        _store_following(folder, shard, bases[shard], following)
         rows = [("classes", 0, _totals(left))]
         if below is not None:
             rows += _notes_on_contexts(_map(f"{folder}/{shard}.keys", np.uint64) >> np.uint64(bits), left, below)
@@ -481,7 +513,7 @@ def _finish_level(told: DataFrame, model: dict, level: int, bits: int) -> DataFr
     done = told.repartition(model["shards"], "shard").groupBy("shard").applyInArrow(finish, _NOTES)
     done = written(done, f"kneser-ney-finished-{level}")
     for shard in np.flatnonzero(np.array(sizes) == 0).tolist():
-        for name in ("value", "large", "follow", "total"):
+        for name in ("value", "large", "follow", "more"):
             _store(f"{path}/{level}/{shard}.{name}", np.zeros(0, np.uint8))
     return done
 
@@ -537,10 +569,9 @@ class Scorer:
             level, context, d = self.chain.levels[m - 2], contexts[m - 2], self.d[m]
             value = self.top_values(context, numbers[0]) if m == order else self.chain.levels[m - 1].values(numbers[m - 1])
             asked, used = np.unique(context, return_inverse=True)
-            follow = level.column("follow", np.uint32, asked, 3).astype(float)
-            size = level.column("total", np.uint64, asked)[:, 0].astype(float)
-            front = asked == level.size
-            follow[front], size[front] = self.model["begin"][m][:3], self.model["begin"][m][3]
+            following = level.following(asked).astype(float)
+            following[asked == level.size] = self.model["begin"][m]
+            follow, size = following[:, :3], following[:, 3]
             given = ((follow * d[1:]).sum(1) / np.maximum(size, 1))[used]
             size = size[used]
             p = np.where(size > 0, np.maximum(value - d[np.minimum(value, 3)], 0) / np.maximum(size, 1) + given * p, p)
