@@ -76,15 +76,20 @@ def _decoded(html: Column) -> Column:
     return F.when(html.rlike(_OTHER), F.concat(parts[0], F.array_join(F.transform(F.slice(parts, 2, F.size(parts)), piece), ""))).otherwise(html)
 
 
-def plain_text(html: Column) -> Column:
+def without_tags(html: Column) -> Column:
     for pattern, new in STRIP:
         html = F.regexp_replace(html, pattern, new)
-    html = _decoded(html)
+    return html
+
+
+def tidied(stripped: Column) -> Column:
+    """Text without tags as plain text. Pass a column: it is used several times."""
+    text = _decoded(stripped)
     for entity, character in ENTITIES:
-        html = F.replace(html, F.lit(entity), F.lit(character))
+        text = F.replace(text, F.lit(entity), F.lit(character))
     for pattern, new in TIDY:
-        html = F.regexp_replace(html, pattern, new)
-    return html
+        text = F.regexp_replace(text, pattern, new)
+    return text
 
 
 def _uuid(*parts: Column) -> Column:
@@ -142,12 +147,13 @@ def derivatives(responses: DataFrame, record_col: str = "record") -> DataFrame:
             {
                 "_warc_digest": F.when(F.col("_warc_claimed") != "", F.col("_warc_claimed")).otherwise(_digest(F.col("_warc_payload"))),
                 "_warc_length": F.octet_length("_warc_payload").cast("string"),
-                "_warc_text": F.when(F.col("_warc_textual"), plain_text(F.col("_warc_payload"))).otherwise(""),
+                "_warc_stripped": F.when(F.col("_warc_textual"), without_tags(F.col("_warc_payload"))).otherwise(""),
                 "_warc_meta_id": _uuid(F.lit("metadata"), F.col("_warc_id")),
                 "_warc_text_id": _uuid(F.lit("conversion"), F.col("_warc_id")),
             }
         )
         .drop("_warc_record", "_warc_rest", "_warc_stated", "_warc_block", "_warc_payload", "_warc_head", "_warc_claimed", "_warc_at", "_warc_type")
+        .withColumn("_warc_text", tidied(F.col("_warc_stripped")))
         .withColumn("_warc_text_digest", _digest(F.col("_warc_text")))
     )
     source = F.concat(F.lit("source-"), F.regexp_replace("_warc_http", CRLF, f"{CRLF}source-header-"))
@@ -160,7 +166,7 @@ def derivatives(responses: DataFrame, record_col: str = "record") -> DataFrame:
         F.struct(F.lit("metadata").alias("t"), F.col("_warc_meta_id").alias("i"), F.lit("application/warc-fields").alias("c"), meta.alias("b")),
         F.struct(F.lit("conversion").alias("t"), F.col("_warc_text_id").alias("i"), F.lit("text/plain; charset=utf-8").alias("c"), F.col("_warc_text").alias("b")),
     )
-    two = read.withColumn("_warc_r", F.explode(F.slice(rows, F.lit(1), F.when(F.col("_warc_textual"), 2).otherwise(1)))).drop("_warc_text")
+    two = read.withColumn("_warc_r", F.explode(F.slice(rows, F.lit(1), F.when(F.col("_warc_textual"), 2).otherwise(1)))).drop("_warc_text", "_warc_stripped")
     block = F.col("_warc_r.b")
     header = _lines(
         ("WARC-Type", F.col("_warc_r.t")), ("WARC-Record-ID", F.col("_warc_r.i")), ("WARC-Date", F.col("_warc_date")), ("WARC-Target-URI", F.col("_warc_uri")),
