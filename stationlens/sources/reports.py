@@ -49,12 +49,32 @@ def _file_order(spark: SparkSession, paths: list[str]) -> dict[str, int]:
 _HEAD_LINES, _HEAD_FILES = 64, 50
 
 
+def _heads(spark: SparkSession, files: list[str], lines: int) -> DataFrame:
+    """The first ``lines`` lines of each file, with the number of the file and the start of the split.
+
+    A file longer than a split is read by one task, split by split: a limit over several
+    tasks would take its lines from whichever answers first.
+    """
+    heads = [
+        spark.read.text(unquote(f)).select(F.lit(i).alias("file"), F.col("_metadata.file_block_start").alias("block"), "value").coalesce(1).limit(lines)
+        for i, f in enumerate(files)
+    ]
+    return reduce(DataFrame.union, heads)
+
+
+def _first_line(spark: SparkSession, file: str) -> str | None:
+    """The first line of a file that is no comment, by its place; the whole file is read."""
+    placed = spark.read.text(unquote(file)).select("value", F.struct("_metadata.file_block_start", F.monotonically_increasing_id()).alias("place"))
+    real = placed.filter(~F.startswith("value", F.lit("#")) & (F.trim("value") != ""))
+    return real.agg(F.min_by("value", "place")).first()[0]
+
+
 def file_headers(spark: SparkSession, files: list[str]) -> dict[str, str]:
     """File -> its first line that is no comment.
 
     A task reads the first lines of its file and no more, so the data is not scanned for
-    it; more lines are read only of files that begin with nothing but comments. A file
-    without any other line is left out.
+    it; more lines are read only of files that begin with nothing but comments, the whole
+    file if its first split holds nothing else. A file without any other line is left out.
     """
     found: dict[str, str] = {}
     lines = _HEAD_LINES
@@ -62,16 +82,19 @@ def file_headers(spark: SparkSession, files: list[str]) -> dict[str, str]:
         longer = []
         for at in range(0, len(files), _HEAD_FILES):
             part = files[at : at + _HEAD_FILES]
-            heads = [spark.read.text(unquote(f)).limit(lines).select(F.lit(i).alias("file"), "value") for i, f in enumerate(part)]
             seen: dict[int, list[str]] = {}
-            for row in reduce(DataFrame.union, heads).collect():
-                seen.setdefault(row["file"], []).append(row["value"])
+            for row in _heads(spark, part, lines).collect():
+                texts = seen.setdefault(row["file"], [])
+                if row["block"] == 0:
+                    texts.append(row["value"])
             for i, texts in seen.items():
                 real = next((t for t in texts if not t.startswith("#") and t.strip(" ")), None)
+                if real is None and len(texts) == lines:
+                    longer.append(part[i])
+                    continue
+                real = _first_line(spark, part[i]) if real is None else real
                 if real is not None:
                     found[part[i]] = real
-                elif len(texts) == lines:
-                    longer.append(part[i])
         files, lines = longer, lines * 16
     return found
 

@@ -186,3 +186,21 @@ def test_only_the_heads_of_the_files_are_read_for_the_header(spark, tmp_path):
     assert reports.file_headers(spark, [str(tmp_path / "part-4.txt")]) == {str(tmp_path / "part-4.txt"): ",".join(REPORT_COLUMNS)}
     raw = reports.read_reports(spark, str(tmp_path))
     assert raw.count() == 120_000
+
+
+def test_headers_of_files_longer_than_a_split(spark, tmp_path):
+    body = "\n".join(line(station=f"S{i % 50}", valid="2005-01-01 00:30", tmpf=str(i)) for i in range(4000))
+    heads = {"a": "#DEBUG\n", "b": "# one more\n" * 200, "c": "# one more\n" * 20_000}
+    for name, comments in heads.items():
+        (tmp_path / name).write_text(f"{comments}{','.join(REPORT_COLUMNS)}\n{body}\n")
+    files = [str(tmp_path / name) for name in heads]
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "65536")
+    try:
+        assert spark.read.text(files[0]).rdd.getNumPartitions() > 3
+        # A limit behind a shuffle takes the lines of any split.
+        assert "Exchange" not in reports._heads(spark, files, 64)._jdf.queryExecution().executedPlan().toString()
+        assert reports.file_headers(spark, files) == dict.fromkeys(files, ",".join(REPORT_COLUMNS))
+        assert reports.read_reports(spark, files[:2]).count() == 8000
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
