@@ -87,9 +87,12 @@ def tidied(stripped: Column) -> Column:
     text = _decoded(stripped)
     for entity, character in ENTITIES:
         text = F.replace(text, F.lit(entity), F.lit(character))
-    for pattern, new in TIDY:
-        text = F.regexp_replace(text, pattern, new)
-    return text
+    text = F.when(F.contains(stripped, F.lit("&")), text).otherwise(stripped)
+    # ``TIDY`` with plain replacements, and patterns that begin with a character of their own.
+    for blank in "\t\r\f":
+        text = F.replace(text, F.lit(blank), F.lit(" "))
+    text = F.regexp_replace(F.regexp_replace(text, "  +", " "), r"\n[ \n]+", "\n")
+    return F.btrim(F.replace(text, F.lit(" \n"), F.lit("\n")), F.lit(" \n"))
 
 
 def _uuid(*parts: Column) -> Column:
@@ -99,7 +102,7 @@ def _uuid(*parts: Column) -> Column:
 
 
 def _digest(text: Column) -> Column:
-    return F.concat(F.lit("sha256:"), F.sha2(F.encode(text, "UTF-8"), 256))
+    return F.concat(F.lit("sha256:"), F.sha2(text.cast("binary"), 256))
 
 
 def _lines(*pairs: tuple[str, Column]) -> Column:
@@ -135,7 +138,7 @@ def derivatives(responses: DataFrame, record_col: str = "record") -> DataFrame:
         .withColumn("_warc_stated", field("Content-Length").try_cast("int"))
         .withColumn(
             "_warc_block",
-            F.when(F.col("_warc_stated").between(0, F.octet_length("_warc_rest") - 1), F.substring(F.encode("_warc_rest", "UTF-8"), F.lit(1), F.col("_warc_stated")).cast("string"))
+            F.when(F.col("_warc_stated").between(0, F.octet_length("_warc_rest") - 1), F.substring(F.col("_warc_rest").cast("binary"), F.lit(1), F.col("_warc_stated")).cast("string"))
             .otherwise(F.col("_warc_rest")),
         )
         .withColumn("_warc_at", break_at("_warc_block"))
@@ -163,8 +166,8 @@ def derivatives(responses: DataFrame, record_col: str = "record") -> DataFrame:
         F.when(F.col("_warc_http") != "", F.concat(source, F.lit(CRLF))).otherwise(""),
     )
     rows = F.array(
-        F.struct(F.lit("metadata").alias("t"), F.col("_warc_meta_id").alias("i"), F.lit("application/warc-fields").alias("c"), meta.alias("b")),
-        F.struct(F.lit("conversion").alias("t"), F.col("_warc_text_id").alias("i"), F.lit("text/plain; charset=utf-8").alias("c"), F.col("_warc_text").alias("b")),
+        F.struct(F.lit("metadata").alias("t"), F.col("_warc_meta_id").alias("i"), F.lit("application/warc-fields").alias("c"), meta.alias("b"), _digest(meta).alias("d")),
+        F.struct(F.lit("conversion").alias("t"), F.col("_warc_text_id").alias("i"), F.lit("text/plain; charset=utf-8").alias("c"), F.col("_warc_text").alias("b"), F.col("_warc_text_digest").alias("d")),
     )
     two = read.withColumn("_warc_r", F.explode(F.slice(rows, F.lit(1), F.when(F.col("_warc_textual"), 2).otherwise(1)))).drop("_warc_text", "_warc_stripped")
     block = F.col("_warc_r.b")
@@ -173,7 +176,7 @@ def derivatives(responses: DataFrame, record_col: str = "record") -> DataFrame:
         ("WARC-Refers-To", F.col("_warc_id")), ("WARC-Refers-To-Target-URI", F.col("_warc_uri")), ("WARC-Refers-To-Date", F.col("_warc_date")),
         ("WARC-Block-Digest", F.col("block_digest")), ("Content-Type", F.col("_warc_r.c")), ("Content-Length", F.col("content_length").cast("string")),
     )
-    two = two.withColumns({"content_length": F.octet_length(block).cast("long"), "block_digest": _digest(block)})
+    two = two.withColumns({"content_length": F.octet_length(block).cast("long"), "block_digest": F.col("_warc_r.d")})
     return two.select(
         *others, F.col("_warc_r.t").alias("warc_type"), F.col("_warc_r.i").alias("record_id"), F.col("_warc_id").alias("refers_to"), F.col("_warc_uri").alias("target_uri"),
         F.col("_warc_date").alias("source_date"), F.col("_warc_r.c").alias("content_type"), "content_length", "block_digest",

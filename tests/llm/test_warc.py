@@ -110,3 +110,21 @@ def test_columns_with_clashing_names_are_kept(spark):
     df = spark.createDataFrame([(response("x"), "i", "d", "u", "t")], "record string, _id string, _date string, _uri string, _text string")
     for r in warc.derivatives(df).collect():
         assert (r["_id"], r["_date"], r["_uri"], r["_text"]) == ("i", "d", "u", "t") and r["refers_to"] == "<urn:x>"
+
+
+def test_blanks_are_tidied_as_by_the_patterns(spark):
+    import re
+
+    cases = ["a \t b\r\n \n c  ", " \f\n x \n\n  y\t", "a\n b", "a \nb", "\r", "a &nbsp; b &amp;nbsp;\n", "x  ", "a  b\n\n\n c d"]
+    want = []
+    for text in cases:
+        for entity, character in warc.ENTITIES:
+            text = text.replace(entity, character)
+        for pattern, new in warc.TIDY:
+            text = re.sub(pattern, new, text)
+        want.append(text)
+    df = spark.createDataFrame(list(enumerate(cases)), "n int, t string")
+    got = df.select("n", warc.tidied(df["t"]).alias("t")).orderBy("n")
+    assert [r["t"] for r in got.collect()] == want
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_replace") <= 2
