@@ -8,7 +8,7 @@ from odd_tables import ROWS, empty, odd
 
 from stationlens.llm.deep_shallow import deep_shallow, multikey_quicksort
 from stationlens.llm.registry import QUERIES
-from stationlens.llm.suffix_dedup import remove_repeats
+from stationlens.llm.suffix_dedup import remove_repeats, removed_bytes
 
 
 def brute(docs, length=50):
@@ -114,3 +114,19 @@ def test_empty(spark):
 def test_whole_table(spark, sf_dir):
     docs = [(d["doc_id"], d["text"]) for d in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()]
     compare(QUERIES["op7_suffix_dedup"](spark, sf_dir).collect(), docs)
+
+
+def test_marking_bytes_takes_little_memory():
+    import tracemalloc
+    from types import SimpleNamespace
+
+    n = 1 << 20
+    block = SimpleNamespace(data=np.zeros(n, np.uint8), ids=np.array([7]))
+    at = np.array([100, 120, n - 50])
+    around = SimpleNamespace(entry=np.arange(3), least=np.full(3, 7), owner=np.zeros(3, np.int64), at=at, before=np.zeros(3, np.int64), after=np.full(3, 50))
+    tracemalloc.start()
+    gone = removed_bytes(block, around, np.ones(3, np.uint64), 50)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert np.flatnonzero(gone).tolist() == [*range(100, 170), *range(n - 50, n)]
+    assert peak < 16 * n
