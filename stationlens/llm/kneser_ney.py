@@ -57,10 +57,13 @@ from stationlens.llm.common import slices, utf8_buffers
 from stationlens.session import new_path, written
 
 _PRIME = 0x9E3779B97F4A7C15
+_INVERSE = pow(_PRIME, -1, 1 << 64)
 #: Hash of the end token; words have other hashes but for chance.
 END = np.uint64(0xD1B54A32D192ED03)
 #: Entries a task gathers before it sends them.
 GATHER = 3_000_000
+#: Bytes of text looked up at once; each shard is asked once for them.
+SLICE = 4 << 20
 #: Bytes of text for each shard of a level.
 SHARD_BYTES = 16 << 20
 OVER = 255
@@ -75,6 +78,13 @@ def _byte_values() -> np.ndarray:
     return values
 
 
+def _powers(base: int, n: int) -> np.ndarray:
+    """``base`` to the powers 0 to n - 1, modulo 2 ** 64."""
+    powers = np.full(n, base, np.uint64)
+    powers[0] = 1
+    return np.cumprod(powers, out=powers)
+
+
 def token_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of the tokens of all rows (end tokens included) and the number of tokens of each row."""
     rows = len(offsets) - 1
@@ -89,12 +99,12 @@ def token_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.
     counts = words + 1
     out = np.full(len(starts) + rows, END, np.uint64)
     if len(starts):
-        length = np.diff(np.append(starts, len(data)))
-        place = np.arange(len(data) - starts[0]) - np.repeat(starts - starts[0], length)
-        powers = np.full(int(length.max()), _PRIME, np.uint64)
-        powers[0] = 1
-        values = values[starts[0] :] * np.cumprod(powers)[place]
-        sums = np.add.reduceat(values, starts - starts[0])
+        # Powers go on through all words; what is in front of a word is taken off and divided out.
+        values *= _powers(_PRIME, len(data))
+        np.cumsum(values, out=values)
+        sums = np.append(values[starts[1:] - 1], values[-1])
+        sums[1:] -= sums[:-1].copy()
+        sums *= _powers(_INVERSE, int(starts[-1]) + 1)[starts]
         sums ^= sums >> np.uint64(31)
         sums *= np.uint64(0xBF58476D1CE4E5B9)
         sums ^= sums >> np.uint64(29)
@@ -126,13 +136,28 @@ def _merge(blobs: list[bytes]) -> list[np.ndarray]:
     parts = [p for b in blobs if (p := _unpack(b))]
     if not parts:
         return []
-    keys, place = np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True)
-    out = [keys]
-    for column in range(1, len(parts[0])):
-        total = np.zeros(len(keys), np.uint64)
-        np.add.at(total, place, np.concatenate([p[column] for p in parts]))
-        out.append(total)
-    return out
+    return _added(*[np.concatenate(column) for column in zip(*parts)])
+
+
+def _added(keys: np.ndarray, *columns: np.ndarray) -> list[np.ndarray]:
+    """Entries by ascending key, the columns of equal keys added up; a stable sort only merges what is sorted in pieces."""
+    order = np.argsort(keys, kind="stable")
+    keys = keys[order]
+    first = _first(keys)
+    return [keys[first], *[np.add.reduceat(c[order], first) for c in columns]]
+
+
+def _first(ascending: np.ndarray) -> np.ndarray:
+    """Places where another value begins."""
+    new = np.ones(len(ascending), bool)
+    np.not_equal(ascending[1:], ascending[:-1], out=new[1:])
+    return np.flatnonzero(new)
+
+
+def _parted(shard: np.ndarray, shards: int) -> tuple[np.ndarray, np.ndarray]:
+    """Order by shard, and where each shard begins and the last ends; short numbers are sorted digit by digit."""
+    order = np.argsort(shard.astype(np.uint16) if shards <= 1 << 16 else shard, kind="stable")
+    return order, np.concatenate([[0], np.cumsum(np.bincount(shard, minlength=shards))])
 
 
 def _spread(keys: np.ndarray, shards: int) -> np.ndarray:
@@ -160,17 +185,13 @@ def _store(path: str, array: np.ndarray) -> None:
 def _map(path: str, dtype) -> np.ndarray:
     if os.path.getsize(path) == 0:
         return np.zeros(0, dtype)
-    return np.memmap(path, dtype, "r")
+    return np.asarray(np.memmap(path, dtype, "r"))
 
 
 def _send(entries: list[tuple[np.ndarray, np.ndarray]], shard_of: Callable, shards: int) -> Iterator[pa.RecordBatch]:
     """One row (shard, blob) per shard for entries (keys, counts) gathered so far."""
-    keys, place = np.unique(np.concatenate([k for k, _ in entries]), return_inverse=True)
-    counts = np.zeros(len(keys), np.uint64)
-    np.add.at(counts, place, np.concatenate([c for _, c in entries]))
-    shard = shard_of(keys, shards)
-    order = np.argsort(shard, kind="stable")
-    edges = np.searchsorted(shard[order], np.arange(shards + 1))
+    keys, counts = _added(*[np.concatenate(column) for column in zip(*entries)])
+    order, edges = _parted(shard_of(keys, shards), shards)
     numbers, blobs = [], []
     for s in np.flatnonzero(np.diff(edges)).tolist():
         pick = order[edges[s] : edges[s + 1]]
@@ -183,7 +204,7 @@ def _counted(batches: Iterator[pa.RecordBatch], keys_of: Callable, shard_of: Cal
     entries, size = [], 0
     for batch in batches:
         data, offsets = utf8_buffers(batch.column(0))
-        for a, b in slices(offsets):
+        for a, b in slices(offsets, SLICE):
             part = offsets[a : b + 1]
             keys, counts = np.unique(keys_of(data[part[0] : part[-1]], part - part[0]), return_counts=True)
             entries.append((keys, counts.astype(np.uint64)))
@@ -195,6 +216,10 @@ def _counted(batches: Iterator[pa.RecordBatch], keys_of: Callable, shard_of: Cal
         yield from _send(entries, shard_of, shards)
 
 
+#: By shard, which keys were found there and at what places.
+Found = list[tuple[int, np.ndarray, np.ndarray]]
+
+
 class Level:
     """The mapped shards of the words (level 1) or of the sequences of some tokens."""
 
@@ -213,56 +238,72 @@ class Level:
             self.mapped[name, shard] = _map(f"{self.path}/{shard}.{name}", dtype)
         return self.mapped[name, shard]
 
-    def numbers(self, keys: np.ndarray) -> np.ndarray:
-        """Numbers of distinct, sorted keys, -1 for unknown ones."""
-        shard = self.shard_of(keys, self.shards)
-        order = np.argsort(shard, kind="stable")
-        edges = np.searchsorted(shard[order], np.arange(self.shards + 1))
-        out = np.full(len(keys), -1, np.int64)
+    def find(self, keys: np.ndarray) -> Found:
+        """Where the known ones of ``keys`` are; they may come in any order and repeat."""
+        order, edges = _parted(self.shard_of(keys, self.shards), self.shards)
+        found = []
         for s in np.flatnonzero(np.diff(edges)).tolist():
             held = self.held("keys", s, np.uint64)
             if len(held):
                 pick = order[edges[s] : edges[s + 1]]
-                at = np.searchsorted(held, keys[pick])
+                asked = keys[pick]
+                # In ascending order, as neighbours are found in the same memory.
+                up = np.argsort(asked)
+                asked = asked[up]
+                at = np.searchsorted(held, asked)
                 at[at == len(held)] = 0
-                out[pick] = np.where(held[at] == keys[pick], self.bases[s] + at, -1)
+                known = held[at] == asked
+                found.append((s, pick[up[known]], at[known]))
+        return found
+
+    def numbers(self, found: Found, n: int) -> np.ndarray:
+        """Numbers of ``n`` keys, -1 for unknown ones."""
+        out = np.full(n, -1, np.int64)
+        for s, pick, at in found:
+            out[pick] = self.bases[s] + at
         return out
 
-    def column(self, name: str, dtype, numbers: np.ndarray, width: int = 1) -> np.ndarray:
-        """Values of a column for any numbers; zero for those outside."""
-        distinct, place = np.unique(numbers, return_inverse=True)
-        out = np.zeros((len(distinct), width), dtype)
-        edges = np.searchsorted(distinct, self.bases)
+    def column(self, name: str, numbers: np.ndarray) -> np.ndarray:
+        """Values of a column for ascending numbers; zero for those outside."""
+        out = np.zeros(len(numbers), np.uint64)
+        edges = np.searchsorted(numbers, self.bases)
         for s in np.flatnonzero(np.diff(edges)).tolist():
-            held = self.held(name, s, dtype).reshape(-1, width)
-            out[edges[s] : edges[s + 1]] = held[distinct[edges[s] : edges[s + 1]] - self.bases[s]]
-        return out[place]
-
-    def values(self, numbers: np.ndarray) -> np.ndarray:
-        """The value of each number; zero for those outside."""
-        distinct, place = np.unique(numbers, return_inverse=True)
-        out = self.column("value", np.uint8, distinct)[:, 0].astype(np.int64)
-        over = np.flatnonzero(out == OVER)
-        for pick, rows in self._large("large", distinct, over, 2):
-            out[pick] = rows[:, 0]
-        return out[place]
-
-    def following(self, numbers: np.ndarray) -> np.ndarray:
-        """How many values 1, 2 and more follow each number as context, and their sum; zero for those outside."""
-        distinct, place = np.unique(numbers, return_inverse=True)
-        out = self.column("follow", np.uint8, distinct, 4).astype(np.int64)
-        over = np.flatnonzero((out == OVER).any(axis=1))
-        for pick, rows in self._large("more", distinct, over, 5):
-            out[pick] = rows
-        return out[place]
-
-    def _large(self, name: str, numbers: np.ndarray, over: np.ndarray, width: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """The rows of a short array for the sorted ``numbers`` at ``over``, shard by shard."""
-        shard = np.searchsorted(self.bases, numbers[over], side="right") - 1
-        for s in np.unique(shard).tolist():
-            pick = over[shard == s]
-            table = self.held(name, s, np.uint64).reshape(-1, width)
-            yield pick, table[np.searchsorted(table[:, 0], numbers[pick].astype(np.uint64)), 1:]
+            out[edges[s] : edges[s + 1]] = self.held(name, s, np.uint64)[numbers[edges[s] : edges[s + 1]] - self.bases[s]]
+        return out
+
+    def counts(self, found: Found, n: int) -> np.ndarray:
+        """The counts of ``n`` keys, zero for unknown ones."""
+        out = np.zeros(n, np.uint64)
+        for s, pick, at in found:
+            out[pick] = self.held("count", s, np.uint64)[at]
+        return out
+
+    def values(self, found: Found, n: int) -> np.ndarray:
+        """The values of ``n`` keys, zero for unknown ones."""
+        out = np.zeros(n, np.int64)
+        for s, pick, at in found:
+            value = self.held("value", s, np.uint8)[at].astype(np.int64)
+            over = np.flatnonzero(value == OVER)
+            if len(over):
+                value[over] = self._large("large", s, at[over], 2)[:, 0]
+            out[pick] = value
+        return out
+
+    def following(self, found: Found, n: int, d: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The mass that discounts ``d`` leave behind ``n`` keys as contexts, and the sum of the values there; zero for unknown ones."""
+        left, size = np.zeros(n), np.zeros(n)
+        for s, pick, at in found:
+            rows = self.held("follow", s, np.uint8).reshape(-1, 4)[at].astype(np.int64)
+            over = np.flatnonzero((rows == OVER).any(axis=1))
+            if len(over):
+                rows[over] = self._large("more", s, at[over], 5)
+            left[pick], size[pick] = discounted(rows, d)
+        return left, size
+
+    def _large(self, name: str, shard: int, at: np.ndarray, width: int) -> np.ndarray:
+        """The rows of a shard's short array for the entries ``at``."""
+        table = self.held(name, shard, np.uint64).reshape(-1, width)
+        return table[np.searchsorted(table[:, 0], at.astype(np.uint64)), 1:]
 
 
 class Chain:
@@ -272,47 +313,63 @@ class Chain:
         self.levels = [Level(path, m + 1, b) for m, b in enumerate(bases)]
         self.bits = max(1, self.levels[0].size.bit_length())
 
-    def __call__(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, list[np.ndarray], list[np.ndarray]]:
-        """Tokens per row; for each level the numbers (-1: unknown); and the contexts of level 2 on, one level more.
+    def __call__(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[Found], np.ndarray, np.ndarray]:
+        """Tokens per row; the place of each token among the distinct ones; for each level where
+        those (level 1) or the sequences that end with each token (level 2 on) are; the number
+        of each token's word (-1: unknown) and of its context one level above the highest.
 
         The context in front of a text is the number behind the last one of its level.
         """
         hashes, counts = token_hashes(data, offsets)
         begin = np.cumsum(counts) - counts
-        distinct, place = np.unique(hashes, return_inverse=True)
-        numbers, contexts = [self.levels[0].numbers(distinct)[place]], []
-        for m, level in enumerate(self.levels):
-            if m:
-                numbers.append(self._look_up(level, contexts[-1], numbers[0]))
-            context = np.empty_like(numbers[-1])
-            context[1:] = numbers[-1][:-1]
-            context[begin] = level.size
-            contexts.append(context)
-        return counts, numbers, contexts
+        coded = pa.array(hashes).dictionary_encode()
+        distinct, place = coded.dictionary.to_numpy(), coded.indices.to_numpy()
+        found = [self.levels[0].find(distinct)]
+        word = number = self.levels[0].numbers(found[0], len(distinct))[place]
+        for level, above in zip(self.levels, [*self.levels[1:], None]):
+            context = behind(number, begin, level.size)
+            if above:
+                found.append(self.find(above, context, word))
+                number = above.numbers(found[-1], len(word))
+        return counts, place, found, word, context
 
     def keys(self, context: np.ndarray, word: np.ndarray) -> np.ndarray:
         return context.astype(np.uint64) << np.uint64(self.bits) | word.astype(np.uint64)
 
     def suffixes(self, context: np.ndarray, word: np.ndarray) -> np.ndarray:
-        """Numbers, at the highest level held, of what the sequences (context, word) of the next level end with."""
+        """Numbers, at the highest level held, of what the sequences (context, word) of the next level end with; ``context`` ascends."""
         if len(self.levels) == 1:
             return word
         below = self.levels[-1]
-        distinct, place = np.unique(context, return_inverse=True)
+        first = _first(context)
+        distinct = context[first]
         if len(self.levels) == 2:
-            shorter = below.column("keys", np.uint64, distinct)[:, 0] & np.uint64((1 << self.bits) - 1)
+            shorter = below.column("keys", distinct) & np.uint64((1 << self.bits) - 1)
         else:
-            shorter = below.column("suffix", np.uint64, distinct)[:, 0]
+            shorter = below.column("suffix", distinct)
         shorter = shorter.astype(np.int64)
         shorter[distinct == below.size] = self.levels[-2].size  # in front of a text
-        return self._look_up(below, shorter[place], word)
+        shorter = np.repeat(shorter, np.diff(first, append=len(context)))
+        return below.numbers(self.find(below, shorter, word), len(word))
+
+    def find(self, level: Level, context: np.ndarray, word: np.ndarray) -> Found:
+        """Where the sequences (context, word) are at ``level``; -1 is unknown."""
+        known = np.flatnonzero((context >= 0) & (word >= 0))
+        return [(s, known[pick], at) for s, pick, at in level.find(self.keys(context[known], word[known]))]
+
+
+def behind(values: np.ndarray, begin: np.ndarray, first: float) -> np.ndarray:
+    """For each token what the one in front of it has, ``first`` where a text begins."""
+    out = np.empty_like(values)
+    out[1:] = values[:-1]
+    out[begin] = first
+    return out
 
-    def _look_up(self, level: Level, context: np.ndarray, word: np.ndarray) -> np.ndarray:
-        known = (context >= 0) & (word >= 0)
-        distinct, where = np.unique(self.keys(context[known], word[known]), return_inverse=True)
-        out = np.full(len(word), -1, np.int64)
-        out[known] = level.numbers(distinct)[where]
-        return out
+
+def discounted(following: np.ndarray, d: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The share of mass that discounts leave in contexts with so many values 1, 2 and more, and with the sum of them last."""
+    one, two, more, size = following.astype(float).T
+    return (one * d[1] + two * d[2] + more * d[3]) / np.maximum(size, 1), size
 
 
 def discounts(counts_of: np.ndarray) -> np.ndarray:
@@ -341,16 +398,16 @@ def _class_counts(values: np.ndarray) -> np.ndarray:
     return np.bincount(np.minimum(values, 5).astype(np.int64), minlength=6)[1:5]
 
 
-def _store_values(folder: str, shard: int, base: int, values: np.ndarray) -> None:
+def _store_values(folder: str, shard: int, values: np.ndarray) -> None:
     large = np.flatnonzero(values >= OVER)
     _store(f"{folder}/{shard}.value", np.minimum(values, OVER).astype(np.uint8))
-    _store(f"{folder}/{shard}.large", np.stack([large.astype(np.uint64) + np.uint64(base), values[large].astype(np.uint64)], axis=1))
+    _store(f"{folder}/{shard}.large", np.column_stack([large.astype(np.uint64), values[large].astype(np.uint64)]))
 
 
-def _store_following(folder: str, shard: int, base: int, following: np.ndarray) -> None:
+def _store_following(folder: str, shard: int, following: np.ndarray) -> None:
     large = np.flatnonzero((following >= OVER).any(axis=1))
     _store(f"{folder}/{shard}.follow", np.minimum(following, OVER).astype(np.uint8))
-    _store(f"{folder}/{shard}.more", np.column_stack([large.astype(np.uint64) + np.uint64(base), following[large]]))
+    _store(f"{folder}/{shard}.more", np.column_stack([large.astype(np.uint64), following[large]]))
 
 
 def _notes_on_contexts(context: np.ndarray, values: np.ndarray, below: list[int]) -> list[tuple[str, int, bytes]]:
@@ -451,8 +508,8 @@ def _count_level(texts: DataFrame, model: dict, level: int, bits: int) -> DataFr
         chain = Chain(path, bases)
 
         def keys(data, offsets):
-            _, numbers, contexts = chain(data, offsets)
-            return chain.keys(contexts[-1], numbers[0])
+            *_, word, context = chain(data, offsets)
+            return chain.keys(context, word)
 
         return _counted(batches, keys, _spread, shards)
 
@@ -469,8 +526,7 @@ def _count_level(texts: DataFrame, model: dict, level: int, bits: int) -> DataFr
         found, times = np.unique(suffix, return_counts=True)
         rows += _notes("left", found, [times.astype(np.uint64)], bases[-1])
         if top:
-            # Numbers of the top level are not used; places within the shard tell large values.
-            _store_values(f"{path}/{level}", shard, 0, counts)
+            _store_values(f"{path}/{level}", shard, counts)
             rows += _notes_on_contexts(keys >> np.uint64(bits), counts, bases[-1])
             rows.append(("classes", 0, _totals(counts)))
         return _note_table(rows)
@@ -503,8 +559,8 @@ def _finish_level(told: DataFrame, model: dict, level: int, bits: int) -> DataFr
                 else:
                     following[at] = np.stack(merged[1:], axis=1)
         folder = f"{path}/{level}"
-        _store_values(folder, shard, bases[shard], left)
-        _store_following(folder, shard, bases[shard], following)
+        _store_values(folder, shard, left)
+        _store_following(folder, shard, following)
         rows = [("classes", 0, _totals(left))]
         if below is not None:
             rows += _notes_on_contexts(_map(f"{folder}/{shard}.keys", np.uint64) >> np.uint64(bits), left, below)
@@ -529,52 +585,27 @@ class Scorer:
         one, two, _, _, more, self.k_total = model["classes"][1]
         self.back = (self.d[1][1:] * [one, two, more]).sum() / self.k_total if self.k_total else 1.0
 
-    def top_values(self, context: np.ndarray, word: np.ndarray) -> np.ndarray:
-        """Counts of the longest sequences, zero where unknown."""
-        known = (context >= 0) & (word >= 0)
-        distinct, where = np.unique(self.chain.keys(context[known], word[known]), return_inverse=True)
-        shard = _spread(distinct, self.top.shards)
-        found = np.zeros(len(distinct), np.int64)
-        order = np.argsort(shard, kind="stable")
-        edges = np.searchsorted(shard[order], np.arange(self.top.shards + 1))
-        for s in np.flatnonzero(np.diff(edges)).tolist():
-            held = self.top.held("keys", s, np.uint64)
-            if not len(held):
-                continue
-            pick = order[edges[s] : edges[s + 1]]
-            at = np.searchsorted(held, distinct[pick])
-            at[at == len(held)] = 0
-            value = np.where(held[at] == distinct[pick], self.top.held("value", s, np.uint8)[at], 0).astype(np.int64)
-            over = np.flatnonzero(value == OVER)
-            if len(over):
-                table = self.top.held("large", s, np.uint64).reshape(-1, 2)
-                value[over] = table[np.searchsorted(table[:, 0], at[over].astype(np.uint64)), 1]
-            found[pick] = value
-        out = np.zeros(len(word), np.int64)
-        out[known] = found[where]
-        return out
-
     def __call__(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
         """n_tokens, n_known, base_score and score of each row."""
-        counts, numbers, contexts = self.chain(data, offsets)
+        counts, place, found, word, context = self.chain(data, offsets)
         begin = np.cumsum(counts) - counts
         total, vocabulary, order = self.model["tokens"], self.model["words"], self.model["order"]
-        words = self.chain.levels[0]
-        distinct, place = np.unique(numbers[0], return_inverse=True)
-        word_count = words.column("count", np.uint64, distinct)[:, 0].astype(float)
+        levels, distinct = [*self.chain.levels, self.top], int(place.max()) + 1
+        word_count = levels[0].counts(found[0], distinct).astype(float)
         base = np.log10((word_count + 1) / (total + vocabulary + 1))
-        k = words.values(distinct)
+        k = levels[0].values(found[0], distinct)
         p = (self.back / (vocabulary + 1) + np.maximum(k - self.d[1][np.minimum(k, 3)], 0) / max(1, self.k_total))[place]
+        found.append(self.chain.find(self.top, context, word))
         for m in range(2, order + 1):
-            level, context, d = self.chain.levels[m - 2], contexts[m - 2], self.d[m]
-            value = self.top_values(context, numbers[0]) if m == order else self.chain.levels[m - 1].values(numbers[m - 1])
-            asked, used = np.unique(context, return_inverse=True)
-            following = level.following(asked).astype(float)
-            following[asked == level.size] = self.model["begin"][m]
-            follow, size = following[:, :3], following[:, 3]
-            given = ((follow * d[1:]).sum(1) / np.maximum(size, 1))[used]
-            size = size[used]
-            p = np.where(size > 0, np.maximum(value - d[np.minimum(value, 3)], 0) / np.maximum(size, 1) + given * p, p)
+            d = self.d[m]
+            if m == 2:
+                left, size = (column[place] for column in levels[0].following(found[0], distinct, d))
+            else:
+                left, size = levels[m - 2].following(found[m - 2], len(word), d)
+            left_first, size_first = discounted(np.array([self.model["begin"][m]]), d)
+            left, size = behind(left, begin, left_first[0]), behind(size, begin, size_first[0])
+            value = levels[m - 1].values(found[m - 1], len(word))
+            p = np.where(size > 0, np.maximum(value - d[np.minimum(value, 3)], 0) / np.maximum(size, 1) + left * p, p)
         logs = np.log10(p)
         seen = (word_count > 0)[place].astype(np.int64)
         return counts, np.add.reduceat(seen, begin), np.add.reduceat(base[place], begin), np.add.reduceat(logs, begin)
@@ -593,7 +624,7 @@ def score(docs: DataFrame, model: dict, text_col: str = "text") -> DataFrame:
         scorer = Scorer(model)
         for batch in batches:
             data, offsets = utf8_buffers(batch.column(0))
-            parts = [scorer(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]) for a, b in slices(offsets)]
+            parts = [scorer(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]) for a, b in slices(offsets, SLICE)]
             tokens, known, base, logs = (np.concatenate(c) for c in zip(*parts)) if parts else [np.zeros(0)] * 4
             arrays = [pa.array(tokens, pa.int64()), pa.array(known, pa.int64()), pa.array(np.full(len(tokens), model["tokens"]), pa.int64()), pa.array(base, pa.float64()), pa.array(logs, pa.float64())]
             yield pa.RecordBatch.from_arrays([*batch.columns[1:], *arrays], names=schema.names)

@@ -9,7 +9,7 @@ from odd_tables import ROWS, empty, odd
 from pyspark.sql import functions as F
 
 from stationlens.llm import kneser_ney
-from stationlens.llm.kneser_ney import learn, score
+from stationlens.llm.kneser_ney import Scorer, learn, score, token_hashes
 from stationlens.llm.registry import QUERIES
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -136,3 +136,38 @@ def test_empty(spark):
     model = learn(empty(spark), shards=2)
     assert score(empty(spark), model).collect() == []
     assert {r["score"] for r in score(odd(spark), model).collect()} == {0.0}
+
+
+def buffers(texts):
+    raw = [t.encode() for t in texts]
+    return np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0, *map(len, raw)])
+
+
+def test_hashes_are_polynomials_of_the_words():
+    texts = ["", " a", "ab  Ab\tab ", "x" * 300 + " a", "\n", "b\u00e9 ab"]
+    data, offsets = buffers(texts)
+    values, mask = kneser_ney._byte_values().tolist(), (1 << 64) - 1
+
+    def plain(word):
+        h = sum(values[b] * pow(kneser_ney._PRIME, i, 1 << 64) for i, b in enumerate(word.encode())) & mask
+        h = (h ^ h >> 31) * 0xBF58476D1CE4E5B9 & mask
+        return h ^ h >> 29
+
+    hashes, counts = token_hashes(data, offsets)
+    assert counts.tolist() == [len(tokens(t)) for t in texts]
+    assert hashes.tolist() == [int(kneser_ney.END) if w is None else plain(w) for t in texts for w in tokens(t)]
+
+
+@pytest.mark.parametrize("order", [2, 3, 4])
+def test_a_level_sorts_its_tokens_by_shard_and_within(spark, order, monkeypatch):
+    texts = [" ".join(f"w{i * j % 997}" for j in range(1, 200)) for i in range(1, 20)]
+    brute = Brute(texts, order)
+    scorer = Scorer(learn(spark.createDataFrame([(t,) for t in texts], "text string"), order, shards=3))
+    sizes = []
+    for name in ("argsort", "sort", "unique"):
+        plain = getattr(np, name)
+        monkeypatch.setattr(np, name, lambda a, *args, _plain=plain, **kw: (sizes.append(len(a)), _plain(a, *args, **kw))[1])
+    counts, _, _, logs = scorer(*buffers(texts))
+    monkeypatch.undo()
+    assert logs.tolist() == pytest.approx([brute.row(t)[4] for t in texts], rel=1e-9)
+    assert 0 < sum(sizes) <= 2 * order * counts.sum()
